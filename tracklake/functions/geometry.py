@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 Ring = Sequence[tuple[float, float]]
 
 SEMICIRCLE = 180.0 / 2**31
-# Above this the edges go into an array literal instead of one expression per edge, which keeps the
-# generated code below the JVM's method size limits.
-UNROLLED_EDGES = 40
+# Above this the edges are looped over as an array instead of being one expression each.
+UNROLLED_EDGES = 64
 _ON_EDGE = 1 << 32
 # Fixed-point scale: exact for coordinates of a degree or more, 1e-11 metres below that.
 _FIXED_POINT = float(2**52)
@@ -54,23 +53,21 @@ def _fixed_point(x: Column) -> Column:
     return (x * F.lit(_FIXED_POINT)).try_cast("long").cast("decimal(19,0)")
 
 
-def _edge_code(x: Column, y: Column, px, py, qx, qy, min_x=None, max_x=None) -> Column:
+def _edge_code(x: Column, y: Column, e: Column) -> Column:
     """1 where the ray from (x, y) crosses the edge, _ON_EDGE where the point is on it, else 0.
 
     The edge runs from its lower end p to its upper end q (py <= qy). Rounding keeps the order of the
     two products, so only equal ones are compared again, as fixed-point numbers of full length.
-    ``min_x`` and ``max_x`` are needed for edges that may be level.
     """
-    ax, by, bx, ay = px - x, qy - y, qx - x, py - y
+    ax, by, bx, ay = e.px - x, e.qy - y, e.qx - x, e.py - y
     left, right = ax * by, bx * ay
     exact_left = _fixed_point(ax) * _fixed_point(by)
     exact_right = _fixed_point(bx) * _fixed_point(ay)
-    crossed = F.when(y < qy, F.lit(1)).otherwise(F.lit(0))
-    on_edge = F.lit(_ON_EDGE)
-    if min_x is not None:
-        on_edge = F.when((x >= min_x) & (x <= max_x), on_edge).otherwise(F.lit(0))
+    crossed = F.when(y < e.qy, F.lit(1)).otherwise(F.lit(0))
+    # The range of x matters for level edges only.
+    on_edge = F.when(x.between(e.min_x, e.max_x), F.lit(_ON_EDGE)).otherwise(F.lit(0))
     return (
-        F.when((y < py) | (y > qy) | (left < right), F.lit(0))
+        F.when((y < e.py) | (y > e.qy) | (left < right), F.lit(0))
         .when(left > right, crossed)
         .when(exact_left < exact_right, F.lit(0))
         .when(exact_left > exact_right, crossed)
@@ -79,11 +76,6 @@ def _edge_code(x: Column, y: Column, px, py, qx, qy, min_x=None, max_x=None) ->
     )
 
 
-def _level_code(x: Column, y: Column, level: float, min_x: float, max_x: float) -> Column:
-    on_edge = (y == F.lit(level)) & (x >= F.lit(min_x)) & (x <= F.lit(max_x))
-    return F.when(on_edge, F.lit(_ON_EDGE)).otherwise(F.lit(0)).cast("long")
-
-
 def _is_odd_crossing(total: Column) -> Column:
     return (total < F.lit(_ON_EDGE)) & (total.bitwiseAND(F.lit(1)) == 1)
 
@@ -116,24 +108,40 @@ def point_in_polygon(lat: Column, lon: Column, ring: Ring) -> Column:
             edges.append((low_x, low_y, high_x, high_y, min(ax, bx), max(ax, bx)))
     if not edges:
         return F.lit(False)
+    names = ("px", "py", "qx", "qy", "min_x", "max_x")
+    literal = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, e)]) for e in edges])
+    exact = inside_edges(lat, lon, literal)
     if len(edges) > UNROLLED_EDGES:
-        names = ("px", "py", "qx", "qy", "min_x", "max_x")
-        literal = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, e)]) for e in edges])
-        return box & inside_edges(lat, lon, literal)
-    codes = [
-        _level_code(lat, lon, e[1], e[4], e[5]) if e[1] == e[3]
-        else _edge_code(lat, lon, *map(F.lit, e[:4]))
-        for e in edges
-    ]
-    return box & _is_odd_crossing(_add_balanced(codes))
+        return box & exact
+    quick = _add_balanced(_quick_codes(lat, lon, edges))
+    return box & F.when(quick < F.lit(_ON_EDGE), _is_odd_crossing(quick)).otherwise(exact)
 
 
-def edges_total(lat: Column, lon: Column, edges: Column) -> Column:
-    def add(acc: Column, e: Column) -> Column:
-        ends = (e.px, e.py, e.qx, e.qy, e.min_x, e.max_x)
-        return acc + _edge_code(lat, lon, *ends)
+def _quick_codes(x: Column, y: Column, edges: list[tuple[float, ...]]) -> list[Column]:
+    """Per edge 1 for a crossing, 0 for none, and _ON_EDGE where only the exact test can tell.
 
-    return F.aggregate(edges, F.lit(0).cast("long"), add)
+    Kept short, with each coordinate named few times, so that the generated code stays small.
+    """
+    by_side = F.array(*[F.lit(v).cast("long") for v in (0, _ON_EDGE, 1)])
+    unclear = lambda condition: F.when(condition, F.lit(_ON_EDGE)).otherwise(F.lit(0).cast("long"))
+    codes, tops, covered = [], set(), set()
+    for px, py, qx, qy, min_x, max_x in edges:
+        if py == qy:
+            codes.append(unclear((y == F.lit(py)) & x.between(min_x, max_x)))
+            covered |= {(px, py), (qx, qy)}
+            continue
+        side = F.signum((F.lit(px) - x) * (F.lit(qy) - y) - (F.lit(qx) - x) * (F.lit(py) - y))
+        value = F.get(by_side, (side + 1).cast("int"))
+        codes.append(F.when((y >= F.lit(py)) & (y < F.lit(qy)), value).otherwise(F.lit(0).cast("long")))
+        covered.add((px, py))
+        tops.add((qx, qy))
+    # The upper end is left out of an edge, so peaks are looked at on their own.
+    codes += [unclear((x == F.lit(px)) & (y == F.lit(py))) for px, py in sorted(tops - covered)]
+    return codes
+
+
+def edges_total(lat: Column, lon: Column, edges: Column) -> Column:
+    return F.aggregate(edges, F.lit(0).cast("long"), lambda acc, e: acc + _edge_code(lat, lon, e))
 
 
 def inside_edges(lat: Column, lon: Column, edges: Column) -> Column:
