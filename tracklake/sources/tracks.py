@@ -17,6 +17,15 @@ if TYPE_CHECKING:
     import pandas as pd
 
 FILE_COLUMNS = ["path", "modificationTime", "length"]
+# Fixed by Spark's binaryFile source.
+FILES = T.StructType(
+    [
+        T.StructField("path", T.StringType()),
+        T.StructField("modificationTime", T.TimestampType()),
+        T.StructField("length", T.LongType()),
+        T.StructField("content", T.BinaryType()),
+    ]
+)
 
 
 def is_missing(error: AnalysisException) -> bool:
@@ -26,7 +35,10 @@ def is_missing(error: AnalysisException) -> bool:
 def scan_track_files(
     spark: SparkSession, directories: Sequence[str], with_data: bool = False
 ) -> DataFrame:
-    """The files directly in the directories with their content hash; missing ones are skipped."""
+    """The files directly in the directories with their content hash.
+
+    Missing directories are skipped; so are empty files, which the file source leaves out.
+    """
     found = []
     for directory in directories:
         try:
@@ -37,15 +49,7 @@ def scan_track_files(
             if not is_missing(error):
                 raise
     if not found:
-        empty = T.StructType(
-            [
-                T.StructField("path", T.StringType()),
-                T.StructField("modificationTime", T.TimestampType()),
-                T.StructField("length", T.LongType()),
-                T.StructField("content", T.BinaryType()),
-            ]
-        )
-        found = [spark.createDataFrame([], empty)]
+        found = [spark.createDataFrame([], FILES)]
     files = found[0]
     for other in found[1:]:
         files = files.unionByName(other)

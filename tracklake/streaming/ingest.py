@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tracklake.functions.scalar import md5_upper
+from tracklake.sources.tracks import FILES
 from tracklake.streaming import store
 
 INTERVAL = "1 minute"
@@ -31,6 +32,7 @@ def file_stream(
     for directory in directories:
         files = (
             spark.readStream.format("binaryFile")
+            .schema(FILES)
             .option("maxFilesPerTrigger", max_files)
             .load(directory)
             .select("path", "modificationTime", F.col("content").alias("data"))
