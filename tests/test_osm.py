@@ -43,16 +43,40 @@ def test_xml(spark, tmp_path, splittable):
 
 
 def test_large_xml_is_split(spark, tmp_path):
-    nodes = "\n".join(f'<node id="{i}" lat="{i % 90}.5" lon="1"/>' for i in range(20000))
-    (tmp_path / "map.osm").write_text(f"<osm>\n{nodes}\n<way id='1'><nd ref='5'/></way>\n</osm>")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
-    try:
-        read = osm.read_osm_xml(spark, str(tmp_path), splittable=True)
-        assert read.nodes.rdd.getNumPartitions() > 3
-        assert rows(read.nodes, "id") == [(i,) for i in range(20000)]
-        assert rows(read.way_nodes, "way_id", "ref") == [(1, 5)]
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    """Splits of any size give the same tables, also in the middle of a way."""
+    lines = [f'<node id="{i}" lat="{i % 90}.5" lon="-1"/>' for i in range(2000)]
+    lines += [
+        '<node id="5000" lat="1" lon="2"><tag k="x" v="y"/></node>',
+        "<way id='1'>" + "".join(f"<nd ref='{i}'/>" for i in range(1500)) + "<tag k='highway' v='path'/></way>",
+        '<way id="2"/>',
+        '<way\n  id="3"\tvisible="true" ><nd ref="7" /><nd ref="7"/>',
+        '<tag k="name" v="a &gt; b &quot;c&quot; &#228; > / d=\'k\'"/><tag k="highway" v="cycleway"/></way>',
+        '<relation id="9"><tag k="highway" v="cycleway"/></relation>',
+    ]
+    for n in range(2):
+        (tmp_path / f"{n}.osm").write_text("<?xml version='1.0'?>\n<osm>\n" + "\n".join(lines) + "\n</osm>\n")
+    whole = osm.read_osm_xml(spark, str(tmp_path))
+    expected = {
+        "nodes": rows(whole.nodes, "id", "lat", "lon"),
+        "ways": rows(whole.ways, "way_id"),
+        "way_nodes": rows(whole.way_nodes, "way_id", "pos", "ref"),
+        "way_tags": rows(whole.way_tags, "way_id", "pos", "k", "v"),
+        "relations": rows(whole.relations, "id"),
+    }
+    assert len(expected["nodes"]) == 4002 and len(expected["way_tags"]) == 6
+    for size in (3001, 20000, 10**8):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        try:
+            read = osm.read_osm_xml(spark, str(tmp_path), splittable=True)
+            assert {
+                "nodes": rows(read.nodes, "id", "lat", "lon"),
+                "ways": rows(read.ways, "way_id"),
+                "way_nodes": rows(read.way_nodes, "way_id", "pos", "ref"),
+                "way_tags": rows(read.way_tags, "way_id", "pos", "k", "v"),
+                "relations": rows(read.relations, "id"),
+            } == expected
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_json(spark, tmp_path):

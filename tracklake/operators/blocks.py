@@ -23,6 +23,15 @@ def block_of(order: str | Column, bits: int = BLOCK_BITS) -> Column:
     return F.shiftright(F.col(order) if isinstance(order, str) else order, bits).cast("long")
 
 
+def to_blocks(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Shuffles rows on (key, block), the partitioning all later steps in the block share.
+
+    Spelled out, because rows that are already partitioned by the key alone would satisfy a window
+    over (key, block) as well, with all of a large key in one task.
+    """
+    return df.repartition(*keys, BLOCK)
+
+
 def before_in_key(keys: Sequence[str], order: str = BLOCK) -> Window:
     """All earlier rows of the key, the current one excluded."""
     return (
@@ -55,7 +64,7 @@ def number_rows(
     block = block_of(order[0]) if block is None else block
     blocked = df.withColumn(BLOCK, block)
     window = Window.partitionBy(*keys, BLOCK).orderBy(*order)
-    local = blocked.withColumn("_local", F.row_number().over(window) - 1)
+    local = to_blocks(blocked, keys).withColumn("_local", F.row_number().over(window) - 1)
     counts = blocked.groupBy(*keys, BLOCK).agg(F.count(F.lit(1)).alias("_n"))
     return (
         local.join(block_offsets(counts, keys, "_n", "_offset"), [*keys, BLOCK])
@@ -83,7 +92,8 @@ def sum_before(
     offsets = totals.select(
         *keys, BLOCK, *[F.sum(f"_t_{o}").over(across).alias(f"_o_{o}") for o in values]
     )
-    local = blocked.select("*", *[F.sum(v).over(within).alias(f"_l_{o}") for o, v in values.items()])
+    sums = [F.sum(v).over(within).alias(f"_l_{o}") for o, v in values.items()]
+    local = to_blocks(blocked, keys).select("*", *sums)
     joined = local.join(offsets, [*keys, BLOCK])
     zero = F.lit(0)
     return joined.select(

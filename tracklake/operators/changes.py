@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklake.operators.blocks import BLOCK, BLOCK_BITS, before_in_key, block_of
+from tracklake.operators.blocks import BLOCK, BLOCK_BITS, before_in_key, block_of, to_blocks
 from tracklake.operators.ways import last_by_key
 
 ADDED, REMOVED = "added", "removed"
@@ -79,7 +79,8 @@ def artifact_freshness(log: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
     current = F.coalesce(F.col("_local"), F.col("_carried"))
     up_to_date = F.coalesce(F.col("hash") == current["hash"], F.lit(False))
     return (
-        blocked.withColumn("_local", local)
+        to_blocks(blocked, ["artifact_id"])
+        .withColumn("_local", local)
         .where(F.col("kind") == REQUEST)
         .join(carried, ["artifact_id", BLOCK])
         .select("artifact_id", "order_no", "hash", up_to_date.alias("up_to_date"))

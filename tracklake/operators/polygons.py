@@ -33,6 +33,7 @@ def _gridded(polygons: DataFrame, cell: float) -> DataFrame:
     lats, lons = F.transform(ring, lambda c: c.lat), F.transform(ring, lambda c: c.lon)
     boxed = polygons.select(
         "polygon_id",
+        "ring",
         directed_edges(ring).alias("_edges"),
         F.array_min(lats).alias("_minlat"),
         F.array_max(lats).alias("_maxlat"),
@@ -41,7 +42,22 @@ def _gridded(polygons: DataFrame, cell: float) -> DataFrame:
     )
     extent = F.greatest(F.col("_maxlat") - F.col("_minlat"), F.col("_maxlon") - F.col("_minlon"))
     doublings = F.ceil(F.log2(F.greatest(extent / F.lit(cell), F.lit(1.0))))
-    return boxed.withColumn("_level", F.least(doublings, F.lit(MAX_LEVEL)).cast("int"))
+    level = F.least(doublings, F.lit(MAX_LEVEL)).cast("int")
+    return boxed.withColumns({"_level": level, "_is_box": _is_box()}).drop("ring")
+
+
+def _is_box() -> Column:
+    """The ring is an upright rectangle, for which the box test is the whole test."""
+    at_corner = lambda c: (
+        c.lat.isin(F.col("_minlat"), F.col("_maxlat")) & c.lon.isin(F.col("_minlon"), F.col("_maxlon"))
+    )
+    upright = lambda e: (e.px == e.qx) | (e.py == e.qy)
+    return (
+        (F.size("ring") == 4)
+        & (F.size(F.array_distinct("ring")) == 4)
+        & F.forall("ring", at_corner)
+        & F.forall("_edges", upright)
+    )
 
 
 def points_in_polygons(
@@ -101,6 +117,6 @@ def points_in_polygons(
     )
     return (
         placed.join(cells, keys)
-        .where(in_box & inside_edges(lat, lon, F.col("_edges")))
+        .where(in_box & (F.col("_is_box") | inside_edges(lat, lon, F.col("_edges"))))
         .select(*points.columns, "polygon_id")
     )

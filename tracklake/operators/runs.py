@@ -20,6 +20,7 @@ from tracklake.operators.blocks import (
     block_offsets,
     broadcast_if_small,
     sum_before,
+    to_blocks,
 )
 from tracklake.session import materialize
 
@@ -39,6 +40,10 @@ def _spread(df: DataFrame, before: int, after: int, bits: int) -> DataFrame:
     return df.withColumn(BLOCK, F.explode(F.sequence(first, last)))
 
 
+def _to_track_blocks(df: DataFrame) -> DataFrame:
+    return to_blocks(df, ["track_id"])
+
+
 def _own(df: DataFrame, bits: int) -> DataFrame:
     """Drops the copies again."""
     return df.where(block_of("seq", bits) == F.col(BLOCK))
@@ -60,7 +65,7 @@ def halo_keep(
     flagged = positions.withColumn("_inside", F.col(inside) if isinstance(inside, str) else inside)
     keep = F.max("_inside").over(_in_block().rowsBetween(-1, 1))
     return (
-        _own(_spread(flagged, 1, 1, bits).withColumn("keep", keep), bits)
+        _own(_to_track_blocks(_spread(flagged, 1, 1, bits)).withColumn("keep", keep), bits)
         .drop("_inside", BLOCK)
     )
 
@@ -69,7 +74,8 @@ def segment_runs(positions: DataFrame, keep: str = "keep", bits: int = BLOCK_BIT
     """The kept rows with their run number: gaps and islands over ``keep``."""
     columns = [c for c in positions.columns if c != keep]
     flagged = positions.withColumn("keep", F.col(keep))
-    starts = _own(_spread(flagged, 1, 0, bits).withColumn("_start", _start_flag()), bits)
+    spread = _to_track_blocks(_spread(flagged, 1, 0, bits))
+    starts = _own(spread.withColumn("_start", _start_flag()), bits)
     totals = starts.groupBy(*TRACK_BLOCK).agg(F.sum("_start").alias("_n"))
     return _numbered(starts, block_offsets(totals, ["track_id"], "_n", "_offset"), columns)
 
@@ -91,7 +97,7 @@ def _touched_blocks(positions: DataFrame, inside: Column, bits: int) -> DataFram
     Only inside positions are read, so the polygon's box prunes the scan.
     """
     rows = positions.where(inside).select("track_id", "seq")
-    spread = _spread(rows, _RUN_REACH - 1, 1, bits)
+    spread = _to_track_blocks(_spread(rows, _RUN_REACH - 1, 1, bits))
     step = F.col("seq") - F.lag("seq").over(_in_block())
     run_start = F.greatest(F.col("seq") - 1, F.lit(0))
     starts_here = (
@@ -128,7 +134,7 @@ def clip_tracks(
         blocks = broadcast_if_small(materialize(blocks), max_broadcast_blocks)
         spread = spread.join(blocks.select(*TRACK_BLOCK), TRACK_BLOCK, "left_semi")
     keep = F.max("_inside").over(_in_block().rowsBetween(-1, 1))
-    kept = spread.withColumn("keep", keep)
+    kept = _to_track_blocks(spread).withColumn("keep", keep)
     starts = _own(kept.withColumn("_start", _start_flag()), bits)
     columns = ["track_id", "seq", "lat", "lon", "ts_ms"]
     return _numbered(starts, blocks, columns)

@@ -202,15 +202,19 @@ def part_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def supplier_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A rectangle per supplier on the node grid, of 2 to 600 grid units in size."""
+    """A rectangle or diamond per supplier on the node grid, of 2 to 600 grid units in size."""
     key, nation = F.col("s_suppkey"), F.col("s_nationkey")
     half = nation * nation * F.lit(0.5) + 1
     x = (key * 613 % 1000).cast("double")
     y = (key * 389 % 1000).cast("double")
     lat = lambda v: semi_to_deg(F.lit(LAT0) + v * 1000)
     lon = lambda v: semi_to_deg(F.lit(LON0) + v * 1000)
-    corners = [(x - half, y - half), (x + half, y - half), (x + half, y + half), (x - half, y + half)]
-    ring = F.array(*[F.struct(lat(a).alias("lat"), lon(b).alias("lon")) for a, b in corners])
+    vertex = lambda a, b: F.struct(lat(a).alias("lat"), lon(b).alias("lon"))
+    box = [(x - half, y - half), (x + half, y - half), (x + half, y + half), (x - half, y + half)]
+    diamond = [(x - half, y), (x, y - half), (x + half, y), (x, y + half)]
+    ring = F.when(nation < 12, F.array(*[vertex(*v) for v in box])).otherwise(
+        F.array(*[vertex(*v) for v in diamond])
+    )
     return table(spark, sf_dir, "supplier").select(
         key.cast("string").alias("polygon_id"), ring.alias("ring")
     )

@@ -85,9 +85,11 @@ def stream_freshness(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         before = artifact_states(store.read_before(batch.sparkSession, states, _STATES, batch_id))
+        batch.persist()
         rows = before.unionByName(batch.select(*before.columns))
         store.write_batch(artifact_freshness(rows), answers, batch_id)
         store.write_batch(artifact_states(batch), states, batch_id)
+        batch.unpersist()
 
     return start(log.writeStream.foreachBatch(write), checkpoint, interval)
 
