@@ -1,4 +1,4 @@
-"""Headline queries, timed: one warm-up, then the median of three runs of the whole plan.
+"""Headline queries, timed: a warm-up pass, then the median of three runs of the whole plan.
 
 BENCH_SF_DIR and BENCH_CPUS set the tables and the number of local cores. Prints one JSON line.
 """
@@ -40,9 +40,10 @@ def main() -> None:
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - start
 
-    seconds = {}
     for name in HEADLINE:
         once(name)
+    seconds = {}
+    for name in HEADLINE:
         seconds[name] = round(statistics.median(once(name) for _ in range(RUNS)), 3)
     print(
         json.dumps(

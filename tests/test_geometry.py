@@ -114,3 +114,24 @@ def test_many_polygons_against_brute_force(spark, broadcast):
         (i, name) for i, x, y in points for name, ring in rings if rounded_inside(x, y, ring)
     )
     assert found == expected
+
+
+def test_no_polygons(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0)], "id long, lat double, lon double")
+    none = spark.createDataFrame([], schemas.POLYGONS)
+    assert points_in_polygons(points, none).isEmpty()
+
+
+def test_large_polygon_in_a_table(spark):
+    rng = random.Random(8)
+    ring = [(rng.uniform(-5, 5), rng.uniform(-5, 5)) for _ in range(80)]
+    points = [(i, rng.uniform(-6, 6), rng.uniform(-6, 6)) for i in range(200)]
+    points += [(1000 + i, *v) for i, v in enumerate(ring)]
+    result = points_in_polygons(
+        spark.createDataFrame(points, "id long, lat double, lon double"),
+        spark.createDataFrame([("p", ring)], schemas.POLYGONS),
+    )
+    wanted = sorted(i for i, x, y in points if rounded_inside(x, y, ring))
+    assert sorted(r.id for r in result.collect()) == wanted
+    flag = flags(spark, [p[1:] for p in points], ring)
+    assert sorted(p[0] for p, f in zip(points, flag) if f) == wanted

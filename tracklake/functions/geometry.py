@@ -17,6 +17,7 @@ Ring = Sequence[tuple[float, float]]
 SEMICIRCLE = 180.0 / 2**31
 # Above this the edges are looped over as an array instead of being one expression each.
 UNROLLED_EDGES = 64
+EDGE_FIELDS = ("px", "py", "qx", "qy", "min_x", "max_x")
 _ON_EDGE = 1 << 32
 # Fixed-point scale: exact for coordinates of a degree or more, 1e-11 metres below that.
 _FIXED_POINT = float(2**52)
@@ -108,8 +109,9 @@ def point_in_polygon(lat: Column, lon: Column, ring: Ring) -> Column:
             edges.append((low_x, low_y, high_x, high_y, min(ax, bx), max(ax, bx)))
     if not edges:
         return F.lit(False)
-    names = ("px", "py", "qx", "qy", "min_x", "max_x")
-    literal = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, e)]) for e in edges])
+    literal = F.array(
+        *[F.struct(*[F.lit(v).alias(n) for n, v in zip(EDGE_FIELDS, e)]) for e in edges]
+    )
     exact = inside_edges(lat, lon, literal)
     if len(edges) > UNROLLED_EDGES:
         return box & exact
@@ -117,12 +119,18 @@ def point_in_polygon(lat: Column, lon: Column, ring: Ring) -> Column:
     return box & F.when(quick < F.lit(_ON_EDGE), _is_odd_crossing(quick)).otherwise(exact)
 
 
+def _side_code(x: Column, y: Column, px: Column, py: Column, qx: Column, qy: Column) -> Column:
+    """1 left of the edge's line, 0 right of it, _ON_EDGE within rounding of it."""
+    side = F.signum((px - x) * (qy - y) - (qx - x) * (py - y))
+    by_side = F.array(*[F.lit(v).cast("long") for v in (0, _ON_EDGE, 1)])
+    return F.get(by_side, (side + 1).cast("int"))
+
+
 def _quick_codes(x: Column, y: Column, edges: list[tuple[float, ...]]) -> list[Column]:
     """Per edge 1 for a crossing, 0 for none, and _ON_EDGE where only the exact test can tell.
 
     Kept short, with each coordinate named few times, so that the generated code stays small.
     """
-    by_side = F.array(*[F.lit(v).cast("long") for v in (0, _ON_EDGE, 1)])
     unclear = lambda condition: F.when(condition, F.lit(_ON_EDGE)).otherwise(F.lit(0).cast("long"))
     codes, tops, covered = [], set(), set()
     for px, py, qx, qy, min_x, max_x in edges:
@@ -130,9 +138,8 @@ def _quick_codes(x: Column, y: Column, edges: list[tuple[float, ...]]) -> list[C
             codes.append(unclear((y == F.lit(py)) & x.between(min_x, max_x)))
             covered |= {(px, py), (qx, qy)}
             continue
-        side = F.signum((F.lit(px) - x) * (F.lit(qy) - y) - (F.lit(qx) - x) * (F.lit(py) - y))
-        value = F.get(by_side, (side + 1).cast("int"))
-        codes.append(F.when((y >= F.lit(py)) & (y < F.lit(qy)), value).otherwise(F.lit(0).cast("long")))
+        side = _side_code(x, y, *map(F.lit, (px, py, qx, qy)))
+        codes.append(F.when((y >= F.lit(py)) & (y < F.lit(qy)), side).otherwise(F.lit(0).cast("long")))
         covered.add((px, py))
         tops.add((qx, qy))
     # The upper end is left out of an edge, so peaks are looked at on their own.
@@ -145,10 +152,31 @@ def edges_total(lat: Column, lon: Column, edges: Column) -> Column:
 
 
 def inside_edges(lat: Column, lon: Column, edges: Column) -> Column:
-    """Interior test against an edge array column made by :func:`directed_edges`."""
+    """Interior test against an edge array made by :func:`directed_edges`."""
     return _is_odd_crossing(edges_total(lat, lon, edges))
 
 
+def inside_edge_arrays(lat: Column, lon: Column, arrays: Column, most: int) -> Column:
+    """The same against a struct of arrays, one per edge field, with at most ``most`` edges.
+
+    Few edges are tested by generated code; the loop over them, which Spark interprets, runs only for
+    points that may lie on an edge.
+    """
+    exact = inside_edges(lat, lon, F.arrays_zip(*[arrays[name] for name in EDGE_FIELDS]))
+    if not 0 < most <= UNROLLED_EDGES // 2:
+        return exact
+    codes = []
+    for i in range(most):
+        px, py, qx, qy, min_x, max_x = (F.get(arrays[name], F.lit(i)) for name in EDGE_FIELDS)
+        codes.append(
+            F.when((lon >= py) & (lon < qy), _side_code(lat, lon, px, py, qx, qy))
+            .when((lon == qy) & lat.between(min_x, max_x), F.lit(_ON_EDGE))
+            .otherwise(F.lit(0).cast("long"))
+        )
+    quick = _add_balanced(codes)
+    return F.when(quick < F.lit(_ON_EDGE), _is_odd_crossing(quick)).otherwise(exact)
+
+
 def checked_ring(ring: Column) -> Column:
     """The ring column; fails at run time on fewer than 3 vertices."""
     message = F.lit("a ring needs at least 3 vertices")
@@ -173,6 +201,12 @@ def ring_edges(ring: Column) -> Column:
     )
 
 
+def edge_arrays(edges: Column) -> Column:
+    """Edges as a struct of arrays of numbers, one per field."""
+    field = lambda name: F.transform(edges, lambda e: e[name]).alias(name)
+    return F.struct(*[field(name) for name in EDGE_FIELDS])
+
+
 def directed_edges(ring: Column) -> Column:
     """Edges from their lower to their upper end, with their latitude range."""
 

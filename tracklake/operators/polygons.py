@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracklake.functions.geometry import directed_edges, inside_edges, point_in_polygon
-from tracklake.functions.geometry import Ring, ring_edges
+from tracklake.functions.geometry import (
+    Ring,
+    directed_edges,
+    edge_arrays,
+    inside_edge_arrays,
+    point_in_polygon,
+    ring_edges,
+)
 
 # At most this many doublings of the smallest cell; the coarsest cells span the whole globe.
 MAX_LEVEL = 24
@@ -43,7 +49,8 @@ def _gridded(polygons: DataFrame, cell: float) -> DataFrame:
     extent = F.greatest(F.col("_maxlat") - F.col("_minlat"), F.col("_maxlon") - F.col("_minlon"))
     doublings = F.ceil(F.log2(F.greatest(extent / F.lit(cell), F.lit(1.0))))
     level = F.least(doublings, F.lit(MAX_LEVEL)).cast("int")
-    return boxed.withColumns({"_level": level, "_is_box": _is_box()}).drop("ring")
+    columns = {"_level": level, "_is_box": _is_box(), "_arrays": edge_arrays(F.col("_edges"))}
+    return boxed.withColumns(columns).drop("ring", "_edges")
 
 
 def _is_box() -> Column:
@@ -79,11 +86,12 @@ def points_in_polygons(
     # At most MAX_LEVEL + 1 rows, whatever the number of polygons.
     used = (
         grid.groupBy("_level")
-        .agg(F.sum(F.size("_edges")).alias("vertices"))
+        .agg(F.sum(F.size("_arrays.px")).alias("vertices"), F.max(F.size("_arrays.px")).alias("most"))
         .orderBy("_level")
         .collect()
     )
     small = sum(r.vertices for r in used) <= max_broadcast_vertices
+    most = max((r.most for r in used), default=0)
 
     def size(level: Column) -> Column:
         return F.lit(cell) * F.pow(F.lit(2.0), level)
@@ -117,6 +125,6 @@ def points_in_polygons(
     )
     return (
         placed.join(cells, keys)
-        .where(in_box & (F.col("_is_box") | inside_edges(lat, lon, F.col("_edges"))))
+        .where(in_box & (F.col("_is_box") | inside_edge_arrays(lat, lon, F.col("_arrays"), most)))
         .select(*points.columns, "polygon_id")
     )

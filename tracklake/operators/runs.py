@@ -22,11 +22,12 @@ from tracklake.operators.blocks import (
     sum_before,
     to_blocks,
 )
-from tracklake.session import materialize
+from tracklake.session import estimated_bytes, materialize
 
 TRACK_BLOCK = ["track_id", BLOCK]
 # A new run starts when the inside position before is more than this many steps back.
 _RUN_REACH = 3
+LARGE_INPUT = 8 << 30
 
 
 def _spread(df: DataFrame, before: int, after: int, bits: int) -> DataFrame:
@@ -53,11 +54,6 @@ def _in_block() -> Window:
     return Window.partitionBy(*TRACK_BLOCK).orderBy("seq")
 
 
-def _start_flag(keep: str = "keep") -> Column:
-    before = F.lag(keep, 1, False).over(_in_block())
-    return (F.col(keep) & ~before).cast("int")
-
-
 def halo_keep(
     positions: DataFrame, inside: Column | str = "inside", bits: int = BLOCK_BITS
 ) -> DataFrame:
@@ -75,7 +71,9 @@ def segment_runs(positions: DataFrame, keep: str = "keep", bits: int = BLOCK_BIT
     columns = [c for c in positions.columns if c != keep]
     flagged = positions.withColumn("keep", F.col(keep))
     spread = _to_track_blocks(_spread(flagged, 1, 0, bits))
-    starts = _own(spread.withColumn("_start", _start_flag()), bits)
+    before = F.lag("keep", 1, False).over(_in_block())
+    kept = _own(spread.withColumn("_before", before), bits).where("keep")
+    starts = kept.withColumn("_start", (~F.col("_before")).cast("int"))
     totals = starts.groupBy(*TRACK_BLOCK).agg(F.sum("_start").alias("_n"))
     return _numbered(starts, block_offsets(totals, ["track_id"], "_n", "_offset"), columns)
 
@@ -85,7 +83,6 @@ def _numbered(starts: DataFrame, offsets: DataFrame, columns: list[str]) -> Data
     run = (F.col("_offset") + F.col("_running") - 1).cast("long")
     return (
         starts.withColumn("_running", running)
-        .where("keep")
         .join(offsets, TRACK_BLOCK)
         .select("track_id", run.alias("run"), *[c for c in columns if c != "track_id"])
     )
@@ -118,24 +115,33 @@ def clip_tracks(
     positions: DataFrame,
     ring: Ring,
     bits: int = BLOCK_BITS,
-    selective: bool = False,
+    selective: bool | None = None,
     max_broadcast_blocks: int = 500_000,
 ) -> DataFrame:
     """Runs of the positions in the polygon: (track_id, run, seq, lat, lon, ts_ms).
 
     Positions are shuffled once, on (track_id, block). With ``selective`` the blocks that hold kept
     rows are computed and counted first, and if they are few they are broadcast, so that all other
-    positions are dropped before the shuffle; use it when the polygon covers little of the data.
+    positions are dropped before the shuffle. By default that is done for large inputs only, where
+    the extra job pays.
     """
     inside = point_in_polygon(F.col("lat"), F.col("lon"), ring)
     blocks = _touched_blocks(positions, inside, bits)
     spread = _spread(positions.withColumn("_inside", inside), 2, 1, bits)
+    if selective is None:
+        selective = estimated_bytes(positions) > LARGE_INPUT
     if selective:
         blocks = broadcast_if_small(materialize(blocks), max_broadcast_blocks)
         spread = spread.join(blocks.select(*TRACK_BLOCK), TRACK_BLOCK, "left_semi")
-    keep = F.max("_inside").over(_in_block().rowsBetween(-1, 1))
-    kept = _to_track_blocks(spread).withColumn("keep", keep)
-    starts = _own(kept.withColumn("_start", _start_flag()), bits)
+    window = _in_block()
+    flagged = _to_track_blocks(spread).select(
+        "*",
+        F.max("_inside").over(window.rowsBetween(-1, 1)).alias("keep"),
+        F.max("_inside").over(window.rowsBetween(-2, 0)).alias("_before"),
+    )
+    # Run numbers are worked out over the kept rows alone.
+    follows = (F.col("seq") > 0) & F.col("_before")
+    starts = _own(flagged, bits).where("keep").withColumn("_start", (~follows).cast("int"))
     columns = ["track_id", "seq", "lat", "lon", "ts_ms"]
     return _numbered(starts, blocks, columns)
 

@@ -39,7 +39,7 @@ def ways_in_polygon(
 
 
 def clip_and_export(
-    positions: DataFrame, ring: Ring, highway: str = "cycleway", selective: bool = False
+    positions: DataFrame, ring: Ring, highway: str = "cycleway", selective: bool | None = None
 ) -> DataFrame | None:
     """Map elements of the runs in the polygon, or None when there are none."""
     runs = materialize(clip_tracks(positions, ring, selective=selective))

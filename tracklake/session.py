@@ -65,3 +65,9 @@ def materialize(df: DataFrame) -> DataFrame:
             return df
         context.setCheckpointDir(root)
     return df.checkpoint(eager=True)
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate, from file sizes and column widths; runs nothing."""
+    stats = df._jdf.queryExecution().optimizedPlan().stats()
+    return int(str(stats.sizeInBytes()))
