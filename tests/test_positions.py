@@ -35,6 +35,12 @@ def test_missing_coordinates_do_not_split_a_run(spark):
     assert sorted((r.run, r.seq) for r in clip) == [(0, 0), (0, 1), (0, 2)]
 
 
+def test_renumber(spark):
+    df = spark.createDataFrame([(1, i, float(i), 0.0, i) for i in range(9)], schemas.POSITIONS)
+    got = positions.renumber(df.where("lat <> 3 and lat <> 4")).orderBy("seq").collect()
+    assert [(r.seq, r.lat) for r in got] == list(enumerate([0.0, 1.0, 2.0, 5.0, 6.0, 7.0, 8.0]))
+
+
 def test_semicircles(spark):
     df = spark.createDataFrame([(-(2**31),), (0,), (2**30,)], "s int")
     assert [r[0] for r in df.select(semi_to_deg(F.col("s"))).collect()] == [-180.0, 0.0, 90.0]

@@ -101,7 +101,7 @@ def test_order_is_sequence_not_time(spark):
 
 
 def test_export_numbers(spark, monkeypatch):
-    monkeypatch.setattr(blocks, "BLOCK_BITS", 1)
+    monkeypatch.setattr(blocks.sum_before, "__defaults__", (1,))
     rng = random.Random(7)
     tracks = {t: "".join(rng.choice("iooo") for _ in range(40)) for t in (5, 2, 11, 3)}
     clip = runs.clip_tracks(table(spark, tracks), SQUARE, bits=2)
@@ -149,9 +149,10 @@ def test_numbering_across_blocks(spark, keys):
     assert {(r.k, r.v): r.n for r in numbered.collect()} == {
         (r[0], r[1]): i for g in groups.values() for i, r in enumerate(g)
     }
-    summed = blocks.sum_before(df, keys, "v", {"s": "w"}, bits=3)
     wanted = {}
     for g in groups.values():
         for i, r in enumerate(g):
             wanted[r[0], r[1]] = sum(x[2] for x in g[:i])
-    assert {(r.k, r.v): r.s for r in summed.collect()} == wanted
+    for levels in (0, 1, 2):
+        summed = blocks.sum_before(df, keys, "v", {"s": "w"}, levels, bits=3)
+        assert {(r.k, r.v): r.s for r in summed.collect()} == wanted

@@ -41,13 +41,41 @@ def before_in_key(keys: Sequence[str], order: str = BLOCK) -> Window:
     )
 
 
-def block_offsets(totals: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    """Per block the sum of ``value`` over the key's earlier blocks.
+def sum_before(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    values: dict[str, str],
+    levels: int,
+    bits: int = BLOCK_BITS,
+) -> DataFrame:
+    """Adds running sums over the key's earlier rows: ``values`` maps new columns to summed ones.
 
-    ``totals`` has one row per (key, block), so this window sees 2**bits times fewer rows.
+    ``order`` is a whole number, unique within the key. Each level sums within blocks and hands the
+    blocks' totals to the next one; the last one is a plain window per key over what is left, which is
+    ``2**(bits * levels)`` times shorter than the range of ``order``.
     """
-    earlier = F.sum(value).over(before_in_key(keys))
-    return totals.select(*keys, BLOCK, F.coalesce(earlier, F.lit(0)).cast("long").alias(out))
+    zero = F.lit(0)
+    if levels == 0:
+        earlier = before_in_key(keys, order)
+        sums = [F.coalesce(F.sum(v).over(earlier), zero).cast("long").alias(o) for o, v in values.items()]
+        return df.select("*", *sums)
+    block = f"{BLOCK}_{levels}"
+    blocked = df.withColumn(block, block_of(order, bits))
+    totals = blocked.groupBy(*keys, block).agg(*[F.sum(v).alias(f"_t_{o}") for o, v in values.items()])
+    carried = {f"_o_{o}": f"_t_{o}" for o in values}
+    offsets = sum_before(totals, keys, block, carried, levels - 1, bits).select(*keys, block, *carried)
+    within = before_in_key([*keys, block], order)
+    sums = [F.coalesce(F.sum(v).over(within), zero).alias(f"_l_{o}") for o, v in values.items()]
+    local = blocked.repartition(*keys, block).select("*", *sums)
+    whole = [(F.col(f"_l_{o}") + F.col(f"_o_{o}")).cast("long").alias(o) for o in values]
+    return local.join(offsets, [*keys, block]).select(*df.columns, *whole)
+
+
+def block_offsets(totals: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """Per block the sum of ``value`` over the key's earlier blocks; one row per (key, block)."""
+    # Without a key all blocks would meet in one task, so they are summed in blocks again.
+    return sum_before(totals, keys, BLOCK, {out: value}, 0 if keys else 1).select(*keys, BLOCK, out)
 
 
 def number_rows(
@@ -74,41 +102,10 @@ def number_rows(
     )
 
 
-def sum_before(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    values: dict[str, str],
-    bits: int = BLOCK_BITS,
-) -> DataFrame:
-    """Adds running sums over the key's earlier rows: ``values`` maps new columns to summed ones.
-
-    ``order`` is a whole number, unique within the key.
-    """
-    blocked = df.withColumn(BLOCK, block_of(order, bits))
-    within = before_in_key([*keys, BLOCK], order)
-    totals = blocked.groupBy(*keys, BLOCK).agg(*[F.sum(v).alias(f"_t_{o}") for o, v in values.items()])
-    across = before_in_key(keys)
-    offsets = totals.select(
-        *keys, BLOCK, *[F.sum(f"_t_{o}").over(across).alias(f"_o_{o}") for o in values]
-    )
-    sums = [F.sum(v).over(within).alias(f"_l_{o}") for o, v in values.items()]
-    local = to_blocks(blocked, keys).select("*", *sums)
-    joined = local.join(offsets, [*keys, BLOCK])
-    zero = F.lit(0)
-    return joined.select(
-        *df.columns,
-        *[
-            (F.coalesce(f"_l_{o}", zero) + F.coalesce(f"_o_{o}", zero)).cast("long").alias(o)
-            for o in values
-        ],
-    )
-
-
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Marks a stored frame for broadcast when it has at most ``max_rows`` rows.
 
     Counts the rows (one action, so pass something cheap or materialized); beyond the limit the
     frame comes back unmarked and the join shuffles.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if df.count() <= max_rows else df

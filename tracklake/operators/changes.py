@@ -16,12 +16,17 @@ CHANGE, GENERATED, REQUEST = "change", "generated", "request"
 
 
 def last_change(changes: DataFrame) -> DataFrame:
-    """Each key's last add or remove; other messages are ignored. Works on batches and streams."""
+    """Each key's last add or remove; other messages are ignored. Works on batches and streams.
+
+    Two numbers per key, which are aggregated in place.
+    """
+    last_add = F.max(F.when(F.col("kind") == ADDED, F.col("order_no")))
+    kind = F.when(F.col("_added") == F.col("order_no"), ADDED).otherwise(REMOVED)
     return (
         changes.where(F.col("kind").isin(ADDED, REMOVED))
         .groupBy("key")
-        .agg(F.max(F.struct("order_no", "kind")).alias("_last"))
-        .select("key", "_last.order_no", "_last.kind")
+        .agg(F.max("order_no").alias("order_no"), last_add.alias("_added"))
+        .select("key", "order_no", kind.alias("kind"))
     )
 
 

@@ -180,10 +180,9 @@ def _ranked(summary: DataFrame) -> DataFrame:
     tracks = summary.groupBy("track_id").agg(
         F.count(F.lit(1)).alias("_runs"), F.sum("n").alias("_nodes")
     )
-    tracks = sum_before(
-        tracks, [], "track_id", {"_runs_before": "_runs", "_nodes_before": "_nodes"}
-    )
-    within = sum_before(summary, ["track_id"], "run", {"_nodes_earlier": "n"})
+    before = {"_runs_before": "_runs", "_nodes_before": "_nodes"}
+    tracks = sum_before(tracks, [], "track_id", before, levels=2)
+    within = sum_before(summary, ["track_id"], "run", {"_nodes_earlier": "n"}, levels=1)
     later_nodes = F.col("_nodes") - F.col("_nodes_earlier") - F.col("n")
     rank = F.col("_runs_before") + F.col("_runs") - 1 - F.col("run")
     return within.join(tracks, "track_id").select(

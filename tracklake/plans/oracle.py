@@ -17,8 +17,10 @@ def _grid(number: str, a: int, b: int, origin: int) -> str:
 
 _RECORDS = f"""records as (
   select user_id as track_id, rn - 1 as seq, event_type, ts,
-    case when event_type <> 'error' then {_grid("rn", 37, 101, 461900000)} end as position_lat,
-    case when event_type <> 'error' then {_grid("rn", 53, 211, -109400000)} end as position_long
+    (case when event_type <> 'error' then {_grid("rn", 37, 101, 461900000)} end)::integer
+      as position_lat,
+    (case when event_type <> 'error' then {_grid("rn", 53, 211, -109400000)} end)::integer
+      as position_long
   from (select *, row_number() over (partition by user_id order by ts, event_id) as rn from events))"""
 
 _POSITIONS = f"""positions as (
@@ -49,7 +51,7 @@ _CLASS = """case o_orderpriority when '1-URGENT' then 'cycleway' when '2-HIGH' t
     when '3-MEDIUM' then 'primary' when '4-NOT SPECIFIED' then 'track' when '5-LOW' then 'steps' end"""
 
 _WAY_TAGS = f"""way_tags as (
-  select o_orderkey as way_id, 0 as pos, 'surface' as k, o_orderstatus as v from orders
+  select o_orderkey as way_id, 0::bigint as pos, 'surface' as k, o_orderstatus as v from orders
   union all select o_orderkey, 1, 'highway', {_CLASS} from orders
   union all select o_orderkey, 2, 'highway', 'cycleway' from orders where o_orderstatus = 'F')"""
 
