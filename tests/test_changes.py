@@ -92,6 +92,12 @@ def test_chunks(spark, bits):
     assert {r.message_id: r.text for r in messages.reassemble_chunks(df, bits).collect()} == whole
 
 
+def test_binary_chunks(spark):
+    rows = [(1, 1, bytearray(b"\xff\x00")), (1, 0, bytearray(b"\x01")), (1, 2, bytearray(b""))]
+    df = spark.createDataFrame(rows, "message_id long, n long, chunk binary")
+    assert bytes(messages.reassemble_chunks(df).first().data) == b"\x01\xff\x00"
+
+
 def test_fingerprint_ignores_order_only(spark):
     df = spark.createDataFrame([("a",), ("b",), ("c",)], "t string")
     one = messages.fingerprint(df, "t").first()

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracklake import schemas
-from tracklake.operators import changes, positions, runs, store, ways
+from tracklake.operators import changes, keys, positions, runs, store, ways
 from tracklake.plans import fixtures
 
 
@@ -105,3 +105,69 @@ def test_null_filter_reaches_the_scan(spark, tmp_path):
 def test_numbering_has_no_single_task_over_rows(stored, no_broadcast):
     text = plan(runs.segment_runs(runs.halo_keep(stored, F.col("lat") > 0)))
     assert "SinglePartition" not in text
+
+
+@pytest.fixture
+def small_skew_limits(spark, no_broadcast, monkeypatch):
+    monkeypatch.setattr(keys, "MAX_BROADCAST_KEYS", 0)
+    limits = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    for name, value in limits.items():
+        spark.conf.set(name, value)
+    yield
+    for name in limits:
+        spark.conf.unset(name)
+
+
+def executed(df):
+    """The plan as it was adapted while running."""
+    df._jdf.queryExecution().executedPlan().executeCollectPublic()
+    return plan(df)
+
+
+def test_hot_node_is_split(spark, small_skew_limits):
+    refs = spark.range(0, 300_000, numPartitions=16).select(
+        F.col("id").alias("way_id"),
+        (F.col("id") * 3).alias("pos"),
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 1000).alias("ref"),
+    )
+    nodes = spark.range(1000).select("id", F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon"))
+    for mode in ("error", "drop"):
+        assert "skew=true" in executed(ways.resolve_ways(refs, nodes, on_missing=mode))
+
+
+def test_hot_way_is_split(spark, small_skew_limits):
+    refs = spark.range(0, 300_000, numPartitions=16).select(
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 1000).alias("way_id"),
+        F.col("id").alias("pos"),
+        (F.col("id") * 7).alias("ref"),
+    )
+    tags = spark.range(1000).select(
+        F.col("id").alias("way_id"), F.lit(0).alias("pos"), F.lit("highway").alias("k"), F.lit("cycleway").alias("v")
+    )
+    chosen = keys.key_set(ways.is_cycleway(tags))
+    assert "skew=true" in executed(ways.of_ways(refs, chosen))
+
+
+def test_small_key_sets_are_broadcast(spark):
+    few = keys.key_set(spark.range(10).select(F.col("id").alias("way_id")))
+    many = keys.key_set(spark.range(10).select(F.col("id").alias("way_id")), max_broadcast=9)
+    refs = spark.range(100).select(F.col("id").alias("way_id"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastHashJoin" in plan(ways.of_ways(refs, few))
+        assert "SortMergeJoin" in plan(ways.of_ways(refs, many))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_hot_content_is_split(spark, small_skew_limits):
+    offers = spark.range(0, 300_000, numPartitions=16).select(
+        F.md5(F.col("id").cast("string")).alias("name"),
+        F.md5(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).cast("string")).alias("hash"),
+    )
+    known = spark.range(5000).select(F.md5(F.col("id").cast("string")).alias("hash"))
+    assert "skew=true" in executed(store.offer_hashes(offers, known))

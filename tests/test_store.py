@@ -137,8 +137,13 @@ def test_decoder_hook(spark):
                 .rename(columns={"id": "track_id"})
             )[["track_id", "seq", "position_lat", "position_long", "ts"]]
 
-    got = tracks.decode_tracks(blobs(spark, b"\x05\x06", b"\x07"), decode)
+    stored = blobs(spark, b"\x05\x06", b"\x07")
+    got = tracks.decode_tracks(stored, decode)
     assert pairs(got, "track_id", "seq", "position_lat") == [(1, 0, 5), (1, 1, 6), (2, 0, 7)]
+    degree = 180.0 / 2**31
+    assert pairs(workflows.all_positions(stored, decode), "track_id", "seq", "lat") == [
+        (1, 0, 5 * degree), (1, 1, 6 * degree), (2, 0, 7 * degree),
+    ]
 
 
 @pytest.mark.parametrize("source", ["parquet", "csv", "json"])

@@ -101,11 +101,3 @@ def number_rows(
         .select(*df.columns, out)
     )
 
-
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Marks a stored frame for broadcast when it has at most ``max_rows`` rows.
-
-    Counts the rows (one action, so pass something cheap or materialized); beyond the limit the
-    frame comes back unmarked and the join shuffles.
-    """
-    return F.broadcast(df) if df.count() <= max_rows else df

@@ -32,10 +32,13 @@ def rewrite_by_kind(df: DataFrame, kind: str, field: str, value: Column) -> Data
 
 
 def reassemble_chunks(chunks: DataFrame, bits: int = CHUNK_BITS) -> DataFrame:
-    """Message texts from their fragments in order ``n``: (message_id, text).
+    """Whole messages from their fragments in order ``n``: (message_id, text) or (message_id, data).
 
-    Fragments are joined in stretches of ``2**bits`` first, so the last step sees few long pieces.
+    Fragments are texts or bytes. They are joined in stretches of ``2**bits`` first, so the last step
+    sees few long pieces; bytes travel as hex digits, for which Spark has an array join.
     """
+    binary = isinstance(chunks.schema["chunk"].dataType, T.BinaryType)
+    chunk = F.hex("chunk") if binary else F.col("chunk")
 
     def join(df: DataFrame, *keys: str) -> DataFrame:
         ordered = F.array_sort(F.collect_list(F.struct("_place", "chunk")))
@@ -43,10 +46,16 @@ def reassemble_chunks(chunks: DataFrame, bits: int = CHUNK_BITS) -> DataFrame:
         return df.groupBy(*keys).agg(text.alias("chunk"))
 
     placed = chunks.select(
-        "message_id", F.shiftright("n", bits).alias("_stretch"), F.col("n").alias("_place"), "chunk"
+        "message_id",
+        F.shiftright("n", bits).alias("_stretch"),
+        F.col("n").alias("_place"),
+        chunk.alias("chunk"),
     )
     stretches = join(placed, "message_id", "_stretch").withColumnRenamed("_stretch", "_place")
-    return join(stretches, "message_id").withColumnRenamed("chunk", "text")
+    whole = join(stretches, "message_id")
+    if binary:
+        return whole.select("message_id", F.unhex("chunk").alias("data"))
+    return whole.withColumnRenamed("chunk", "text")
 
 
 def fingerprint(df: DataFrame, column: str) -> DataFrame:

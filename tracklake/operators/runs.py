@@ -18,11 +18,11 @@ from tracklake.operators.blocks import (
     BLOCK_BITS,
     block_of,
     block_offsets,
-    broadcast_if_small,
     sum_before,
     to_blocks,
 )
-from tracklake.session import estimated_bytes, materialize
+from tracklake.operators.keys import key_set
+from tracklake.session import estimated_bytes
 
 TRACK_BLOCK = ["track_id", BLOCK]
 # A new run starts when the inside position before is more than this many steps back.
@@ -116,7 +116,7 @@ def clip_tracks(
     ring: Ring,
     bits: int = BLOCK_BITS,
     selective: bool | None = None,
-    max_broadcast_blocks: int = 500_000,
+    max_broadcast_blocks: int | None = None,
 ) -> DataFrame:
     """Runs of the positions in the polygon: (track_id, run, seq, lat, lon, ts_ms).
 
@@ -131,7 +131,7 @@ def clip_tracks(
     if selective is None:
         selective = estimated_bytes(positions) > LARGE_INPUT
     if selective:
-        blocks = broadcast_if_small(materialize(blocks), max_broadcast_blocks)
+        blocks = key_set(blocks, max_broadcast_blocks)
         spread = spread.join(blocks.select(*TRACK_BLOCK), TRACK_BLOCK, "left_semi")
     window = _in_block()
     flagged = _to_track_blocks(spread).select(

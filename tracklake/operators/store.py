@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracklake.functions.scalar import md5_upper
 from tracklake.operators.blocks import number_rows
+from tracklake.operators.keys import key_set
 from tracklake.operators.ways import last_by_key
 
 
@@ -39,7 +40,7 @@ def append_tracks(tracks: DataFrame, new: DataFrame, order: str) -> DataFrame:
 
 def delete_tracks(tracks: DataFrame, ids: DataFrame) -> DataFrame:
     """The tracks without the given ids; unknown ids do nothing."""
-    return tracks.join(ids.select("id"), "id", "left_anti")
+    return tracks.join(ids.select("id").distinct(), "id", "left_anti")
 
 
 def removal_messages(ids: DataFrame) -> DataFrame:
@@ -61,8 +62,11 @@ def known_hashes(tracks: DataFrame) -> DataFrame:
 
 
 def offer_hashes(offers: DataFrame, tracks: DataFrame) -> DataFrame:
-    """Answers each offered hash: accept if no track has it, else confirm."""
-    known = known_hashes(tracks).select(F.col("hash").alias("_known"))
+    """Answers each offered hash: accept if no track has it, else confirm.
+
+    The known hashes are computed and stored first.
+    """
+    known = key_set(known_hashes(tracks).select(F.col("hash").alias("_known")))
     answer = F.when(F.col("_known").isNull(), "accept").otherwise("confirm")
     joined = offers.join(known, offers["hash"] == known["_known"], "left")
     return joined.select(*[offers[c] for c in offers.columns], answer.alias("answer"))
@@ -76,9 +80,9 @@ def last_file_per_hash(files: DataFrame, order: str) -> DataFrame:
 def new_files(files: DataFrame, done: DataFrame, order: str) -> DataFrame:
     """Scanned files whose hash is not processed yet, one per hash.
 
-    Copies are reduced before the join, so a hash with many copies does not skew it.
+    Copies are reduced before the join on both sides, so a hash with many copies does not skew it.
     """
-    return last_file_per_hash(files, order).join(done.select("hash"), "hash", "left_anti")
+    return last_file_per_hash(files, order).join(known_hashes(done), "hash", "left_anti")
 
 
 def accepted_uploads(accepted: DataFrame, files: DataFrame, order: str) -> DataFrame:
@@ -91,4 +95,4 @@ def set_add(keys: DataFrame, added: DataFrame) -> DataFrame:
 
 
 def set_remove(keys: DataFrame, removed: DataFrame) -> DataFrame:
-    return keys.join(removed, keys.columns, "left_anti")
+    return keys.join(removed.distinct(), keys.columns, "left_anti")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracklake.functions.geometry import Ring
+from tracklake.operators.keys import key_set
 from tracklake.operators.polygons import points_inside
 from tracklake.operators.positions import PIECE_BITS, collect_pieces
 
@@ -93,28 +94,39 @@ def tag_values(way_tags: DataFrame, key: str = "highway") -> DataFrame:
     return way_tags.where(F.col("k") == key).select("v").distinct().orderBy("v")
 
 
+def of_ways(df: DataFrame, ways: DataFrame) -> DataFrame:
+    """The rows (references, tags) of the given ways."""
+    return df.join(ways.select("way_id"), "way_id", "left_semi")
+
+
 def distinct_refs(way_nodes: DataFrame, ways: DataFrame | None = None) -> DataFrame:
     """Distinct node ids used by the ways (all, or those in ``ways``)."""
     if ways is not None:
-        way_nodes = way_nodes.join(ways.select("way_id"), "way_id", "left_semi")
+        way_nodes = of_ways(way_nodes, ways)
     return way_nodes.select("ref").distinct()
 
 
 def referenced_nodes(nodes: DataFrame, way_nodes: DataFrame, ways: DataFrame) -> DataFrame:
-    """Nodes used by the given ways."""
-    refs = distinct_refs(way_nodes, ways)
+    """Nodes used by the given ways. The ways, then the node ids, are computed and stored first."""
+    return nodes_with_ids(nodes, distinct_refs(way_nodes, key_set(ways.select("way_id").distinct())))
+
+
+def nodes_with_ids(nodes: DataFrame, refs: DataFrame) -> DataFrame:
+    refs = key_set(refs)
     return nodes.join(refs, nodes["id"] == refs["ref"], "left_semi")
 
 
 def way_subset(tables: MapTables, value: str = "cycleway", key: str = "highway") -> MapTables:
-    """The sub-document of matching ways: their nodes and tags, no relations."""
-    chosen = is_cycleway(tables.way_tags, value, key)
-    keep = lambda df: df.join(chosen, "way_id", "left_semi")
+    """The sub-document of matching ways: their nodes and tags, no relations.
+
+    The matching ways and their node ids are computed and stored first.
+    """
+    chosen = key_set(is_cycleway(tables.way_tags, value, key))
     return MapTables(
-        nodes=referenced_nodes(tables.nodes, tables.way_nodes, chosen),
-        ways=keep(tables.ways),
-        way_nodes=keep(tables.way_nodes),
-        way_tags=keep(tables.way_tags),
+        nodes=nodes_with_ids(tables.nodes, distinct_refs(tables.way_nodes, chosen)),
+        ways=of_ways(tables.ways, chosen),
+        way_nodes=of_ways(tables.way_nodes, chosen),
+        way_tags=of_ways(tables.way_tags, chosen),
     )
 
 
@@ -139,9 +151,12 @@ def ways_touching(
     key: str = "highway",
     value: str = "cycleway",
 ) -> DataFrame:
-    """Ids of the ways with a node in the polygon and the tag at any place among their tags."""
-    inside = points_inside(nodes, ring).select("id")
-    tagged = way_tags.where((F.col("k") == key) & (F.col("v") == value)).select("way_id")
+    """Ids of the ways with a node in the polygon and the tag at any place among their tags.
+
+    The nodes in the polygon are computed and stored first.
+    """
+    inside = key_set(points_inside(nodes, ring).select("id"))
+    tagged = way_tags.where((F.col("k") == key) & (F.col("v") == value)).select("way_id").distinct()
     return (
         way_nodes.join(inside, way_nodes["ref"] == inside["id"], "left_semi")
         .select("way_id")
@@ -153,12 +168,12 @@ def ways_touching(
 def ways_with_nodes(way_nodes: DataFrame, nodes: DataFrame, ways: DataFrame) -> DataFrame:
     """The given ways and all their nodes, also those outside the polygon, without tags.
 
-    Element rows (type, id, pos, ref, lat, lon): one per way reference and one per node.
+    Element rows (type, id, pos, ref, lat, lon): one per way reference and one per node. The ways,
+    then the node ids, are computed and stored first.
     """
-    chosen = way_nodes.join(ways.select("way_id"), "way_id", "left_semi")
+    chosen = of_ways(way_nodes, key_set(ways.select("way_id").distinct()))
     way_rows = chosen.select(F.lit("way").alias("type"), F.col("way_id").alias("id"), "pos", "ref")
-    refs = distinct_refs(chosen)
-    node_rows = nodes.join(refs, nodes["id"] == refs["ref"], "left_semi").select(
+    node_rows = nodes_with_ids(nodes, distinct_refs(chosen)).select(
         F.lit("node").alias("type"), "id", "lat", "lon"
     )
     return union_elements(way_rows, node_rows).select("type", "id", "pos", "ref", "lat", "lon")

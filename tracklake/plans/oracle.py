@@ -179,7 +179,7 @@ ORACLE: dict[str, str] = {
       select user_id, event_id, event_type, value from last l
       where rn = 1 and (event_type = 'purchase' or not exists
         (select 1 from events e where e.user_id = l.user_id and e.event_type = 'purchase'))""",
-    "ensure_table": f"with {_HASHED} select id, hash from blobs",
+    "save_snapshot": f"with {_HASHED} select id, hash from blobs",
     "save_polygons": _EDGES,
     "export_osm": f"""with {_IDS}
       select 'node' as kind, node_id as id, null::bigint as pos, null::bigint as ref, lat, lon,

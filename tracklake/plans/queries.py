@@ -159,8 +159,8 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def ensure_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Versioned tables: stored, replaced and read back."""
+def save_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A versioned table, replaced once and read back."""
     path = work_path(spark, "tracks")
     first = fixtures.known_blobs(spark, sf_dir).select("id", "hash")
     snapshots.save_snapshot(first, path, expected=0)

@@ -2,17 +2,38 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracklake.functions.geometry import Ring
+from tracklake.operators.keys import key_set
+from tracklake.operators.messages import fingerprint
+from tracklake.operators.positions import to_positions
 from tracklake.operators.runs import clip_tracks, nothing_to_export
 from tracklake.operators.store import append_tracks, new_files
-from tracklake.operators.ways import distinct_refs, resolve_ways, ways_touching
+from tracklake.operators.ways import (
+    distinct_refs,
+    nodes_with_ids,
+    of_ways,
+    resolve_ways,
+    ways_touching,
+)
 from tracklake.session import materialize
 from tracklake.sources.osm import export_osm
+from tracklake.sources.tracks import decode_tracks
+
+if TYPE_CHECKING:
+    import pandas as pd
+
+
+def all_positions(
+    tracks: DataFrame, decode: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
+) -> DataFrame:
+    """Positions of all stored tracks, decoded from their blobs."""
+    return to_positions(decode_tracks(tracks.select("id", "data"), decode))
 
 
 def ingest_files(files: DataFrame, tracks: DataFrame, order: str) -> DataFrame:
@@ -30,11 +51,14 @@ def ways_in_polygon(
     value: str = "cycleway",
     way_fn: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """The ways touching the polygon with the coordinates of all their nodes, in long form."""
-    ways = ways_touching(way_nodes, nodes, way_tags, ring, key, value)
-    chosen = way_nodes.join(ways, "way_id", "left_semi")
-    refs = distinct_refs(chosen)
-    used = nodes.join(refs, nodes["id"] == refs["ref"], "left_semi")
+    """The ways touching the polygon with the coordinates of all their nodes, in long form.
+
+    The polygon's nodes, the ways and their node ids are computed and stored one after the other; as
+    long as they are few, none of the tables is shuffled.
+    """
+    ways = key_set(ways_touching(way_nodes, nodes, way_tags, ring, key, value))
+    chosen = of_ways(way_nodes, ways)
+    used = nodes_with_ids(nodes, distinct_refs(chosen))
     return resolve_ways(chosen, used, way_fn=way_fn)
 
 
@@ -48,6 +72,4 @@ def clip_and_export(
 
 def elements_fingerprint(elements: DataFrame) -> DataFrame:
     """Content hash of an export for change detection: (fingerprint, n), row order aside."""
-    from tracklake.operators.messages import fingerprint
-
     return fingerprint(elements.select(F.to_json(F.struct("*")).alias("row")), "row")

@@ -52,19 +52,17 @@ def work_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Store a frame that is read several times, so that it is computed once.
+    """Writes a frame that is read several times as a table, so that it is computed once.
 
-    A reliable checkpoint: the result outlives the executors that computed it. Without a shared
+    The table outlives the executors that wrote it, and joins see its true size. Without a shared
     folder the frame is returned as it is and simply recomputed.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        root = shared_dir(spark)
-        if root is None:
-            return df
-        context.setCheckpointDir(root)
-    return df.checkpoint(eager=True)
+    if shared_dir(spark) is None:
+        return df
+    path = work_path(spark, "stored")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def estimated_bytes(df: DataFrame) -> int:
