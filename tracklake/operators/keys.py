@@ -17,6 +17,10 @@ def key_set(keys: DataFrame, max_broadcast: int | None = None) -> DataFrame:
     larger one is shuffled; as a stored table it meets the join without an aggregation in between,
     which lets adaptive execution split the partitions of a hot key.
     """
+    return broadcast_if_small(materialize(keys), max_broadcast)
+
+
+def broadcast_if_small(stored: DataFrame, max_broadcast: int | None = None) -> DataFrame:
+    """Marks a stored frame for broadcast if counting finds few rows, else leaves it as it is."""
     limit = MAX_BROADCAST_KEYS if max_broadcast is None else max_broadcast
-    stored = materialize(keys)
     return F.broadcast(stored) if stored.count() <= limit else stored

@@ -22,7 +22,7 @@ from tracklake.operators.blocks import (
     to_blocks,
 )
 from tracklake.operators.keys import key_set
-from tracklake.session import estimated_bytes
+from tracklake.session import estimated_bytes, materialize
 
 TRACK_BLOCK = ["track_id", BLOCK]
 # A new run starts when the inside position before is more than this many steps back.
@@ -167,8 +167,11 @@ def run_summary(runs: DataFrame) -> DataFrame:
 
 
 def run_order(runs: DataFrame) -> DataFrame:
-    """Output rank of each run: tracks ascending, within a track the last run first."""
-    return _ranked(run_summary(runs)).select("track_id", "run", "n", "run_rank")
+    """Output rank of each run: tracks ascending, within a track the last run first.
+
+    The summary of the runs is computed and stored first.
+    """
+    return _ranked(materialize(run_summary(runs))).select("track_id", "run", "n", "run_rank")
 
 
 def _ranked(summary: DataFrame) -> DataFrame:
@@ -196,9 +199,10 @@ def sequential_ids(runs: DataFrame) -> DataFrame:
     """Adds ``pos`` (place in the run), ``node_id`` and ``way_id`` for an export.
 
     Node ids count from 0 over all runs in output order, way ids over the same list reversed.
-    ``runs`` is read twice; pass a stored frame if it is expensive.
+    The summary of the runs is computed and stored first, so ``runs`` is read twice; pass a stored
+    frame if it is expensive.
     """
-    summary = run_summary(runs)
+    summary = materialize(run_summary(runs))
     n_runs = summary.agg(F.count(F.lit(1)).alias("n")).scalar()
     pos = F.col("seq") - F.col("first_seq")
     return runs.join(_ranked(summary), ["track_id", "run"]).select(

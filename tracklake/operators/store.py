@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from tracklake.functions.scalar import md5_upper
 from tracklake.operators.blocks import number_rows
-from tracklake.operators.keys import key_set
+from tracklake.operators.keys import broadcast_if_small, key_set
 from tracklake.operators.ways import last_by_key
+from tracklake.session import materialize
 
 
 def scan_tracks(tracks: DataFrame, with_data: bool = False) -> DataFrame:
@@ -39,8 +40,8 @@ def append_tracks(tracks: DataFrame, new: DataFrame, order: str) -> DataFrame:
 
 
 def delete_tracks(tracks: DataFrame, ids: DataFrame) -> DataFrame:
-    """The tracks without the given ids; unknown ids do nothing."""
-    return tracks.join(ids.select("id").distinct(), "id", "left_anti")
+    """The tracks without the given ids; unknown ids do nothing. The ids are stored first."""
+    return tracks.join(key_set(ids.select("id").distinct()), "id", "left_anti")
 
 
 def removal_messages(ids: DataFrame) -> DataFrame:
@@ -51,10 +52,10 @@ def removal_messages(ids: DataFrame) -> DataFrame:
 def upsert_latest(base: DataFrame, updates: DataFrame, key: str, order: str) -> DataFrame:
     """Insert or replace: the base without the updated keys, and each key's last update.
 
-    The base is only filtered, never re-aggregated.
+    The last updates are stored first; the base is only filtered, never re-aggregated.
     """
-    latest = last_by_key(updates, key, order)
-    return base.join(latest.select(key), key, "left_anti").unionByName(latest)
+    latest = materialize(last_by_key(updates, key, order))
+    return base.join(broadcast_if_small(latest.select(key)), key, "left_anti").unionByName(latest)
 
 
 def known_hashes(tracks: DataFrame) -> DataFrame:
@@ -95,4 +96,5 @@ def set_add(keys: DataFrame, added: DataFrame) -> DataFrame:
 
 
 def set_remove(keys: DataFrame, removed: DataFrame) -> DataFrame:
-    return keys.join(removed.distinct(), keys.columns, "left_anti")
+    """The keys that are not removed; those are stored first."""
+    return keys.join(key_set(removed.distinct()), keys.columns, "left_anti")
