@@ -119,6 +119,9 @@ def test_export_as_one_document(spark, tmp_path):
     lines = text.splitlines()
     assert lines[0] == '<osm><bounds minlon="5.0" maxlon="5.0" minlat="5.0" maxlat="50.0"/>'
     assert lines[1] == '<node id="0" lat="50.0" lon="5.0"/>' and lines[-1] == "</osm>"
+    same_tables(
+        osm.read_osm_xml(spark, str(tmp_path / "parts"), splittable=True), osm.export_tables(elements)
+    )
     (tmp_path / "whole").mkdir()
     (tmp_path / "whole" / "map.osm").write_text(text)
     same_tables(osm.read_osm_xml(spark, str(tmp_path / "whole")), osm.export_tables(elements))

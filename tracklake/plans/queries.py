@@ -76,17 +76,23 @@ def read_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def read_osm_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The map tables, written as one document in parts and read back in parallel."""
     path = work_path(spark, "map")
-    osm.write_osm_xml(
-        ways.MapTables(
-            nodes=fixtures.nodes(spark, sf_dir),
-            ways=fixtures.ways(spark, sf_dir),
-            way_nodes=fixtures.way_nodes(spark, sf_dir),
-            way_tags=fixtures.way_tags(spark, sf_dir),
-        ),
-        path,
+    nodes = fixtures.nodes(spark, sf_dir)
+    way_id = F.col("way_id").alias("id")
+    box = positions.bounds(nodes)
+    corners = [
+        box.select(F.lit(pos).cast("long").alias("pos"), F.col(lat).alias("lat"), F.col(lon).alias("lon"))
+        for pos, (lat, lon) in enumerate((("minlat", "minlon"), ("maxlat", "maxlon")))
+    ]
+    elements = ways.union_elements(
+        *[corner.withColumn("kind", F.lit("bounds")) for corner in corners],
+        nodes.withColumn("kind", F.lit("node")),
+        fixtures.way_nodes(spark, sf_dir).select(F.lit("nd").alias("kind"), way_id, "pos", "ref"),
+        fixtures.way_tags(spark, sf_dir).select(F.lit("tag").alias("kind"), way_id, "pos", "k", "v"),
     )
-    read = osm.read_osm_xml(spark, f"{path}/*")
+    osm.write_osm_document(elements, path)
+    read = osm.read_osm_xml(spark, path, splittable=True)
     return ways.union_elements(
         read.nodes.select(F.lit("node").alias("type"), "id", "lat", "lon"),
         read.way_nodes.select(F.lit("nd").alias("type"), F.col("way_id").alias("id"), "pos", "ref"),
@@ -95,6 +101,16 @@ def read_osm_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def write_osm_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clipped runs, written with the XML writer and read back with the XML source."""
+    path = work_path(spark, "map")
+    exported = materialize(export_osm(spark, sf_dir))
+    osm.write_osm_xml(osm.export_tables(exported), path)
+    read = osm.read_osm_xml(spark, f"{path}/*")
+    return ways.resolve_ways(read.way_nodes, read.nodes).select("way_id", "pos", "ref", "lat", "lon")
+
+
 @query
 def read_osm_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_path(spark, "elements")
