@@ -56,19 +56,21 @@ def test_ingest(spark, sf_dir, tmp_path):
 
 
 def test_ingest_of_files(spark, tmp_path):
-    source = tmp_path / "tracks"
-    source.mkdir()
+    source, later = tmp_path / "tracks", tmp_path / "later"
+    (source / "deeper").mkdir(parents=True)
+    (source / "deeper" / "no").write_bytes(b"no")
     for name, data in {"a": b"1", "b": b"2", "c": b"1"}.items():
         (source / name).write_bytes(data)
     target = str(tmp_path / "store")
 
     def run():
-        files = ingest.file_stream(spark, [str(source)], max_files=1)
+        files = ingest.file_stream(spark, [str(source), str(later)], max_files=1)
         return ingest.stream_ingest(files, target, str(tmp_path / "cp"), "path", interval=None)
 
     run().awaitTermination()
     (source / "d").write_bytes(b"2")
-    (source / "e").write_bytes(b"3")
+    later.mkdir()
+    (later / "e").write_bytes(b"3")
     run().awaitTermination()
     stored = ingest.read_ingested(ingest.file_stream(spark, [str(source)]), target, "path")
     assert sorted(bytes(r.data) for r in stored.collect()) == [b"1", b"2", b"3"]

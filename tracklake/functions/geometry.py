@@ -131,7 +131,8 @@ def _quick_codes(x: Column, y: Column, edges: list[tuple[float, ...]]) -> list[C
 
     Kept short, with each coordinate named few times, so that the generated code stays small.
     """
-    unclear = lambda condition: F.when(condition, F.lit(_ON_EDGE)).otherwise(F.lit(0).cast("long"))
+    none = F.lit(0).cast("long")
+    unclear = lambda condition: F.when(condition, F.lit(_ON_EDGE)).otherwise(none)
     codes, tops, covered = [], set(), set()
     for px, py, qx, qy, min_x, max_x in edges:
         if py == qy:
@@ -139,7 +140,7 @@ def _quick_codes(x: Column, y: Column, edges: list[tuple[float, ...]]) -> list[C
             covered |= {(px, py), (qx, qy)}
             continue
         side = _side_code(x, y, *map(F.lit, (px, py, qx, qy)))
-        codes.append(F.when((y >= F.lit(py)) & (y < F.lit(qy)), side).otherwise(F.lit(0).cast("long")))
+        codes.append(F.when((y >= F.lit(py)) & (y < F.lit(qy)), side).otherwise(none))
         covered.add((px, py))
         tops.add((qx, qy))
     # The upper end is left out of an edge, so peaks are looked at on their own.

@@ -39,8 +39,8 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     schema = fixtures.table(spark, sf_dir, name).schema
-    # As a pattern, since the table may be one file or a folder of files.
-    return spark.readStream.schema(schema).options(**FILE_STREAM).parquet(f"{sf_dir}/{name}.parque[t]")
+    path = tracks.as_pattern(f"{sf_dir}/{name}.parquet")
+    return spark.readStream.schema(schema).options(**FILE_STREAM).parquet(path)
 
 
 def _naive(df: DataFrame, *columns: str) -> DataFrame:
@@ -313,7 +313,10 @@ def union_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def split_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, found_ways = ways.split_elements(_elements(spark, sf_dir))
-    count = lambda df: df.groupBy("type").agg(F.count("id").alias("n"), F.sum("id").alias("ids"))
+
+    def count(df: DataFrame) -> DataFrame:
+        return df.groupBy("type").agg(F.count("id").alias("n"), F.sum("id").alias("ids"))
+
     return count(nodes).unionByName(count(found_ways))
 
 

@@ -32,6 +32,12 @@ def is_missing(error: AnalysisException) -> bool:
     return error.getCondition() == "PATH_NOT_FOUND"
 
 
+def as_pattern(path: str) -> str:
+    """The path as a glob pattern, so that a stream accepts a file, or a folder that may come later."""
+    path = path.rstrip("/")
+    return f"{path[:-1]}[{path[-1]}]"
+
+
 def scan_track_files(
     spark: SparkSession, directories: Sequence[str], with_data: bool = False
 ) -> DataFrame:

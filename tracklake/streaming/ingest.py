@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tracklake.functions.scalar import md5_upper
-from tracklake.sources.tracks import FILES
+from tracklake.sources.tracks import FILES, as_pattern
 from tracklake.streaming import store
 
 INTERVAL = "1 minute"
@@ -27,14 +27,17 @@ def start(writer, checkpoint: str, interval: str | None) -> StreamingQuery:
 def file_stream(
     spark: SparkSession, directories: Sequence[str], max_files: int = 1000
 ) -> DataFrame:
-    """New files of the directories as (path, modificationTime, data)."""
+    """New files directly in the directories as (path, modificationTime, data).
+
+    A directory may be missing, and is read from when it appears.
+    """
     stream = None
     for directory in directories:
         files = (
             spark.readStream.format("binaryFile")
             .schema(FILES)
             .option("maxFilesPerTrigger", max_files)
-            .load(directory)
+            .load(as_pattern(directory))
             .select("path", "modificationTime", F.col("content").alias("data"))
         )
         stream = files if stream is None else stream.unionByName(files)
