@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -25,44 +27,37 @@ def local_session(name: str = "tracklake", cpus: str = "*", partitions: int = 8)
     )
 
 
-def shared_dir(spark: SparkSession) -> str | None:
-    """The folder all executors can reach, as set by the cluster.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors can reach, named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a folder of this machine.
+    Where it is unset, a session within one process gets a folder of its own, removed when the process
+    ends; any other session is an error, since its executors could not read each other's files.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if spark.sparkContext.getCheckpointDir():
-        return os.path.dirname(spark.sparkContext.getCheckpointDir())
-    if not spark.sparkContext.master.startswith("local"):
-        return None
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     app = spark.sparkContext.applicationId
     if app not in _local_dirs:
         _local_dirs[app] = tempfile.mkdtemp(prefix="tracklake-")
+        atexit.register(shutil.rmtree, _local_dirs[app], ignore_errors=True)
     return _local_dirs[app]
 
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    root = shared_dir(spark)
-    if root is None:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Writes a frame that is read several times as a table, so that it is computed once.
 
-    The table outlives the executors that wrote it, and joins see its true size. Without a shared
-    folder the frame is returned as it is and simply recomputed.
+    The table outlives the executors that wrote it, and joins see its true size.
     """
-    spark = df.sparkSession
-    if shared_dir(spark) is None:
-        return df
-    path = work_path(spark, "stored")
+    path = work_path(df.sparkSession, "stored")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def estimated_bytes(df: DataFrame) -> int:
