@@ -4,8 +4,8 @@ import compare
 import pytest
 
 import __spark_entry__ as entry_points
-
-ORACLE = entry_points.oracle_sql()
+from tracklake.plans.oracle import ORACLE
+from tracklake.plans.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -14,12 +14,14 @@ def duck(sf_dir):
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry_points.queries()) == set(ORACLE)
+    assert set(QUERIES) == set(ORACLE)
+    assert QUERIES.items() <= entry_points.queries().items()
+    assert ORACLE.items() <= entry_points.oracle_sql().items()
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query(spark, sf_dir, duck, name):
-    columns, rows = compare.spark_rows(entry_points.queries()[name](spark, sf_dir))
+    columns, rows = compare.spark_rows(QUERIES[name](spark, sf_dir))
     expected_columns, expected = compare.duck_rows(duck, ORACLE[name])
     assert columns == expected_columns
     assert len(rows) == len(expected)
