@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklake.llm import bpe_counts, chat, ngram_join, packing, pii, quality
+from tracklake.llm import bpe_counts, chat, mixing, ngram_join, packing, pii, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -59,3 +59,21 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
+@query
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.with_mixture(table(spark, sf_dir, "documents"))
+    named = [F.coalesce(c, F.lit("")).alias(c) for c in ("source", "lang")]
+    return mixed.select(
+        "doc_id",
+        *named,
+        F.col("_topic").alias("topic"),
+        F.col("_tokens").alias("n_tokens"),
+        F.round("_weight", 6).alias("weight"),
+        F.round("_probability", 6).alias("probability"),
+        F.col("_kept").alias("kept"),
+    )
+
+
+ORACLE["op6_mixing"] = mixing.oracle()
