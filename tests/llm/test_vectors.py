@@ -1,0 +1,122 @@
+import numpy as np
+import pytest
+
+from tracklake.llm import ann, queries, vector_join
+
+SCHEMA = "vec_id long, embedding array<float>, label int"
+
+
+def usable(v):
+    return v is not None and None not in v and np.isfinite(v).all() and any(v)
+
+
+def exact_nearest(rows, ids, k):
+    rows = [(i, np.array(v, float)) for i, v in rows if usable(v)]
+    matrix, names = np.array([v for _, v in rows]), np.array([i for i, _ in rows])
+    out = {}
+    for i, v in rows:
+        if i in ids:
+            scores = sum(matrix[:, d] * v[d] for d in range(len(v)))
+            order = [n for n in np.lexsort((names, -scores)) if names[n] != i][:k]
+            out[i] = [(int(names[n]), float(scores[n])) for n in order]
+    return out
+
+
+def exact_links(rows, cosine):
+    ids = [i for i, _ in rows]
+    good = [(i, np.array(v, float)) for i, v in rows if usable(v)]
+    links = {i: set() for i in ids}
+    if good:
+        u = np.array([v / np.linalg.norm(v) for _, v in good])
+        for a, b in zip(*np.nonzero(u @ u.T >= cosine)):
+            if a != b:
+                links[good[a][0]].add(good[b][0])
+    out = {}
+    for i in sorted(ids):
+        if i not in out:
+            stack, seen = [i], {i}
+            while stack:
+                for n in links[stack.pop()] - seen:
+                    seen.add(n)
+                    stack.append(n)
+            out.update({s: i for s in seen})
+    return {i: (len(links[i]), out[i], out[i] == i) for i in ids}
+
+
+def data(spark, sf_dir):
+    return [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
+
+
+def by_query(frame):
+    out = {}
+    for r in sorted(frame.collect(), key=lambda r: (r.query_id, r.rank)):
+        out.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert r.rank == len(out[r.query_id])
+    return out
+
+
+def test_search_query_against_brute_force(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    rows = data(spark, sf_dir)
+    expected = exact_nearest(rows, {i for i, _ in rows if i % 20 == 0}, 20)
+    got = by_query(queries.QUERIES["op8_ann"](spark, sf_dir))
+    assert got.keys() == expected.keys() and all(len(v) == 20 for v in got.values())
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in expected[q]}) for q in expected)
+    assert hits / (20 * len(expected)) >= 0.95
+    truth = dict(rows)
+    for q, found in got.items():
+        assert found == sorted(found, key=lambda f: (-f[1], f[0]))
+        for i, score in found[:3]:
+            assert score == pytest.approx(float(np.dot(np.array(truth[q], float), np.array(truth[i], float))), abs=1e-13)
+
+
+@pytest.mark.parametrize("shard_rows, block_rows", [(8192, 4096), (150, 30)])
+def test_factor_one_is_exact(spark, shard_rows, block_rows):
+    draw = np.random.default_rng(5)
+    vectors = draw.standard_normal((700, 8)).astype(np.float32) * draw.uniform(0.1, 3, (700, 1)).astype(np.float32)
+    vectors[100:400] = vectors[7]
+    vectors[410:430] = np.round(vectors[410:430])
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    frame = spark.createDataFrame([(*r, 0) for r in rows], SCHEMA)
+    got = by_query(ann.nearest(frame, frame.filter("vec_id % 3 = 0"), 20, 1.0, shard_rows=shard_rows, block_rows=block_rows))
+    assert got == exact_nearest(rows, {i for i, _ in rows if i % 3 == 0}, 20)
+
+
+def odd_rows():
+    inf, nan = float("inf"), float("nan")
+    return [(1, None), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [nan, 1.0]), (5, [inf, 1.0]), (20, [1.0, 0.0]), (21, [1.0, 0.0]), (22, [0.0, 2.0]), (23, [-1.0, 0.1]), (40, [])]
+
+
+def test_odd_vectors(spark):
+    rows = odd_rows()
+    frame = spark.createDataFrame([(*r, 0) for r in rows] + [(20, [1.0, 0.0], 9), (None, [1.0, 0.0], 0), (60, [1.0, 2.0, 3.0], 0)], SCHEMA)
+    got = by_query(ann.nearest(frame, frame.filter("vec_id % 20 = 0"), 20, 1.0))
+    assert got == {20: [(21, 1.0), (22, 0.0), (23, -1.0)]}
+    assert ann.nearest(frame.limit(0), frame, 3).count() == 0
+    near = {r.vec_id: tuple(r)[1:] for r in vector_join.near_vectors(frame.filter("label = 0")).collect()}
+    assert near.pop(None) == (0, None, False) and near.pop(60) == (0, 60, True)
+    assert near == exact_links(rows, 0.95)
+    assert vector_join.near_vectors(frame.limit(0)).count() == 0
+    assert vector_join.near_vectors(frame.filter("vec_id < 4")).count() == 3
+
+
+def test_join_query_against_brute_force(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in queries.QUERIES["op10_vector_join"](spark, sf_dir).collect()}
+    assert got == exact_links(data(spark, sf_dir), 0.95)
+
+
+@pytest.mark.parametrize("dimensions, cosine", [(64, 0.95), (20, 0.8), (3, 0.9)])
+def test_groups_of_copies_and_small_tiles(spark, monkeypatch, dimensions, cosine):
+    """Equal vectors, a dense group, links near the bound, more rows in a cell than in a tile."""
+    monkeypatch.setattr(vector_join, "TILE_ROWS", 60)
+    draw = np.random.default_rng(dimensions)
+    centres = draw.standard_normal((40, dimensions))
+    noise = draw.uniform(0.05, 0.6, (600, 1)) * draw.standard_normal((600, dimensions))
+    vectors = (centres[draw.integers(0, 40, 600)] + noise).astype(np.float32)
+    vectors[200:320] = vectors[0]
+    vectors[330:400] = vectors[1] + 0.01 * draw.standard_normal((70, dimensions))
+    rows = [(1000 - i, v.tolist()) for i, v in enumerate(vectors)]
+    frame = spark.createDataFrame([(*r, 0) for r in rows], SCHEMA)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_join.near_vectors(frame, cosine).collect()}
+    assert got == exact_links(rows, cosine)

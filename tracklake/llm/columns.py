@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 
 def tokenizer_path(name: str) -> str:
@@ -38,3 +40,24 @@ def slices(batches: Iterator[pa.RecordBatch], most: int, text: str = "text") ->
         for start, end in zip(cuts, cuts[1:]):
             if end > start:
                 yield batch.slice(start, end - start)
+
+
+def usable_vector(column: str) -> Column:
+    """Whether a vector is there, is not zero and has only finite components."""
+    parts = F.col(column)
+    bad = F.exists(parts, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.coalesce(~bad & F.exists(parts, lambda x: x != 0), F.lit(False))
+
+
+def vectors_of(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as the rows of a matrix of doubles."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row inner products, summed in the order of the components, so that equal rows give equal sums."""
+    sums = np.zeros(len(a))
+    for k in range(a.shape[1]):
+        sums += a[:, k] * b[:, k]
+    return sums
