@@ -1,0 +1,89 @@
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from tracklake.llm import lm, queries
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def tokens(text):
+    return [w.translate({c: c + 32 for c in range(65, 91)}) for w in WORD.findall(text or "")] + [None]
+
+
+def held_out(key):
+    return zlib.crc32(str("" if key is None else key).encode()) % 10 == 0
+
+
+def base(rows):
+    """Held out, tokens, known tokens, all training tokens and base score of each row."""
+    counts = Counter(t for k, text in rows if not held_out(k) for t in tokens(text))
+    total, distinct = sum(counts.values()), len(counts)
+    out = []
+    for k, text in rows:
+        own = tokens(text)
+        score = sum(math.log10((counts[t] + 0.1) / (total + 0.1 * (distinct + 1))) for t in own)
+        out.append((k, held_out(k), len(own), sum(counts[t] > 0 for t in own), total, pytest.approx(score, rel=1e-9)))
+    return out
+
+
+def plain(frame):
+    return [tuple(r)[:6] for r in frame.collect()]
+
+
+def test_query_against_counts_and_held_out_gain(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    got = queries.QUERIES["op3_lm"](spark, sf_dir).collect()
+    expected = {r[0]: r for r in base(rows)}
+    assert len(got) == len(expected)
+    for r in got:
+        assert tuple(r)[:6] == expected[r.doc_id]
+        assert r.score < 0
+    unseen = [r for r in got if r.held_out]
+    model, counts = (sum(getattr(r, f) for r in unseen) for f in ("score", "base_score"))
+    print("held-out log10 per token", model / sum(r.n_tokens for r in unseen), counts / sum(r.n_tokens for r in unseen))
+    assert model > 0.97 * counts
+    assert np.mean([r.score > r.base_score for r in unseen]) > 0.9
+
+
+def test_probabilities_of_next_tokens_sum_to_one(spark):
+    """Over all known tokens, and one unknown of each class, after a given text."""
+    texts = ["the cat sat", "a dog ran on", "the dog sat"] * 20
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    counts = lm.count_tokens(docs.select("text")).cache()
+    vocabulary = lm.Vocabulary(counts)
+    weights = lm.train(docs, "doc_id", vocabulary)
+    shares = np.zeros(len(vocabulary.counts))
+    for s in range(len(shares)):
+        first, both = lm.gru.score(weights, vocabulary.shape, [np.array([0]), np.array([0, s])])
+        shares[s] = np.exp(both - first)
+    assert shares.sum() == pytest.approx(1, abs=1e-5)
+    for k, room in enumerate(10 ** vocabulary.tail_room()):
+        assert vocabulary.tail_sums[k] + lm.ADDED * (vocabulary.tail_sizes[k] + 1) == pytest.approx(room)
+
+
+def test_few_held_words_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HELD_WORDS", 5)
+    monkeypatch.setattr(lm, "VOCABULARY", 3)
+    draw = np.random.default_rng(2)
+    rows = [(i, " ".join(draw.choice(["a", "B", "cc", "dé", "e.", "f", "g"], draw.integers(0, 9)))) for i in range(80)]
+    got = plain(lm.with_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    assert sorted(got) == [tuple(r) for r in base(rows)]
+
+
+def test_edge_rows(spark):
+    rows = [(1, None), (2, ""), (None, "x y"), (5, "One\x0b\x0cone  ONE\n"), (7, "w " * 60_000), (5, "One\x0b\x0cone  ONE\n")]
+    frame = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, score double")
+    got = sorted(plain(lm.with_scores(frame)), key=str)
+    assert len(got) == 6
+    for g, e in zip(got, sorted(base(rows), key=lambda r: str(r[:5]))):
+        assert g == e
+    assert lm.with_scores(frame.limit(0)).count() == 0
+    alone = lm.with_scores(frame.filter("doc_id is null")).collect()
+    assert [(r.train_tokens, r.n_known, r.n_tokens) for r in alone] == [(0, 0, 3)]
+    assert alone[0].base_score == pytest.approx(0.0)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklake.llm import ann, bpe_counts, chat, mixing, ngram_join, packing, pii, quality, vector_join
+from tracklake.llm import ann, bpe_counts, chat, lm, mixing, ngram_join, packing, pii, quality, vector_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -88,3 +88,8 @@ def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_join.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+@query
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.with_scores(table(spark, sf_dir, "documents"))

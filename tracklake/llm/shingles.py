@@ -34,6 +34,17 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers(max(1 << 20, 1 << n.bit_length()))
 
 
+def word_bounds(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word starts and where it stops; a text's edge ends a word."""
+    n = len(data)
+    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    fresh = np.zeros(n + 1, bool)
+    fresh[ends] = True
+    before = np.concatenate([[False], inside])[:n] & ~fresh[:n]
+    after = np.concatenate([inside[1:], [False]])[:n] & ~fresh[1:]
+    return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+
+
 def words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The numbers of all words in order, and per text the first word and the one behind its last."""
     n = len(data)
@@ -41,12 +52,7 @@ def words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         zero = np.zeros(len(ends) - 1, np.int64)
         return np.zeros(0, np.uint64), zero, zero
     lower = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
-    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
-    fresh = np.zeros(n + 1, bool)
-    fresh[ends] = True
-    before = np.concatenate([[False], inside[:-1]]) & ~fresh[:n]
-    after = np.concatenate([inside[1:], [False]]) & ~fresh[1:]
-    starts, stops = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    starts, stops = word_bounds(data, ends)
     up, down = powers(n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((lower.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
