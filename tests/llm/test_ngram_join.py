@@ -74,6 +74,9 @@ def test_edge_rows(spark):
     frame = spark.createDataFrame(rows + [(9, "a b c d e", 0)] * 3, "doc_id long, text string, n int")
     got = sorted(map(tuple, ngram_join.near_duplicates(frame, 4, 85).collect()), key=str)
     assert got == sorted([(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4), (6, 1, 6), (7, 1, 7), (8, 1, 7), (None, 1, None)] + [(9, 2, 9)] * 3, key=str)
+    apart = [(1, "a b c d e f g h"), (2, "a b c d e f x y")] * 3
+    once = result(ngram_join.near_duplicates(spark.createDataFrame(apart, "doc_id long, text string"), 1, 70))
+    assert once == {1: (8, 1), 2: (8, 2)}
     assert ngram_join.near_duplicates(frame.limit(0)).count() == 0
 
 

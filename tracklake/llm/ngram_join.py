@@ -8,7 +8,8 @@ overlaps are added up over the blocks, and a pair goes as soon as what is left c
 
 Groups are not expanded into pairs. First each node is multiplied with one earlier node with which it
 shares most leading grams, and linked nodes are joined to clusters; then only pairs across clusters are
-listed, and of those every one.
+listed, and of those every one. In both steps overlaps within the leading grams are counted first, and
+only pairs that may still reach the bound are multiplied in full.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ from tracklake.llm.shingles import shingle_sets, signature
 from tracklake.session import materialize
 
 SLICE_BYTES = 1 << 20
-#: Share of the documents from which on a gram counts as common; this moves the order, not the result.
-COMMON_SHARE = 0.001
+#: A gram counts as common from this many documents on, seen twice at least in their tasks; of more than
+#: the second number the most frequent. Both move the order of the grams, never the result.
+COMMON_FROM, COMMON_MOST = 16, 1_000_000
 COMPACT_ROWS = 6_000_000
 BLOCKS = 4
 BITMAP_BITS = 24
@@ -43,10 +45,9 @@ def _longs(grams: np.ndarray) -> np.ndarray:
 
 
 def common_grams(docs: DataFrame, text: str, size: int) -> np.ndarray:
-    """Grams in about ``COMMON_SHARE`` of the documents or more, ascending.
+    """The most frequent grams, ascending: counted per task, over distinct sets, and summed.
 
-    Counted per task, over distinct sets, and summed. Their number is at most the mean number of grams of
-    a document divided by the share, whatever the number of documents.
+    At most ``COMMON_MOST``, so what each task gets of them is bounded.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,18 +76,23 @@ def common_grams(docs: DataFrame, text: str, size: int) -> np.ndarray:
                     rows += len(grams_of)
             if rows > COMPACT_ROWS:
                 compact(2)
-        compact(max(2, int(COMMON_SHARE * len(seen))))
-        yield pa.record_batch(
-            [pa.array([None, *_longs(grams)], pa.int64()), pa.array([len(seen), *counts], pa.int64())], names=["gram", "n"]
-        )
-
-    # The row without a gram carries the task's number of documents.
-    counted = docs.select(text).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    counted = materialize(counted)
-    documents = counted.filter("gram is null").agg(F.max("n")).first()[0] or 0
-    common = counted.filter(F.col("gram").isNotNull() & (F.col("n") >= max(3, COMMON_SHARE * documents)))
+        compact(2)
+        yield pa.record_batch([pa.array(_longs(grams)), pa.array(counts)], names=["gram", "n"])
+
+    counted = materialize(
+        docs.select(text).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON_FROM)
+    )
+    # Quarter powers of two, from the largest on, as long as their grams are not too many together.
+    level = F.floor(F.log2("n") * 4).cast("int")
+    total, least = 0, None
+    for r in counted.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        total += r["count"]
+        if total > COMMON_MOST:
+            break
+        least = r["level"]
+    common = counted.filter(level >= least if least is not None else F.lit(False))
     found = common.select("gram").toArrow().column(0).to_numpy().view(np.uint64)
-    return np.sort(found)
+    return np.sort(found)  # as unsigned numbers, the order of every set
 
 
 def prefixes(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
@@ -161,6 +167,10 @@ def sets_of(docs: DataFrame, nodes: DataFrame, key: str, text: str, size: int) -
     return made.join(nodes, "node", "left_semi")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+
+
 def linked(overlap: Column, a: Column, b: Column, percent: int) -> Column:
     return overlap * 100 >= (a + b - overlap) * percent
 
@@ -170,6 +180,7 @@ def multiply(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     The first block's overlaps decide whether the rest may still reach the bound; then the others follow.
     """
+    sets = materialize(sets)
     left = sets.select(F.col("node").alias("a"), "block", F.col("grams").alias("_a"))
     right = sets.select(F.col("node").alias("b"), "block", F.col("grams").alias("_b"))
 
@@ -182,7 +193,9 @@ def multiply(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rest = F.least(F.col("na") - F.size("_a"), F.col("nb") - F.size("_b"))
     first = overlaps(pairs, "block = 0").withColumn("o", own)
     hopeful = materialize(first.filter(linked(F.col("o") + rest, F.col("na"), F.col("nb"), percent)).select("a", "b", "na", "nb", "o"))
-    others = overlaps(hopeful, "block > 0").groupBy("a", "b", "na", "nb", "o").agg(F.sum(own).alias("more"))
+    # A largest value per block, since a key that several rows bear has several equal sets.
+    others = overlaps(hopeful, "block > 0").groupBy("a", "b", "na", "nb", "o")
+    others = others.agg(sum(F.max(F.when(F.col("block") == k, own)) for k in range(1, BLOCKS)).alias("more"))
     return others.filter(linked(F.col("o") + F.col("more"), F.col("na"), F.col("nb"), percent)).select("a", "b")
 
 
@@ -201,22 +214,27 @@ def near_duplicates(
     found = materialize(prefixes(docs, key, text, size, percent).withColumnRenamed(key, "node"))
     usable = found.filter("n > 0 and node is not null")
     classes = materialize(usable.groupBy("n", "s1", "s2").agg(F.min("node").alias("class")))
-    kept = materialize(usable.join(classes.select(F.col("class").alias("node")), "node", "left_semi").select("node", "n", "prefix"))
+    kept = materialize(usable.join(classes.select(F.col("class").alias("node")), "node", "left_semi").dropDuplicates(["node"]).select("node", "n", "prefix"))
 
-    rows = kept.select("node", "n", F.explode("prefix").alias("gram"))
+    rows = kept.select("node", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("gram"))
     shared = rows.groupBy("gram").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader <> last")
     rows = materialize(rows.join(shared.select("gram", "leader"), "gram"))
-    sets = materialize(sets_of(docs, rows.select("node").distinct(), key, text, size))
-    sizes = kept.select("node", "n")
 
     def may_link(a: str, b: str) -> Column:
         return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
-    stars = rows.filter("node <> leader").groupBy("node", "n", "leader").agg(F.count(F.lit(1)).alias("common"))
-    stars = stars.join(sizes.select(F.col("node").alias("leader"), F.col("n").alias("nb")), "leader").filter(may_link("n", "nb"))
-    best = stars.groupBy("node", "n").agg(F.max(F.struct("common", "leader", "nb")).alias("best"))
-    tried = materialize(best.select(F.col("best.leader").alias("a"), F.col("node").alias("b"), F.col("best.nb").alias("na"), F.col("n").alias("nb")))
-    links = materialize(multiply(tried, sets, percent))
+    def may_reach(common: Column) -> Column:
+        # All that two sets share up to the end of the prefix that ends first lies in both prefixes;
+        # behind it they share no more than is left of that set.
+        return linked(common + F.expr(f"(greatest(na, nb) * {percent} + 99) div 100") - 1, F.col("na"), F.col("nb"), percent)
+
+    stars = rows.filter("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("common"))
+    best = stars.groupBy("node").agg(F.max(F.struct("common", "leader")).alias("best")).select(F.col("best.leader").alias("a"), F.col("node").alias("b"))
+    for end in ("a", "b"):
+        best = best.join(kept.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("prefix").alias(f"_{end}")), end)
+    tried = best.filter(may_link("na", "nb") & may_reach(F.size(F.array_intersect("_a", "_b"))))
+    tried = materialize(tried.select("a", "b", "na", "nb"))
+    links = materialize(multiply(tried, sets_of(docs, _ends(tried), key, text, size), percent))
 
     clusters = materialize(components(links, "a", "b"))
     placed = rows.join(clusters, "node", "left").select("gram", "node", "n", F.coalesce("component", "node").alias("cluster"))
@@ -227,13 +245,17 @@ def near_duplicates(
     mixed = placed.join(main, "gram")
     minor = mixed.filter("cluster <> main").select("gram", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("cluster").alias("cx"))
     other = mixed.select("gram", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("cluster").alias("cy"), "main")
-    across = minor.join(other, "gram").filter((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & may_link("nx", "ny"))
-    swap = F.col("x") > F.col("y")
-    ordered = across.select(
-        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(swap, F.col("ny")).otherwise(F.col("nx")).alias("na"), F.when(swap, F.col("nx")).otherwise(F.col("ny")).alias("nb")
+    across = minor.join(other, "gram").filter(
+        (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & may_link("nx", "ny")
     )
-    pairs = ordered.distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    more = multiply(materialize(pairs), sets, percent)
+    # One row for each gram that both prefixes hold: their number is the pair's overlap so far.
+    upward = F.col("x") < F.col("y")
+    ends = {"a": ("x", "y"), "b": ("y", "x"), "na": ("nx", "ny"), "nb": ("ny", "nx")}
+    ends = [F.when(upward, F.col(up)).otherwise(F.col(down)).cast("long").alias(end) for end, (up, down) in ends.items()]
+    pairs = across.groupBy(*ends).agg(F.count(F.lit(1)).alias("common"))
+    pairs = pairs.filter(may_reach(F.col("common"))).select("a", "b", "na", "nb")
+    pairs = materialize(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+    more = multiply(pairs, sets_of(docs, _ends(pairs), key, text, size), percent)
 
     whole = components(materialize(links.union(more)), "a", "b")
     of_class = classes.join(whole.withColumnRenamed("node", "class"), "class", "left").select("n", "s1", "s2", F.coalesce("component", "class").alias("component_id"))
