@@ -14,10 +14,6 @@ from tracklake.functions.geometry import (
     ring_edges,
 )
 
-# At most this many doublings of the smallest cell; the coarsest cells span the whole globe.
-MAX_LEVEL = 24
-
-
 def points_inside(points: DataFrame, ring: Ring) -> DataFrame:
     """The points in the interior of one ring; its box reaches the scan as pushed filters."""
     return points.where(point_in_polygon(F.col("lat"), F.col("lon"), ring))
@@ -47,8 +43,8 @@ def _gridded(polygons: DataFrame, cell: float) -> DataFrame:
         F.array_max(lons).alias("_maxlon"),
     )
     extent = F.greatest(F.col("_maxlat") - F.col("_minlat"), F.col("_maxlon") - F.col("_minlon"))
-    doublings = F.ceil(F.log2(F.greatest(extent / F.lit(cell), F.lit(1.0))))
-    level = F.least(doublings, F.lit(MAX_LEVEL)).cast("int")
+    # Cells at least as large as the box, so that it meets two of them at most in each direction.
+    level = F.ceil(F.log2(F.greatest(extent / F.lit(cell), F.lit(1.0)))).cast("int")
     columns = {"_level": level, "_is_box": _is_box(), "_arrays": edge_arrays(F.col("_edges"))}
     return boxed.withColumns(columns).drop("ring", "_edges")
 
@@ -83,7 +79,7 @@ def points_in_polygons(
     beyond that both sides are shuffled, with the points of a cell dealt out to ``salt`` tasks.
     """
     grid = _gridded(polygons, cell)
-    # At most MAX_LEVEL + 1 rows, whatever the number of polygons.
+    # A row per doubling from the cell to the globe, whatever the number of polygons.
     used = (
         grid.groupBy("_level")
         .agg(F.sum(F.size("_arrays.px")).alias("vertices"), F.max(F.size("_arrays.px")).alias("most"))

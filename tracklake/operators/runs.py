@@ -22,12 +22,11 @@ from tracklake.operators.blocks import (
     to_blocks,
 )
 from tracklake.operators.keys import key_set
-from tracklake.session import estimated_bytes, materialize
+from tracklake.session import materialize
 
 TRACK_BLOCK = ["track_id", BLOCK]
 # A new run starts when the inside position before is more than this many steps back.
 _RUN_REACH = 3
-LARGE_INPUT = 8 << 30
 
 
 def _spread(df: DataFrame, before: int, after: int, bits: int) -> DataFrame:
@@ -115,21 +114,19 @@ def clip_tracks(
     positions: DataFrame,
     ring: Ring,
     bits: int = BLOCK_BITS,
-    selective: bool | None = None,
+    selective: bool = False,
     max_broadcast_blocks: int | None = None,
 ) -> DataFrame:
     """Runs of the positions in the polygon: (track_id, run, seq, lat, lon, ts_ms).
 
     Positions are shuffled once, on (track_id, block). With ``selective`` the blocks that hold kept
-    rows are computed and counted first, and if they are few they are broadcast, so that all other
-    positions are dropped before the shuffle. By default that is done for large inputs only, where
-    the extra job pays.
+    rows are computed, stored and counted first, and if they are few they are broadcast, so that all
+    other positions are dropped before the shuffle. That takes a job of its own, which pays where the
+    polygon holds a small part of a large input.
     """
     inside = point_in_polygon(F.col("lat"), F.col("lon"), ring)
     blocks = _touched_blocks(positions, inside, bits)
     spread = _spread(positions.withColumn("_inside", inside), 2, 1, bits)
-    if selective is None:
-        selective = estimated_bytes(positions) > LARGE_INPUT
     if selective:
         blocks = key_set(blocks, max_broadcast_blocks)
         spread = spread.join(blocks.select(*TRACK_BLOCK), TRACK_BLOCK, "left_semi")
@@ -178,13 +175,13 @@ def _ranked(summary: DataFrame) -> DataFrame:
     """Adds rank and first node number of each run without a window over all runs.
 
     Runs are counted per track, the tracks' counts are summed up in track order, and the place
-    within the track follows from the run number.
+    within the track follows from the run number. Tracks are dealt by ranges of their ids and summed
+    within a range; the ranges' totals, one row each, are all that meets in one task.
     """
     tracks = summary.groupBy("track_id").agg(
         F.count(F.lit(1)).alias("_runs"), F.sum("n").alias("_nodes")
     )
-    before = {"_runs_before": "_runs", "_nodes_before": "_nodes"}
-    tracks = sum_before(tracks, [], "track_id", before, levels=2)
+    tracks = _sum_before_by_range(tracks, "track_id", {"_runs_before": "_runs", "_nodes_before": "_nodes"})
     within = sum_before(summary, ["track_id"], "run", {"_nodes_earlier": "n"}, levels=1)
     later_nodes = F.col("_nodes") - F.col("_nodes_earlier") - F.col("n")
     rank = F.col("_runs_before") + F.col("_runs") - 1 - F.col("run")
@@ -195,6 +192,20 @@ def _ranked(summary: DataFrame) -> DataFrame:
     )
 
 
+def _sum_before_by_range(df: DataFrame, order: str, values: dict[str, str]) -> DataFrame:
+    """Adds sums over all rows before in ``order``: ``values`` maps new columns to summed ones."""
+    ranges = materialize(df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()))
+    totals = ranges.groupBy("_range").agg(*[F.sum(v).alias(f"_t_{v}") for v in values.values()])
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0)
+    offsets = totals.select("_range", *[F.coalesce(F.sum(f"_t_{v}").over(earlier), zero).alias(f"_o_{v}") for v in values.values()])
+    within = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    local = ranges.select("*", *[F.coalesce(F.sum(v).over(within), zero).alias(f"_l_{v}") for v in values.values()])
+    # One row per partition of the ranges, so the broadcast does not grow with the rows.
+    sums = [(F.col(f"_l_{v}") + F.col(f"_o_{v}")).cast("long").alias(o) for o, v in values.items()]
+    return local.join(F.broadcast(offsets), "_range").select(*df.columns, *sums)
+
+
 def sequential_ids(runs: DataFrame) -> DataFrame:
     """Adds ``pos`` (place in the run), ``node_id`` and ``way_id`` for an export.
 

@@ -28,11 +28,12 @@ def blob_lookup(blobs: DataFrame, key: object, id_column: str = "id") -> DataFra
 def append_tracks(tracks: DataFrame, new: DataFrame, order: str) -> DataFrame:
     """The rows to append: (id, hash, data), ids counting on from the largest one in use.
 
-    ``order`` (a unique whole number) decides who gets which id. No check for duplicate content.
+    ``order`` (a unique whole number) decides who gets which id. No check for duplicate content. The
+    order column alone is ranked, and the ranks are joined back.
     """
     last_id = F.coalesce(tracks.select(F.max("id")).scalar(), F.lit(0))
-    numbered = number_rows(new.select(order, "data"), [], [order], "_rank")
-    return numbered.select(
+    ranks = number_rows(new.select(order), [], [order], "_rank")
+    return new.select(order, "data").join(ranks, order).select(
         (last_id + 1 + F.col("_rank")).cast("long").alias("id"),
         md5_upper(F.col("data")).alias("hash"),
         "data",
@@ -65,30 +66,40 @@ def known_hashes(tracks: DataFrame) -> DataFrame:
 def offer_hashes(offers: DataFrame, tracks: DataFrame) -> DataFrame:
     """Answers each offered hash: accept if no track has it, else confirm.
 
-    The known hashes are computed and stored first.
+    Of the known hashes only offered ones are kept; they are computed and stored first.
     """
-    known = key_set(known_hashes(tracks).select(F.col("hash").alias("_known")))
+    offered = known_hashes(tracks).join(known_hashes(offers), "hash", "left_semi")
+    known = key_set(offered.select(F.col("hash").alias("_known")))
     answer = F.when(F.col("_known").isNull(), "accept").otherwise("confirm")
     joined = offers.join(known, offers["hash"] == known["_known"], "left")
     return joined.select(*[offers[c] for c in offers.columns], answer.alias("answer"))
 
 
 def last_file_per_hash(files: DataFrame, order: str) -> DataFrame:
-    """Equal content scanned more than once counts once, as the last file."""
-    return last_by_key(files, "hash", order)
+    """Equal content scanned more than once counts once, as the last file: (hash, ``order``)."""
+    return files.groupBy("hash").agg(F.max(order).alias(order))
 
 
 def new_files(files: DataFrame, done: DataFrame, order: str) -> DataFrame:
-    """Scanned files whose hash is not processed yet, one per hash.
+    """Scanned files whose hash is not processed yet, one per hash. ``order`` must be unique.
 
-    Copies are reduced before the join on both sides, so a hash with many copies does not skew it.
+    Copies are reduced before the join on both sides, so a hash with many copies does not skew it, and
+    hashes alone are joined; the other columns are fetched for the files that are left.
     """
-    return last_file_per_hash(files, order).join(known_hashes(done), "hash", "left_anti")
+    fresh = last_file_per_hash(files, order).join(known_hashes(done), "hash", "left_anti")
+    return _fetched(files, fresh, order)
 
 
 def accepted_uploads(accepted: DataFrame, files: DataFrame, order: str) -> DataFrame:
-    """The local files to send: accepted hashes joined with the last file of each hash."""
-    return last_file_per_hash(files, order).join(known_hashes(accepted), "hash")
+    """The local files to send: the last file of each accepted hash. ``order`` must be unique."""
+    return _fetched(files, last_file_per_hash(files, order).join(known_hashes(accepted), "hash"), order)
+
+
+def _fetched(files: DataFrame, chosen: DataFrame, order: str) -> DataFrame:
+    """The rows of the chosen (hash, ``order``) pairs; the pairs are enough if nothing else is asked."""
+    if set(files.columns) <= {"hash", order}:
+        return chosen.select(*files.columns)
+    return files.join(chosen.select("hash", order), ["hash", order], "left_semi").select(*files.columns)
 
 
 def set_add(keys: DataFrame, added: DataFrame) -> DataFrame:

@@ -33,6 +33,16 @@ def last_by_key(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.groupBy(F.col(key).alias("_key")).agg(latest).select("_row.*")
 
 
+def one_per_id(nodes: DataFrame, order: str | None) -> DataFrame:
+    """The last node of each id by ``order``; without an order a repeated id is an error."""
+    if order is not None:
+        return last_by_key(nodes, "id", order)
+    repeated = nodes.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id").head()
+    if repeated:
+        raise ValueError(f"several nodes with id {repeated.id}; name their order in node_order")
+    return nodes
+
+
 def resolve_ways(
     way_nodes: DataFrame,
     nodes: DataFrame,
@@ -45,13 +55,12 @@ def resolve_ways(
 
     Order and repeated references stay as they are. A reference without a node is an error, or the
     row is dropped with ``on_missing="drop"``. With ``node_order`` the last of several nodes with one
-    id counts; without it node ids must be unique. ``node_fn`` maps a struct (id, lat, lon) and
+    id counts; without it node ids must be unique, which is checked first. ``node_fn`` maps a struct (id, lat, lon) and
     ``way_fn`` the way id to columns ``node`` and ``way`` that are added.
     """
     if on_missing not in ("error", "drop"):
         raise ValueError(f"on_missing must be 'error' or 'drop', got {on_missing!r}")
-    if node_order is not None:
-        nodes = last_by_key(nodes, "id", node_order)
+    nodes = one_per_id(nodes, node_order)
     strict = on_missing == "error"
     target = nodes.select(F.col("id").alias("_id"), "lat", "lon")
     joined = way_nodes.join(target, F.col("ref") == F.col("_id"), "left" if strict else "inner")
@@ -150,12 +159,14 @@ def ways_touching(
     ring: Ring,
     key: str = "highway",
     value: str = "cycleway",
+    node_order: str | None = None,
 ) -> DataFrame:
     """Ids of the ways with a node in the polygon and the tag at any place among their tags.
 
-    The nodes in the polygon are computed and stored first.
+    With ``node_order`` the last of several nodes with one id counts, before the polygon is asked;
+    without it ids must be unique. The nodes in the polygon are computed and stored first.
     """
-    inside = key_set(points_inside(nodes, ring).select("id"))
+    inside = key_set(points_inside(one_per_id(nodes, node_order), ring).select("id"))
     tagged = way_tags.where((F.col("k") == key) & (F.col("v") == value)).select("way_id").distinct()
     return (
         way_nodes.join(inside, way_nodes["ref"] == inside["id"], "left_semi")
@@ -165,15 +176,19 @@ def ways_touching(
     )
 
 
-def ways_with_nodes(way_nodes: DataFrame, nodes: DataFrame, ways: DataFrame) -> DataFrame:
+def ways_with_nodes(
+    way_nodes: DataFrame, nodes: DataFrame, ways: DataFrame, node_order: str | None = None
+) -> DataFrame:
     """The given ways and all their nodes, also those outside the polygon, without tags.
 
-    Element rows (type, id, pos, ref, lat, lon): one per way reference and one per node. The ways,
-    then the node ids, are computed and stored first.
+    Element rows (type, id, pos, ref, lat, lon): one per way reference and one per node. With
+    ``node_order`` the last of several nodes with one id counts; without it ids must be unique. The
+    ways, then the node ids, are computed and stored first.
     """
     chosen = of_ways(way_nodes, key_set(ways.select("way_id").distinct()))
     way_rows = chosen.select(F.lit("way").alias("type"), F.col("way_id").alias("id"), "pos", "ref")
-    node_rows = nodes_with_ids(nodes, distinct_refs(chosen)).select(
+    used = one_per_id(nodes_with_ids(nodes, distinct_refs(chosen)), node_order)
+    node_rows = used.select(
         F.lit("node").alias("type"), "id", "lat", "lon"
     )
     return union_elements(way_rows, node_rows).select("type", "id", "pos", "ref", "lat", "lon")

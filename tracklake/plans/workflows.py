@@ -16,6 +16,7 @@ from tracklake.operators.runs import clip_tracks, nothing_to_export
 from tracklake.operators.store import append_tracks, new_files
 from tracklake.operators.ways import (
     distinct_refs,
+    last_by_key,
     nodes_with_ids,
     of_ways,
     resolve_ways,
@@ -32,8 +33,11 @@ if TYPE_CHECKING:
 def all_positions(
     tracks: DataFrame, decode: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 ) -> DataFrame:
-    """Positions of all stored tracks, decoded from their blobs."""
-    return to_positions(decode_tracks(tracks.select("id", "data"), decode))
+    """Positions of all stored tracks, decoded from their blobs.
+
+    The decoded records are stored, so the decoder and the scan of the blobs run once.
+    """
+    return to_positions(materialize(decode_tracks(tracks.select("id", "data"), decode)))
 
 
 def ingest_files(files: DataFrame, tracks: DataFrame, order: str) -> DataFrame:
@@ -50,12 +54,17 @@ def ways_in_polygon(
     key: str = "highway",
     value: str = "cycleway",
     way_fn: Callable[[Column], Column] | None = None,
+    node_order: str | None = None,
 ) -> DataFrame:
     """The ways touching the polygon with the coordinates of all their nodes, in long form.
 
+    With ``node_order`` (``doc_order`` of a map document) the last of several nodes with one id counts,
+    for the polygon and for the coordinates; without it a repeated id is an error.
     The polygon's nodes, the ways and their node ids are computed and stored one after the other; as
     long as they are few, none of the tables is shuffled.
     """
+    if node_order is not None:
+        nodes = materialize(last_by_key(nodes, "id", node_order))
     ways = key_set(ways_touching(way_nodes, nodes, way_tags, ring, key, value))
     chosen = of_ways(way_nodes, ways)
     used = nodes_with_ids(nodes, distinct_refs(chosen))
@@ -63,7 +72,7 @@ def ways_in_polygon(
 
 
 def clip_and_export(
-    positions: DataFrame, ring: Ring, highway: str = "cycleway", selective: bool | None = None
+    positions: DataFrame, ring: Ring, highway: str = "cycleway", selective: bool = False
 ) -> DataFrame | None:
     """Map elements of the runs in the polygon, or None when there are none."""
     runs = materialize(clip_tracks(positions, ring, selective=selective))

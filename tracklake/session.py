@@ -59,8 +59,3 @@ def materialize(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate, from file sizes and column widths; runs nothing."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
