@@ -105,9 +105,44 @@ def same_tables(one, other):
 def test_export_as_xml_round_trip(spark, tmp_path):
     tables = osm.export_tables(exported(spark))
     osm.write_osm_xml(tables, str(tmp_path / "map"))
-    same_tables(osm.read_osm_xml(spark, str(tmp_path / "map" / "*")), tables)
-    with pytest.raises(ValueError, match="write_osm_document"):
-        osm.write_osm_xml(tables, str(tmp_path / "other"), max_way_nodes=1)
+    same_tables(osm.read_osm_xml(spark, str(tmp_path / "map"), splittable=True), tables)
+
+
+def test_document_of_odd_elements(spark, tmp_path):
+    """Untagged and empty ways, line breaks in texts; a missing attribute fails instead of vanishing."""
+    def of(rows, schema):
+        return spark.createDataFrame(rows, schema)
+
+    tables = ways.MapTables(
+        nodes=of([(1, 1.5, 2.5)], "id long, lat double, lon double"),
+        ways=of([(10,), (11,), (12,), (13,)], "way_id long"),
+        way_nodes=of([(10, 0, 1), (11, 0, 1), (11, 1, 1), (12, 0, 1)], "way_id long, pos long, ref long"),
+        way_tags=of([(10, 0, "a", "x\ny\tz\r\"<&'>"), (12, 0, "b", " ")], "way_id long, pos long, k string, v string"),
+    )
+    osm.write_osm_xml(tables, str(tmp_path / "parts"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "parts").glob("part-*")))
+    (tmp_path / "whole").mkdir()
+    (tmp_path / "whole" / "map.osm").write_text(text)
+    for path, splittable in (("parts", True), ("whole", True), ("whole", False)):
+        read = osm.read_osm_xml(spark, str(tmp_path / path), splittable)
+        same_tables(read, tables)
+        assert rows(read.ways, "way_id") == rows(tables.ways, "way_id")
+    for lacking in ([(None, 1.0, 1.0)], [(1, None, 1.0)]):
+        broken = ways.MapTables(of(lacking, "id long, lat double, lon double"), tables.ways, tables.way_nodes, tables.way_tags)
+        with pytest.raises(Exception, match="lacks an attribute"):
+            osm.write_osm_xml(broken, str(tmp_path / f"broken{lacking[0][0]}"))
+
+
+@pytest.mark.parametrize("section", ["<!-- {} -->", "<![CDATA[{}]]>"])
+def test_sections_in_split_documents(spark, tmp_path, section):
+    """Without tags they change nothing; with tags the read fails rather than inventing elements."""
+    for name, inside in (("plain", "a > b -- c"), ("tags", '<node id="9" lat="1" lon="1"/>')):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "map.osm").write_text(XML.replace("<relation", section.format(inside) + "<relation"))
+    read = osm.read_osm_xml(spark, str(tmp_path / "plain"), splittable=True)
+    assert rows(read.nodes, "id") == [(1,), (1,), (2,)] and rows(read.relations, "id") == [(9,)]
+    with pytest.raises(Exception, match="holds a tag"):
+        osm.read_osm_xml(spark, str(tmp_path / "tags"), splittable=True)
 
 
 def test_export_as_one_document(spark, tmp_path):

@@ -100,3 +100,23 @@ def test_highway_class(spark):
     df = spark.createDataFrame([("steps",), ("path",), ("cycleway",), ("moon",)], "v string")
     got = [r[0] for r in df.select(highway_class(F.col("v"))).collect()]
     assert got == ["never", "link", "must", None]
+
+
+def test_last_node_decides_whether_a_way_touches(spark):
+    """A stale place inside the polygon selects nothing, and no reference is doubled."""
+    nodes = spark.createDataFrame([(1, 5.0, 5.0, 0), (1, 50.0, 50.0, 1), (2, 60.0, 60.0, 0), (3, 70.0, 7.0, 0), (3, 5.0, 6.0, 1)], "id long, lat double, lon double, doc_order int")
+    way_nodes = spark.createDataFrame([(7, 0, 1), (7, 1, 2), (8, 0, 3), (8, 1, 1)], "way_id long, pos long, ref long")
+    way_tags = spark.createDataFrame([(7, 0, "highway", "cycleway"), (8, 0, "highway", "cycleway")], "way_id long, pos long, k string, v string")
+    found = workflows.ways_in_polygon(way_nodes, nodes, way_tags, SQUARE, node_order="doc_order")
+    assert sorted(map(tuple, found.collect())) == [(8, 0, 3, 5.0, 6.0), (8, 1, 1, 50.0, 50.0)]
+    touching = ways.ways_touching(way_nodes, nodes, way_tags, SQUARE, node_order="doc_order")
+    elements = ways.ways_with_nodes(way_nodes, nodes, touching, node_order="doc_order")
+    assert sorted((r.id, r.lat) for r in elements.where("type = 'node'").collect()) == [(1, 50.0), (3, 5.0)]
+    for call in (
+        lambda: workflows.ways_in_polygon(way_nodes, nodes, way_tags, SQUARE),
+        lambda: ways.resolve_ways(way_nodes, nodes),
+        lambda: ways.ways_touching(way_nodes, nodes, way_tags, SQUARE),
+        lambda: ways.ways_with_nodes(way_nodes, nodes, touching),
+    ):
+        with pytest.raises(ValueError, match="several nodes"):
+            call()

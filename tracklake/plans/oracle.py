@@ -160,6 +160,7 @@ ORACLE: dict[str, str] = {
         null::varchar as k, null::varchar as v from nodes
       union all select 'nd', way_id, null, null, pos, ref, null, null from dense_way_nodes
       union all select 'tag', way_id, null, null, pos, null, k, v from way_tags
+        where way_id % 5 <> 0
       union all select 'way', o_orderkey, null, null, null, null, null, null from orders""",
     "write_osm_xml": f"with {_IDS} select way_id, pos, node_id as ref, lat, lon from ids",
     "read_osm_json": f"""with {_NODES}, {_DENSE_WAY_NODES}
@@ -209,9 +210,15 @@ ORACLE: dict[str, str] = {
       select id, {_IN_RECT} as in_rect, {_IN_ELL} as in_ell, {_IN_TRI} as in_tri from nodes""",
     "is_cycleway": "select o_orderkey as way_id from orders where o_orderpriority = '1-URGENT'",
     "tag_values": f"select distinct {_CLASS} as v from orders union select 'cycleway' as v",
-    "way_subset": f"""select 'way' as type, o_orderkey as id from ({_URGENT})
-      union all select 'node', p_partkey from part
-      where p_partkey in (select l_partkey from lineitem where l_orderkey in ({_URGENT}))""",
+    "way_subset": f"""with {_NODES}, {_WAY_NODES}, {_WAY_TAGS}
+      select 'way' as type, o_orderkey as id, null::double as lat, null::double as lon,
+        null::bigint as pos, null::bigint as ref, null::varchar as k, null::varchar as v from ({_URGENT})
+      union all select 'node', id, lat, lon, null, null, null, null from nodes
+        where id in (select l_partkey from lineitem where l_orderkey in ({_URGENT}))
+      union all select 'nd', way_id, null, null, pos, ref, null, null from way_nodes
+        where way_id in (select o_orderkey from ({_URGENT}))
+      union all select 'tag', way_id, null, null, pos, null, k, v from way_tags
+        where way_id in (select o_orderkey from ({_URGENT}))""",
     "to_polyline": f"with {_POSITIONS} select track_id, seq, lat, lon from positions",
     "flatten_runs": f"with {_IDS} select way_id, pos, lat, lon from ids",
     "polygon_text": f"""with {_CORNERS} select polygon_id,
@@ -312,3 +319,4 @@ ORACLE: dict[str, str] = {
     "stream_latest_value": _LAST_VALUES,
     "stream_freshness": _FRESHNESS,
 }
+ORACLE["ways_in_polygon_last"] = ORACLE["ways_in_polygon"]

@@ -76,20 +76,25 @@ def read_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def read_osm_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The map tables, written as one document in parts and read back in parallel."""
+    """The map tables, written as one document in parts and read back in parallel.
+
+    A fifth of the ways has no tag, some have no reference.
+    """
     path = work_path(spark, "map")
     nodes = fixtures.nodes(spark, sf_dir)
-    way_id = F.col("way_id").alias("id")
     box = positions.bounds(nodes)
     corners = [
         box.select(F.lit(pos).cast("long").alias("pos"), F.col(lat).alias("lat"), F.col(lon).alias("lon"))
         for pos, (lat, lon) in enumerate((("minlat", "minlon"), ("maxlat", "maxlon")))
     ]
+    tables = ways.MapTables(
+        nodes=nodes,
+        ways=fixtures.ways(spark, sf_dir),
+        way_nodes=fixtures.way_nodes(spark, sf_dir),
+        way_tags=fixtures.way_tags(spark, sf_dir).where("way_id % 5 <> 0"),
+    )
     elements = ways.union_elements(
-        *[corner.withColumn("kind", F.lit("bounds")) for corner in corners],
-        nodes.withColumn("kind", F.lit("node")),
-        fixtures.way_nodes(spark, sf_dir).select(F.lit("nd").alias("kind"), way_id, "pos", "ref"),
-        fixtures.way_tags(spark, sf_dir).select(F.lit("tag").alias("kind"), way_id, "pos", "k", "v"),
+        *[corner.withColumn("kind", F.lit("bounds")) for corner in corners], osm.table_elements(tables)
     )
     osm.write_osm_document(elements, path)
     read = osm.read_osm_xml(spark, path, splittable=True)
@@ -103,11 +108,11 @@ def read_osm_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def write_osm_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The clipped runs, written with the XML writer and read back with the XML source."""
+    """The clipped runs as tables, written as a document and read back."""
     path = work_path(spark, "map")
     exported = materialize(export_osm(spark, sf_dir))
     osm.write_osm_xml(osm.export_tables(exported), path)
-    read = osm.read_osm_xml(spark, f"{path}/*")
+    read = osm.read_osm_xml(spark, path, splittable=True)
     return ways.resolve_ways(read.way_nodes, read.nodes).select("way_id", "pos", "ref", "lat", "lon")
 
 
@@ -271,9 +276,12 @@ def way_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
             way_tags=fixtures.way_tags(spark, sf_dir),
         )
     )
+    way_id = F.col("way_id").alias("id")
     return ways.union_elements(
-        subset.nodes.select(F.lit("node").alias("type"), "id"),
-        subset.ways.select(F.lit("way").alias("type"), F.col("way_id").alias("id")),
+        subset.nodes.select(F.lit("node").alias("type"), "id", "lat", "lon"),
+        subset.ways.select(F.lit("way").alias("type"), way_id),
+        subset.way_nodes.select(F.lit("nd").alias("type"), way_id, "pos", "ref"),
+        subset.way_tags.select(F.lit("tag").alias("type"), way_id, "pos", "k", "v"),
     )
 
 
@@ -289,7 +297,9 @@ def flatten_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered = runs.sequential_ids(materialize(clipped)).select(
         F.col("way_id"), "pos", "lat", "lon"
     )
-    return positions.flatten_pieces(ways.collect_path(numbered), "pos")
+    points = runs.flatten_runs(ways.collect_path(numbered))
+    place = F.shiftleft("piece", positions.PIECE_BITS) + F.col("pos")
+    return points.select("way_id", place.alias("pos"), "lat", "lon")
 
 
 @query
@@ -384,6 +394,20 @@ def ways_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def ways_in_polygon_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 7th node is given twice, first somewhere else."""
+    nodes = fixtures.nodes(spark, sf_dir).withColumn("doc_order", F.lit(1))
+    earlier = nodes.where("id % 7 = 0").withColumns({"lat": F.col("lon"), "lon": F.col("lat"), "doc_order": F.lit(0)})
+    return workflows.ways_in_polygon(
+        fixtures.way_nodes(spark, sf_dir),
+        nodes.unionByName(earlier),
+        fixtures.way_tags(spark, sf_dir),
+        fixtures.TRI,
+        node_order="doc_order",
+    )
+
+
 @query
 def offer_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     offers = fixtures.track_blobs(spark, sf_dir).select("id", "hash")
