@@ -1,5 +1,7 @@
 import hashlib
 
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,3 +155,42 @@ def test_read_records(spark, tmp_path, source):
     rows.withColumn("position_long", F.col("position_long").cast("int")).write.format(source).save(path)
     read = tracks.read_records(spark, path, source)
     assert read.schema == schemas.RECORDS and read.first().position_long is None
+
+
+def test_only_one_of_two_savers_wins(spark, tmp_path):
+    """Both pass the first check before either has written."""
+    path = str(tmp_path / "drawings")
+    ready = threading.Barrier(2)
+    check = snapshots._require
+    first_checks = set()
+
+    def meet(expected, found):
+        check(expected, found)
+        if threading.get_ident() not in first_checks:
+            first_checks.add(threading.get_ident())
+            ready.wait(60)
+
+    results = {}
+
+    def save(who):
+        rows = spark.createDataFrame([(who, float(who), float(k)) for k in range(200)], schemas.NODES)
+        try:
+            results[who] = snapshots.save_snapshot(rows, path, expected=0)
+        except Exception as error:  # noqa: BLE001
+            results[who] = error
+
+    snapshots._require = meet
+    try:
+        threads = [threading.Thread(target=save, args=(who,)) for who in (1, 2)]
+        for t in threads:
+            t.start()
+        for t in threads:
+            t.join(120)
+    finally:
+        snapshots._require = check
+    [winner] = [who for who, r in results.items() if r == 1]
+    assert isinstance(results[3 - winner], snapshots.RevisionConflict)
+    found = snapshots.load_snapshot(spark, path, schemas.NODES).collect()
+    assert len(found) == 200 and {r.id for r in found} == {winner}
+    assert snapshots.latest_revision(spark, path) == 1
+    assert snapshots.save_snapshot(spark.createDataFrame([], schemas.NODES), path) == 2
