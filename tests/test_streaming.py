@@ -122,6 +122,28 @@ def test_freshness(spark, sf_dir, split_events, tmp_path):
     assert rows(streams.read_freshness(spark, target), *columns) == rows(wanted, *columns)
 
 
+def test_freshness_state_is_kept_in_two_directories(spark, split_events, tmp_path):
+    log = fixtures.artifact_log(stream(spark, split_events))
+    target = tmp_path / "store"
+    streams.stream_freshness(log, str(target), str(tmp_path / "cp"), interval=None).awaitTermination()
+    assert sorted(p.name for p in (target / "states").iterdir() if p.is_dir()) == ["batch=2", "batch=3"]
+
+
+def test_freshness_refuses_falling_order(spark, tmp_path):
+    log = tmp_path / "log"
+    schema = "artifact_id long, order_no long, kind string, hash string"
+    for n, order in enumerate((5, 3)):
+        rows = spark.createDataFrame([(1, order, changes.CHANGE, None)], schema)
+        rows.coalesce(1).write.parquet(str(log / str(n)))
+        given = spark.readStream.schema(schema).parquet(str(log / "*"))
+        query = streams.stream_freshness(given, str(tmp_path / "store"), str(tmp_path / "cp"), interval=None)
+        if n == 0:
+            query.awaitTermination()
+        else:
+            with pytest.raises(Exception, match="comes after"):
+                query.awaitTermination()
+
+
 def test_heartbeats_on_a_stream(spark, split_events):
     from tracklake.operators.messages import drop_heartbeats
 

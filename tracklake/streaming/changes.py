@@ -74,9 +74,11 @@ def read_latest_value(spark: SparkSession, path: str, schema: T.StructType, key:
 def stream_freshness(
     log: DataFrame, path: str, checkpoint: str, interval: str | None = "15 seconds"
 ) -> StreamingQuery:
-    """Answers requests as they come; ``order_no`` must rise from batch to batch.
+    """Answers requests as they come; an artifact's ``order_no`` must rise from batch to batch.
 
-    Each artifact's last state is put in front of the batch as one more log row.
+    Each artifact's last state is put in front of the batch as one more log row. Every batch writes the
+    whole state and reads the one before. A row at or before its artifact's state is an error, since
+    requests between them have been answered.
     """
     spark = log.sparkSession
     answers, states = f"{path}/answers", f"{path}/states"
@@ -84,11 +86,15 @@ def stream_freshness(
     store.prepare(spark, states, _STATES)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        before = artifact_states(store.read_before(batch.sparkSession, states, _STATES, batch_id))
+        before = store.read_state_before(batch.sparkSession, states, _STATES, batch_id)
         batch.persist()
+        lowest = batch.groupBy("artifact_id").agg(F.min("order_no").alias("lowest"))
+        late = lowest.join(before, "artifact_id").where(F.col("lowest") <= F.col("order_no")).head()
+        if late:
+            raise ValueError(f"artifact {late.artifact_id}: order_no {late.lowest} comes after {late.order_no}")
         rows = before.unionByName(batch.select(*before.columns))
         store.write_batch(artifact_freshness(rows), answers, batch_id)
-        store.write_batch(artifact_states(batch), states, batch_id)
+        store.write_state(artifact_states(rows), states, batch_id)
         batch.unpersist()
 
     return start(log.writeStream.foreachBatch(write), checkpoint, interval)

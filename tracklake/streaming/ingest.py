@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tracklake.functions.scalar import md5_upper
+from tracklake.operators.keys import key_set
 from tracklake.sources.tracks import FILES, as_pattern
 from tracklake.streaming import store
 
@@ -67,7 +68,8 @@ def stream_ingest(
     """Stores each content once: (hash, ``order``, data), the first in order within its batch.
 
     The stored hashes are the memory of what is done, so there is no streaming state to grow. The
-    batch's copies are reduced before its rows are compared with the store.
+    batch's copies are reduced before its rows are compared with the store, and the store is filtered
+    by the batch's hashes first, so that it need not be shuffled for a small batch.
     """
     schema = _stored(stream, order, data)
     store.prepare(stream.sparkSession, path, schema)
@@ -81,7 +83,9 @@ def stream_ingest(
             .agg(F.min_by(F.struct(order, "data"), order).alias("_first"))
             .select("hash", "_first.*")
         )
+        offered = key_set(rows.select("hash").distinct())
         known = store.read_before(batch.sparkSession, path, schema, batch_id).select("hash")
+        known = known.join(offered, "hash", "left_semi")
         store.write_batch(first.join(known, "hash", "left_anti"), path, batch_id)
 
     return start(stream.writeStream.foreachBatch(write), checkpoint, interval)
