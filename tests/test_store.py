@@ -39,6 +39,19 @@ def test_scan_directories(spark, tmp_path):
     assert bytes(with_data.first().data) == b"\x00\xff"
 
 
+def test_no_file_is_left_out_of_a_scan(spark, tmp_path):
+    for name, content in (("a.fit", b"a"), ("empty.fit", b""), ("also empty", b""), ("_SUCCESS", b"")):
+        (tmp_path / name).write_bytes(content)
+    found = tracks.scan_track_files(spark, [str(tmp_path)], with_data=True)
+    assert pairs(found, "hash", "length") == sorted([(digest(b"a"), 1), (digest(b""), 0), (digest(b""), 0)])
+    assert all(r.modificationTime.year > 2000 for r in found.collect())
+    for name in ("_b.fit", ".c.fit"):
+        (tmp_path / name).write_bytes(b"x")
+        with pytest.raises(ValueError, match=name):
+            tracks.scan_track_files(spark, [str(tmp_path)])
+        (tmp_path / name).unlink()
+
+
 def test_append_counts_on(spark):
     stored = blobs(spark, b"a", b"b", start=5)
     new = spark.createDataFrame([(30, bytearray(b"x")), (10, bytearray(b"b"))], "n long, data binary")

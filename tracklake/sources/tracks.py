@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable, Iterator, Sequence
 from typing import TYPE_CHECKING
 
@@ -38,22 +39,48 @@ def as_pattern(path: str) -> str:
     return f"{path[:-1]}[{path[-1]}]"
 
 
+def _unseen_files(spark: SparkSession, directory: str) -> tuple[list[tuple], list[str]]:
+    """What the file source leaves out of a directory: empty files, and names it takes for hidden.
+
+    Reads the directory's names, not its files.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    entries = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatusIterator(path)
+    empty, hidden = [], []
+    while entries.hasNext():
+        entry = entries.next()
+        name = entry.getPath().getName()
+        if not entry.isFile() or name == "_SUCCESS":
+            continue
+        if name.startswith(("_", ".")):
+            hidden.append(name)
+        elif entry.getLen() == 0:
+            changed = datetime.datetime.fromtimestamp(entry.getModificationTime() / 1000, datetime.UTC)
+            empty.append((entry.getPath().toString(), changed, 0, bytearray()))
+    return empty, hidden
+
+
 def scan_track_files(
     spark: SparkSession, directories: Sequence[str], with_data: bool = False
 ) -> DataFrame:
-    """The files directly in the directories with their content hash.
+    """The files directly in the directories with their content hash, empty ones included.
 
-    Missing directories are skipped; so are empty files, which the file source leaves out.
+    Missing directories are skipped. Spark's file source does not read names that begin with ``_`` or
+    ``.``; a directory that has some, other than Spark's own ``_SUCCESS``, is an error, so that no file is
+    left out unnoticed.
     """
     found = []
     for directory in directories:
         try:
-            found.append(
-                spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(directory)
-            )
+            files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(directory)
         except AnalysisException as error:
             if not is_missing(error):
                 raise
+            continue
+        empty, hidden = _unseen_files(spark, directory)
+        if hidden:
+            raise ValueError(f"{directory} has {len(hidden)} files that cannot be read by name, such as {min(hidden)}")
+        found += [files, spark.createDataFrame(empty, FILES)] if empty else [files]
     if not found:
         found = [spark.createDataFrame([], FILES)]
     files = found[0]
