@@ -102,10 +102,10 @@ _TOUCHING = f"""touching as (
 _VALUES = "select user_id, event_id, event_type, value from events"
 _LAST_VALUES = f"""{_VALUES} e where not exists
   (select 1 from events l where l.user_id = e.user_id and l.event_id > e.event_id)"""
-_CHANGES = """changes as (
-  select event_id as order_no, case event_type when 'signup' then 'added' else 'removed' end as kind,
-    user_id as key, props as payload
-  from events where event_type in ('signup', 'purchase'))"""
+_MESSAGES = """messages as (
+  select event_id as order_no, case event_type when 'signup' then 'added' when 'purchase' then 'removed'
+    else event_type end as kind, user_id as key, props as payload from events)"""
+_CHANGES = f"{_MESSAGES}, changes as (select * from messages where kind in ('added', 'removed'))"
 
 
 def _members(where: str = "true") -> str:
@@ -176,8 +176,8 @@ ORACLE: dict[str, str] = {
       from blobs where lang <> 'en'""",
     "delete_tracks": f"with {_HASHED} select id, hash from blobs where source <> 'src7'",
     "upsert_latest": f"""with numbered as ({_VALUES}), last as (
-        select *, row_number() over (partition by user_id, event_type order by event_id desc) as rn
-        from numbered where event_type in ('signup', 'purchase'))
+        select *, row_number() over (partition by user_id, event_type = 'purchase' order by event_id desc) as rn
+        from numbered)
       select user_id, event_id, event_type, value from last l
       where rn = 1 and (event_type = 'purchase' or not exists
         (select 1 from events e where e.user_id = l.user_id and e.event_type = 'purchase'))""",
@@ -191,10 +191,10 @@ ORACLE: dict[str, str] = {
         'highway', 'cycleway' from ids
       union all select 'bounds', null, 0, null, min(lat), min(lon), null, null from ids
       union all select 'bounds', null, 1, null, max(lat), max(lon), null, null from ids""",
-    "encode_message": f"""with {_CHANGES}
+    "encode_message": f"""with {_MESSAGES}
       select '{{"order_no":' || order_no || ',"kind":"' || kind || '","key":' || key || '}}' as text
-      from changes""",
-    "decode_message": f"with {_CHANGES} select order_no, kind, key, payload from changes",
+      from messages""",
+    "decode_message": f"with {_MESSAGES} select order_no, kind, key, payload from messages",
     # projections, filters, predicates
     "valid_positions": f"""with {_RECORDS} select track_id, seq, position_lat, position_long
       from records where event_type <> 'error'""",

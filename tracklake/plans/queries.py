@@ -173,9 +173,9 @@ def _event_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signups as the stored values, all purchases as updates."""
+    """Each user's last event other than a purchase as the stored values, all purchases as updates."""
     values = _event_values(spark, sf_dir)
-    base = store.last_by_key(values.where("event_type = 'signup'"), "user_id", "event_id")
+    base = store.last_by_key(values.where("event_type <> 'purchase'"), "user_id", "event_id")
     return store.upsert_latest(base, values.where("event_type = 'purchase'"), "user_id", "event_id")
 
 
