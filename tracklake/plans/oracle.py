@@ -320,3 +320,5 @@ ORACLE: dict[str, str] = {
     "stream_freshness": _FRESHNESS,
 }
 ORACLE["ways_in_polygon_last"] = ORACLE["ways_in_polygon"]
+ORACLE["resolve_ways_mapped"] = f"""with {_NODES}, {_WAY_NODES}
+  select way_id, pos, 'n/' || ref as node, way_id * 2 + 1 as way from way_nodes join nodes on id = ref"""

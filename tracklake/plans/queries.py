@@ -356,6 +356,18 @@ def resolve_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ways.resolve_ways(fixtures.way_nodes(spark, sf_dir), fixtures.nodes(spark, sf_dir))
 
 
+@query
+def resolve_ways_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The caller's own forms of nodes and ways in the result."""
+    resolved = ways.resolve_ways(
+        fixtures.way_nodes(spark, sf_dir),
+        fixtures.nodes(spark, sf_dir),
+        node_fn=lambda node: F.concat_ws("/", F.lit("n"), node["id"].cast("string")),
+        way_fn=lambda way_id: way_id * 2 + 1,
+    )
+    return resolved.select("way_id", "pos", "node", "way")
+
+
 def _cycleways(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ways.is_cycleway(fixtures.way_tags(spark, sf_dir))
 
