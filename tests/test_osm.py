@@ -5,6 +5,7 @@ import pytest
 from tracklake import schemas
 from tracklake.operators import ways
 from tracklake.operators.runs import clip_tracks
+from tracklake.plans import workflows
 from tracklake.session import materialize
 from tracklake.sources import osm
 
@@ -160,3 +161,14 @@ def test_export_as_one_document(spark, tmp_path):
     (tmp_path / "whole").mkdir()
     (tmp_path / "whole" / "map.osm").write_text(text)
     same_tables(osm.read_osm_xml(spark, str(tmp_path / "whole")), osm.export_tables(elements))
+
+
+def test_export_only_if_changed(spark):
+    rows_ = [(1, i, 5.0 + i / 8, 5.0, 0) for i in range(4)]
+    first, known = workflows.export_if_changed(spark.createDataFrame(rows_, schemas.POSITIONS), SQUARE)
+    assert first.where("kind = 'node'").count() == 4
+    again = spark.createDataFrame(rows_[::-1], schemas.POSITIONS)
+    assert workflows.export_if_changed(again, SQUARE, known) is None
+    moved = spark.createDataFrame([*rows_[:3], (1, 3, 6.0, 5.0, 0)], schemas.POSITIONS)
+    assert workflows.export_if_changed(moved, SQUARE, known)[1] != known
+    assert workflows.export_if_changed(again.where("false"), SQUARE, known) is None

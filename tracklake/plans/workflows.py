@@ -82,3 +82,18 @@ def clip_and_export(
 def elements_fingerprint(elements: DataFrame) -> DataFrame:
     """Content hash of an export for change detection: (fingerprint, n), row order aside."""
     return fingerprint(elements.select(F.to_json(F.struct("*")).alias("row")), "row")
+
+
+def export_if_changed(
+    positions: DataFrame, ring: Ring, known: tuple | None = None, highway: str = "cycleway", selective: bool = False
+) -> tuple[DataFrame, tuple] | None:
+    """The export and its fingerprint, or None if it is empty or has the fingerprint ``known``.
+
+    The export is stored, so it is made once for the fingerprint and for the caller.
+    """
+    elements = clip_and_export(positions, ring, highway, selective)
+    if elements is None:
+        return None
+    elements = materialize(elements)
+    found = tuple(elements_fingerprint(elements).first())
+    return None if found == known else (elements, found)
