@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from tracklake.llm.columns import slices, text_bytes, tokenizer_path
 from tracklake.session import work_path
 
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 REMEMBERED_LENGTH = 40
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 class WordIds(dict):
@@ -72,15 +72,19 @@ def tokenize(docs: DataFrame, path: str, end_id: int, key: str, text: str) -> Da
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, part, at = word_ids(path), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
-        for batch in slices(batches, SLICE_BYTES, text):
-            ids = [i + end for i in table.texts(*text_bytes(batch.column(1)))]
-            counts = np.array([len(i) // 4 for i in ids], np.int64)
-            before = at + np.cumsum(counts) - counts
-            at += int(counts.sum())
-            yield pa.record_batch(
-                [pa.array([part] * len(ids), pa.int32()), pa.array(before), batch.column(0), pa.array(ids, pa.binary()), pa.array(counts)],
-                names=["_part", "_at", key, "_ids", "doc_tokens"],
-            )
+        try:
+            for batch in slices(batches, SLICE_BYTES, text):
+                ids = [i + end for i in table.texts(*text_bytes(batch.column(1)))]
+                counts = np.array([len(i) // 4 for i in ids], np.int64)
+                before = at + np.cumsum(counts) - counts
+                at += int(counts.sum())
+                yield pa.record_batch(
+                    [pa.array([part] * len(ids), pa.int32()), pa.array(before), batch.column(0), pa.array(ids, pa.binary()), pa.array(counts)],
+                    names=["_part", "_at", key, "_ids", "doc_tokens"],
+                )
+        finally:
+            # The worker goes on to tasks of other kinds, which need the memory.
+            table.clear()
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"_part int, _at long, `{key}` {kind}, _ids binary, doc_tokens long"
