@@ -6,8 +6,9 @@ linked sets share one among the first n - need(n) + 1. The order puts grams that
 last. Nodes that share such a gram are multiplied: the columns are dealt in blocks of the gram's value,
 overlaps are added up over the blocks, and a pair goes as soon as what is left cannot reach the bound.
 
-Groups are not expanded into pairs. First each node is multiplied with one earlier node with which it
-shares most leading grams, and linked nodes are joined to clusters; then only pairs across clusters are
+Groups are not expanded into pairs. First each node is multiplied with up to three others, those with
+which it shares most leading grams among the grams' first, last and drawn nodes, and linked nodes are
+joined to clusters; then only pairs across clusters are
 listed, and of those every one. In both steps overlaps within the leading grams are counted first, and
 only pairs that may still reach the bound are multiplied in full.
 """
@@ -26,11 +27,14 @@ from tracklake.llm.components import components
 from tracklake.llm.shingles import shingle_sets, signature
 from tracklake.session import materialize
 
-SLICE_BYTES = 1 << 20
-#: A gram counts as common from this many documents on, seen twice at least in their tasks; of more than
-#: the second number the most frequent. Both move the order of the grams, never the result.
+SLICE_BYTES = 1 << 19
+#: A gram counts as common from this many documents on, counted from where a stretch of a task's grams
+#: holds it twice; of more than the second number the most frequent. Both move the order of the grams,
+#: never the result.
 COMMON_FROM, COMMON_MOST = 16, 1_000_000
-COMPACT_ROWS = 6_000_000
+#: So does a gram that still leads in more documents than this.
+LEADING_MOST = 8
+COMPACT_ROWS = 1_000_000
 BLOCKS = 4
 BITMAP_BITS = 24
 
@@ -55,15 +59,16 @@ def common_grams(docs: DataFrame, text: str, size: int) -> np.ndarray:
         waiting: list[np.ndarray] = []
         grams, counts, rows = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
 
-        def compact(least: int) -> None:
+        def compact() -> None:
             nonlocal grams, counts, rows
-            every = np.concatenate([grams, *waiting])
-            weights = np.concatenate([counts, np.ones(len(every) - len(counts), np.int64)])
-            order = np.argsort(every, kind="stable")
-            every, weights = every[order], weights[order]
-            heads = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
-            sums = np.add.reduceat(weights, heads) if len(every) else weights
-            grams, counts = every[heads][sums >= least], sums[sums >= least]
+            fresh, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *waiting]), return_counts=True)
+            at = np.minimum(np.searchsorted(grams, fresh), max(0, len(grams) - 1))
+            old = grams[at] == fresh if len(grams) else np.zeros(len(fresh), bool)
+            counts[at[old]] += times[old]
+            new = ~old & (times >= 2)
+            grams, counts = np.concatenate([grams, fresh[new]]), np.concatenate([counts, times[new]])
+            order = np.argsort(grams)
+            grams, counts = grams[order], counts[order]
             waiting.clear()
             rows = 0
 
@@ -75,13 +80,18 @@ def common_grams(docs: DataFrame, text: str, size: int) -> np.ndarray:
                     waiting.append(grams_of)
                     rows += len(grams_of)
             if rows > COMPACT_ROWS:
-                compact(2)
-        compact(2)
+                compact()
+        compact()
         yield pa.record_batch([pa.array(_longs(grams)), pa.array(counts)], names=["gram", "n"])
 
     counted = materialize(
         docs.select(text).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON_FROM)
     )
+    return _most_frequent(counted)
+
+
+def _most_frequent(counted: DataFrame) -> np.ndarray:
+    """The grams of a stored table (gram, n), ascending; the most frequent of them if they are too many."""
     # Quarter powers of two, from the largest on, as long as their grams are not too many together.
     level = F.floor(F.log2("n") * 4).cast("int")
     total, least = 0, None
@@ -95,9 +105,19 @@ def common_grams(docs: DataFrame, text: str, size: int) -> np.ndarray:
     return np.sort(found)  # as unsigned numbers, the order of every set
 
 
-def prefixes(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """Per document: ``key``, n (size of its set), s1 and s2 (its name), prefix (its leading grams)."""
+def leading_grams(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+    """Prefixes in an order that puts last what tasks see often, and what then still leads in many sets."""
     common = common_grams(docs, text, size)
+    first = prefixes(docs, key, text, size, percent, common).select(F.explode("prefix").alias("gram"))
+    often = first.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LEADING_MOST)
+    return prefixes(docs, key, text, size, percent, np.union1d(common, _most_frequent(materialize(often))))
+
+
+def prefixes(docs: DataFrame, key: str, text: str, size: int, percent: int, common: np.ndarray) -> DataFrame:
+    """Per document: ``key``, n (size of its set), s1 and s2 (its name), prefix (its leading grams).
+
+    Grams come by their values, those in ``common`` after all others.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, SLICE_BYTES, text):
@@ -129,11 +149,11 @@ def _bits(nodes: DataFrame) -> np.ndarray:
     # The functions count values from 1 on.
     at = nodes.select((place + 1).alias("at")).groupBy(F.expr("bitmap_bucket_number(at)").alias("bucket"))
     rows = at.agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("bits")).collect()
-    bits = np.zeros((1 << BITMAP_BITS) // 8, np.uint8)
+    bits = np.zeros(1 << BITMAP_BITS >> 3, np.uint8)
     for r in rows:
         start = (r["bucket"] - 1) * 4096
         bits[start : start + 4096] = np.frombuffer(r["bits"], np.uint8)
-    return np.unpackbits(bits, bitorder="little")
+    return bits
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, key: str, text: str, size: int) -> DataFrame:
@@ -145,8 +165,8 @@ def sets_of(docs: DataFrame, nodes: DataFrame, key: str, text: str, size: int) -
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, SLICE_BYTES, text):
-            wanted = pa.array(bits[batch.column(2).to_numpy()].astype(bool))
-            batch = batch.filter(wanted)
+            at = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7) & 1).astype(bool)))
             if not batch.num_rows:
                 continue
             ids, blocks, grams = [], [], []
@@ -211,14 +231,16 @@ def near_duplicates(
     other columns are ignored, whatever their names. Texts are read whole.
     """
     docs = docs.select(key, text)
-    found = materialize(prefixes(docs, key, text, size, percent).withColumnRenamed(key, "node"))
+    found = materialize(leading_grams(docs, key, text, size, percent).withColumnRenamed(key, "node"))
     usable = found.filter("n > 0 and node is not null")
     classes = materialize(usable.groupBy("n", "s1", "s2").agg(F.min("node").alias("class")))
     kept = materialize(usable.join(classes.select(F.col("class").alias("node")), "node", "left_semi").dropDuplicates(["node"]).select("node", "n", "prefix"))
 
     rows = kept.select("node", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("gram"))
-    shared = rows.groupBy("gram").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader <> last")
-    rows = materialize(rows.join(shared.select("gram", "leader"), "gram"))
+    # Three nodes of a gram to try others with: its first, its last, and one that a hash gives.
+    mixed = F.xxhash64("node")
+    shared = rows.groupBy("gram").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.min(mixed).alias("drawn"))
+    rows = materialize(rows.join(shared.filter("first <> last"), "gram"))
 
     def may_link(a: str, b: str) -> Column:
         return F.least(a, b) * 100 >= F.greatest(a, b) * percent
@@ -228,8 +250,16 @@ def near_duplicates(
         # behind it they share no more than is left of that set.
         return linked(common + F.expr(f"(greatest(na, nb) * {percent} + 99) div 100") - 1, F.col("na"), F.col("nb"), percent)
 
-    stars = rows.filter("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("common"))
-    best = stars.groupBy("node").agg(F.max(F.struct("common", "leader")).alias("best")).select(F.col("best.leader").alias("a"), F.col("node").alias("b"))
+    drawn = kept.select(F.col("node").alias("drawn_node"), F.xxhash64("node").alias("drawn"))
+    tries = None
+    for way in ("first", "last", "drawn"):
+        stars = rows.groupBy("node", F.col(way).alias("leader")).agg(F.count(F.lit(1)).alias("common"))
+        if way == "drawn":
+            stars = stars.join(drawn, F.col("leader") == F.col("drawn")).select("node", F.col("drawn_node").alias("leader"), "common")
+        best = stars.filter("node <> leader").groupBy("node").agg(F.max(F.struct("common", "leader")).alias("best"))
+        best = best.select(F.least("node", "best.leader").alias("a"), F.greatest("node", "best.leader").alias("b"))
+        tries = best if tries is None else tries.union(best)
+    best = tries.distinct()
     for end in ("a", "b"):
         best = best.join(kept.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("prefix").alias(f"_{end}")), end)
     tried = best.filter(may_link("na", "nb") & may_reach(F.size(F.array_intersect("_a", "_b"))))
@@ -237,7 +267,7 @@ def near_duplicates(
     links = materialize(multiply(tried, sets_of(docs, _ends(tried), key, text, size), percent))
 
     clusters = materialize(components(links, "a", "b"))
-    placed = rows.join(clusters, "node", "left").select("gram", "node", "n", F.coalesce("component", "node").alias("cluster"))
+    placed = rows.select("gram", "node", "n").join(clusters, "node", "left").select("gram", "node", "n", F.coalesce("component", "node").alias("cluster"))
     placed = materialize(placed)
     counts = placed.groupBy("gram", "cluster").agg(F.count(F.lit(1)).alias("c"))
     main = counts.groupBy("gram").agg(F.max(F.struct("c", "cluster")).alias("most"), F.count(F.lit(1)).alias("clusters"))
