@@ -22,6 +22,7 @@ from tracklake.llm.columns import slices, text_bytes, tokenizer_path
 from tracklake.session import work_path
 
 REMEMBERED = 500_000
+KEPT = 150_000
 REMEMBERED_LENGTH = 40
 SLICE_BYTES = 1 << 20
 
@@ -83,8 +84,9 @@ def tokenize(docs: DataFrame, path: str, end_id: int, key: str, text: str) -> Da
                     names=["_part", "_at", key, "_ids", "doc_tokens"],
                 )
         finally:
-            # The worker goes on to tasks of other kinds, which need the memory.
-            table.clear()
+            # The worker may go on to tasks of other kinds, which need the memory. Frequent words came first.
+            for word in [*table][KEPT:]:
+                del table[word]
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"_part int, _at long, `{key}` {kind}, _ids binary, doc_tokens long"
