@@ -82,6 +82,20 @@ def test_factor_one_is_exact(spark, shard_rows, block_rows):
     assert got == exact_nearest(rows, {i for i, _ in rows if i % 3 == 0}, 20)
 
 
+@pytest.mark.parametrize("norms", ["one larger", "lognormal"])
+@pytest.mark.parametrize("shard_rows", [8192, 500])
+def test_recall_with_varied_norms(spark, norms, shard_rows):
+    """The factor that the query uses, on its own vectors with other norms."""
+    rows = data(spark, "/root/testdata/sf0.1")
+    scale = np.ones(len(rows)) if norms == "one larger" else np.random.default_rng(1).lognormal(0, 0.5, len(rows))
+    if norms == "one larger":
+        scale[7] = 3
+    rows = [(i, (np.array(v) * s).astype(np.float32).tolist()) for (i, v), s in zip(rows, scale)]
+    frame = spark.createDataFrame([(*r, 0) for r in rows], SCHEMA)
+    got = by_query(ann.nearest(frame, frame.filter("vec_id % 20 = 0"), 20, shard_rows=shard_rows))
+    assert got == exact_nearest(rows, {i for i, _ in rows if i % 20 == 0}, 20)
+
+
 def odd_rows():
     inf, nan = float("inf"), float("nan")
     return [(1, None), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [nan, 1.0]), (5, [inf, 1.0]), (20, [1.0, 0.0]), (21, [1.0, 0.0]), (22, [0.0, 2.0]), (23, [-1.0, 0.1]), (40, [])]

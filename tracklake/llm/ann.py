@@ -1,11 +1,13 @@
 """Nearest neighbours by inner product with a vantage-point tree per shard.
 
 Vectors are dealt into shards of bounded size, queries into blocks of bounded size; a task searches one
-shard for one block. Within a shard, vectors get one more component that makes all norms equal, so that
-the largest inner product is the smallest distance, and equal vectors become one. The tree splits by the
-median distance from a vantage point. A branch whose distances from the vantage point put it beyond
-``factor`` times the k-th best distance is not entered: at factor one the triangle inequality makes the
-search exact, below one it may miss neighbours.
+shard for one block. Within a shard, equal vectors become one and vectors of similar norm a band with a
+tree of its own. In a band, vectors are divided by the largest norm and get one more component that makes
+all norms one; queries are scaled to norm one, which keeps their ranking. So the largest inner product is
+the smallest distance, whatever the norms. A tree splits by the median distance from a vantage point. A
+branch whose distances from the vantage point put it beyond ``factor`` times the k-th best distance so far,
+in this band or one of larger norms, is not entered: at factor one the triangle inequality makes the search
+exact, below one it may miss neighbours.
 """
 
 from __future__ import annotations
@@ -22,12 +24,16 @@ from tracklake.llm.columns import dots, usable_vector, vectors_of
 SHARD_ROWS = 8192
 BLOCK_ROWS = 4096
 LEAF_ROWS = 128
-FACTOR = 0.5
+FACTOR = 1.0
 SPARE = 8
+#: A band's norms are above this share of its largest.
+BAND = 0.8
+#: Room for rounding: a distance of unit vectors near zero is known to about the root of a double's last place.
+ROOM = 1e-7
 
 
 class Tree:
-    """A vantage-point tree over the rows of a matrix; leaves hold up to ``LEAF_ROWS`` of them."""
+    """A vantage-point tree over the rows of a matrix, of norm one; leaves hold up to ``LEAF_ROWS`` of them."""
 
     def __init__(self, points: np.ndarray):
         self.points = points
@@ -45,9 +51,12 @@ class Tree:
             sides.append((away[part].min(), away[part].max(), self._build(rows[part])))
         return centre, sides
 
-    def search(self, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """The rows of the k nearest points found for each query and their squared distances, in no order."""
-        self.queries, self.k, self.factor = queries, k, factor
+    def search(self, queries: np.ndarray, k: int, factor: float, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of the k nearest points found for each query and their squared distances, in no order.
+
+        Points beyond a query's squared distance in ``most`` need not be found.
+        """
+        self.queries, self.k, self.factor, self.most = queries, k, factor, most
         self.norms = np.einsum("ij,ij->i", self.points, self.points)
         self.query_norms = np.einsum("ij,ij->i", queries, queries)
         self.found = np.full((len(queries), k), -1)
@@ -93,12 +102,44 @@ class Tree:
         away = np.sqrt(self._squares(who, np.array([centre]))[:, 0])
         for low, high, child in sides:
             least = np.maximum(np.maximum(away - high, low - away), 0)
-            # A hair of room, since distances are rounded.
-            part = who[least <= self.factor * np.sqrt(self.near[who].max(axis=1)) + 1e-9]
+            limit = np.minimum(self.near[who].max(axis=1), self.most[who])
+            part = who[least <= self.factor * np.sqrt(limit) + ROOM]
             if len(part):
                 self._visit(child, part, home)
 
 
+def bands(norms: np.ndarray) -> list[np.ndarray]:
+    """The rows of each band, by falling norm."""
+    order = np.argsort(-norms, kind="stable")
+    falling, cuts, at = -norms[order], [], 0
+    while at < len(order):
+        at = max(at + 1, int(np.searchsorted(falling, BAND * falling[at], "right")))
+        cuts.append(at)
+    return np.split(order, cuts[:-1])
+
+
+def search_bands(vectors: np.ndarray, queries: np.ndarray, k: int, factor: float) -> np.ndarray:
+    """The rows of the k largest inner products found for each query, in no order; -1 where there is none."""
+    norms, lengths = np.linalg.norm(vectors, axis=1), np.linalg.norm(queries, axis=1)
+    flat = np.concatenate([queries / lengths[:, None], np.zeros((len(queries), 1))], 1)
+    best, found = np.full((len(queries), k), -np.inf), np.full((len(queries), k), -1)
+    for rows in bands(norms):
+        most = norms[rows[0]]
+        extra = np.sqrt(np.maximum(1 - (norms[rows] / most) ** 2, 0))
+        # The least of the k best cosines with a vector of the band's largest norm, as a squared distance.
+        limit = 2 - 2 * best.min(axis=1) / most
+        who = np.flatnonzero(limit >= -ROOM)
+        if not len(who):
+            break
+        tree = Tree(np.concatenate([vectors[rows] / most, extra[:, None]], 1))
+        own, near = tree.search(flat[who], min(k, len(rows)), factor, np.maximum(limit[who], 0))
+        scores = np.concatenate([best[who], np.where(own >= 0, (1 - near / 2) * most, -np.inf)], 1)
+        names = np.concatenate([found[who], np.where(own >= 0, rows[own], -1)], 1)
+        top = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+        best[who], found[who] = np.take_along_axis(scores, top, 1), np.take_along_axis(names, top, 1)
+    return found
+
+
 def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, id, score) of the k best found for each query within a shard; ties to smaller ids."""
     order = np.argsort(ids, kind="stable")
@@ -107,11 +148,8 @@ def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     group = group.ravel()
     members = np.argsort(group, kind="stable")
     starts = np.searchsorted(group[members], np.arange(len(distinct) + 1))
-    norms = np.einsum("ij,ij->i", distinct, distinct)
-    extra = np.sqrt(np.maximum(norms.max() - norms, 0))
     wanted = min(k + SPARE, len(distinct))
-    tree = Tree(np.concatenate([distinct, extra[:, None]], 1))
-    found, _ = tree.search(np.concatenate([queries, np.zeros((len(queries), 1))], 1), wanted, factor)
+    found = search_bands(distinct, queries, wanted, factor)
     who, rows = np.repeat(np.arange(len(queries)), wanted), found.ravel()
     who, rows = who[rows >= 0], rows[rows >= 0]
     scores = dots(queries[who], distinct[rows])
