@@ -67,6 +67,25 @@ def test_probabilities_of_next_tokens_sum_to_one(spark):
         assert vocabulary.tail_sums[k] + lm.ADDED * (vocabulary.tail_sizes[k] + 1) == pytest.approx(room)
 
 
+def test_every_token_is_trained_on(spark, monkeypatch):
+    """Each training document's tokens reach the trainer once, in whole texts of any length."""
+    lengths = [0, 1, 30, 700, 5000, 30_000]
+    docs = spark.createDataFrame([(i, "a b " * n) for i, n in enumerate(lengths)], "doc_id long, text string").coalesce(1)
+    counts = lm.count_tokens(docs.select("text")).cache()
+    seen = []
+    stored = lm.materialize
+
+    def spy(frame):
+        table = stored(frame)
+        if "seen" in table.columns:
+            seen.extend(r.seen for r in table.select("copy", "seen").distinct().collect())
+        return table
+
+    monkeypatch.setattr(lm, "materialize", spy)
+    lm.train(docs, "doc_id", lm.Vocabulary(counts))
+    assert sum(seen) == sum(2 * n + 1 for n in lengths)
+
+
 def test_few_held_words_are_joined(spark, monkeypatch):
     monkeypatch.setattr(lm, "HELD_WORDS", 5)
     monkeypatch.setattr(lm, "VOCABULARY", 3)

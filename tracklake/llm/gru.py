@@ -88,11 +88,6 @@ def step(w: Weights, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
     return candidate + update * (h - candidate), update, reset, candidate, own
 
 
-def log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
-
-
 def log_share(z: np.ndarray, at: np.ndarray) -> np.ndarray:
     """log_softmax at one place of each row; scores are small enough to be raised as they are."""
     picked = z[np.arange(len(at)), at]
@@ -117,22 +112,37 @@ def log_probability(w: Weights, shape: Shape, states: np.ndarray, symbols: np.nd
     return total
 
 
+def softmax(z: np.ndarray) -> np.ndarray:
+    """Over each row, in place."""
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
+    return z
+
+
 def output_gradients(w: Weights, shape: Shape, states: np.ndarray, symbols: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Gradients of the negative sum of log-probabilities for the output's weights and for the states."""
     of = shape.classes[symbols]
-    error = np.exp(log_softmax(states @ w.class_out + w.class_bias))
+    # The rows of a class side by side, so that its products take them as they lie.
+    order = np.argsort(of, kind="stable")
+    of, symbols, states = of[order], symbols[order], states[order]
+    error = softmax(states @ w.class_out + w.class_bias)
     error[np.arange(len(of)), of] -= 1
     back = error @ w.class_out.T
     word_out, word_bias = np.zeros_like(w.word_out), np.zeros_like(w.word_bias)
     class_out, class_bias = states.T @ error, error.sum(0)
-    for part, rows in by_class(shape, of):
+    cuts = np.searchsorted(of, np.arange(len(shape.widths) + 1))
+    for c in np.flatnonzero((shape.widths > 1) & (cuts[1:] > cuts[:-1])):
+        rows, part = slice(cuts[c], cuts[c + 1]), slice(shape.starts[c], shape.starts[c] + shape.widths[c])
         own = states[rows]
-        error = np.exp(log_softmax(own @ w.word_out[:, part] + w.word_bias[part]))
-        error[np.arange(len(rows)), shape.places[symbols[rows]]] -= 1
+        error = softmax(own @ w.word_out[:, part] + w.word_bias[part])
+        error[np.arange(len(own)), shape.places[symbols[rows]]] -= 1
         back[rows] += error @ w.word_out[:, part].T
-        word_out[:, part] += own.T @ error
-        word_bias[part] += error.sum(0)
-    return [class_out, class_bias, word_out, word_bias], back
+        word_out[:, part] = own.T @ error
+        word_bias[part] = error.sum(0)
+    given = np.empty_like(back)
+    given[order] = back
+    return [class_out, class_bias, word_out, word_bias], given
 
 
 class Trainer:
@@ -187,9 +197,9 @@ class Trainer:
             inner = np.concatenate([d_update, d_reset, d_candidate * reset], 1)
             recurrent += before.T @ inner
             carried = (d * update + inner @ w.recurrent.T) * ~fresh[:, t, None]
-        used, place = np.unique(given.T.ravel(), return_inverse=True)
-        inputs = np.zeros((len(used), 3 * n), np.float32)
-        np.add.at(inputs, place.ravel(), entered.reshape(-1, 3 * n))
+        order = np.argsort(given.T.ravel(), kind="stable")
+        used, first = np.unique(given.T.ravel()[order], return_index=True)
+        inputs = np.add.reduceat(entered.reshape(-1, 3 * n)[order], first, axis=0)
         self._move(0, inputs, used)
         for k, g in enumerate((recurrent, class_out, class_bias, word_out, word_bias), 1):
             self._move(k, g, slice(None))

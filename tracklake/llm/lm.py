@@ -2,7 +2,7 @@
 
 Tokens are counted over all training documents. The most frequent words are symbols of a gated recurrent
 model (see ``gru``), all others fall into classes by how they begin. The model is trained in rounds: every
-task trains a copy on runs of tokens from its documents, and copies are averaged. Then every text is
+task trains a copy on every token of its documents, and copies are averaged. Then every text is
 scored from its first token to its end, the state running on through its windows. A word outside the
 vocabulary has its class's probability from the model and its share of the class by its count; those
 counts come by a join, since no task holds the whole vocabulary.
@@ -30,11 +30,12 @@ TAILS = 1 << TAIL_BITS
 #: Words whose counts every task holds; those of all others are joined.
 HELD_WORDS = 1 << 18
 ADDED = 0.1
-#: Of each training document a run of this share of its tokens, in proportion to its length, is trained on.
-TRAIN_SHARE = 1 / 16
-TRAIN_LEAST = 24
 ROUNDS = 2
-TRAIN_TOKENS = 1 << 16
+#: Tokens are learned from in stretches of about this many, side by side in lanes: many where there are many
+#: tokens, so that matrix products are large, but of at least LANE_TOKENS each between the two numbers.
+TRAIN_TOKENS = 1 << 19
+TRAIN_LANES = 32, 512
+LANE_TOKENS = 1 << 10
 SCORE_TOKENS = 2_000_000
 AVERAGED_AT_ONCE = 32
 PIECE = 1 << 14
@@ -134,15 +135,8 @@ class Vocabulary:
         return np.log10(np.maximum(self.tail_sums, 0) + ADDED * (np.maximum(self.tail_sizes, 0) + 1))
 
 
-def training_run(tokens: int, seed: int) -> tuple[int, int]:
-    """Where the run of a training document of so many tokens starts and ends."""
-    size = min(tokens, max(TRAIN_LEAST, int(tokens * TRAIN_SHARE)))
-    start = int(mix(np.array([seed], np.uint64))[0] % np.uint64(tokens - size + 1))
-    return start, start + size
-
-
 def train_round(texts: DataFrame, vocabulary: Vocabulary, weights: gru.Weights) -> gru.Weights:
-    """Every task trains a copy on its texts' runs; the copies are averaged by the tokens they saw."""
+    """Every task trains a copy on its whole texts; the copies are averaged by the tokens they saw."""
     size = len(weights.flat())
     pieces = -(-size // PIECE)
 
@@ -153,6 +147,8 @@ def train_round(texts: DataFrame, vocabulary: Vocabulary, weights: gru.Weights)
         def learn() -> None:
             fresh = np.zeros(sum(map(len, waiting)), bool)
             fresh[np.cumsum([0, *map(len, waiting)])[:-1]] = True
+            least, most = TRAIN_LANES
+            trainer.lanes = min(most, max(least, len(fresh) // LANE_TOKENS))
             trainer.run(np.concatenate(waiting), fresh)
             waiting.clear()
 
@@ -160,8 +156,7 @@ def train_round(texts: DataFrame, vocabulary: Vocabulary, weights: gru.Weights)
             tokens, bounds = token_ids(*text_bytes(batch.column(0)))
             symbols = vocabulary.symbols_of(tokens)
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                start, stop = training_run(b - a, int(tokens[a]) ^ (b - a))
-                waiting.append(symbols[a + start : a + stop])
+                waiting.append(symbols[a:b])
             if sum(map(len, waiting)) >= TRAIN_TOKENS:
                 learn()
         if waiting:
