@@ -48,6 +48,23 @@ def test_added_kinds():
     assert not any(pii.find("a token of thanks on account of it"))
 
 
+def test_accounts_before_prose():
+    for text, *expected in (
+        ("iban DE89370400440532013000 before the end of the month please", "DE89370400440532013000"),
+        ("account 12345678 was closed yesterday", "12345678"),
+        ("ssn: 123-45-6789 and more words follow here", "123-45-6789"),
+        ("account 123456789012 is ok", "123456789012"),
+        ("IBAN DE89 3704 0044 0532 0130 00 is mine", "DE89 3704 0044 0532 0130 00"),
+        ("iban GB29 NWBK 6016 1331 9268 19 and 3 more", "GB29 NWBK 6016 1331 9268 19"),
+        ("passport no. C01X00T47 was lost, account 87 654 321", "C01X00T47", "87 654 321"),
+        ("on account 20 million people", ),
+        ("account " + "1" * 35, ),
+    ):
+        assert [text[a:b] for a, b in pii.find(text)[4]] == expected
+    assert pii.mask("account 123456789012 is ok") == "account <account> is ok"
+    pii.find("account1" * 40_000)
+
+
 def test_mask():
     assert pii.mask("to a.b@c.de, from +1 (614) 555-8001.") == "to <email>, from <phone>."
     assert pii.mask("nothing é here") == "nothing é here"

@@ -31,7 +31,20 @@ NUMBER = re.compile(r"[0-9]+")
 DIGIT_CHAIN = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE_RUN = re.compile(r"[ ().0-9-]*")
 SECRET_VALUE = re.compile(r"""[ ]?[=:][ ]?(["']?)([A-Za-z0-9_./+-]{16,})""")
-ACCOUNT_VALUE = re.compile(r"[ ]?(?:no\.?|number|#)?[ ]?[=:]?[ ]?([A-Za-z]{0,2}[0-9](?:[ -]?[A-Za-z0-9])+)", re.I)
+ACCOUNT_START = re.compile(r"[ ]?(?:no\.?|number|#)?[ ]?[=:]?[ ]?(?=[A-Za-z]{0,2}[0-9])", re.I)
+ACCOUNT_MOST = 34
+#: A group of an identifier and what parts it from the next one; a longer group is none, so no more is read.
+ACCOUNT_GROUP = re.compile(f"([A-Za-z0-9]{{1,{ACCOUNT_MOST + 1}}})([ -]?)")
+#: Characters of an IBAN by its country.
+IBAN_LENGTHS = {
+    pair[:2]: int(pair[2:])
+    for pair in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 "
+        "FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 "
+        "LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 "
+        "SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+    ).split()
+}
 LOGIN = re.compile(r"[A-Za-z0-9._%+-]+:[^\s/@]+@[A-Za-z0-9.-]+")
 
 Span = tuple[int, int]
@@ -96,14 +109,46 @@ def secret(text: str, start: int, end: int, done: int) -> tuple[Span | None, int
     return (value.span(2), value.end()) if value else (None, done)
 
 
+def iban(plain: str) -> bool:
+    """By its country's length and its check digits."""
+    plain = plain.upper()
+    if len(plain) != IBAN_LENGTHS.get(plain[:2]):
+        return False
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
 def account(text: str, start: int, end: int, done: int) -> tuple[Span | None, int]:
-    """After a cue such as ``iban``: an identifier with 6 to 34 characters, most of them digits."""
-    value = ACCOUNT_VALUE.match(text, end)
-    if not value:
+    """After a cue such as ``iban``: an identifier with 6 to 34 characters, most of them digits.
+
+    It goes on from group to group as long as a group has a digit, or is a capital letter or two at most
+    with a group of digits behind it; prose ends it. An IBAN ends where its country's length and its check
+    digits say, its groups being of any letters; otherwise the longest run of groups that is valid counts.
+    """
+    opening = ACCOUNT_START.match(text, end)
+    if not opening:
         return None, done
-    plain = re.sub("[ -]", "", value[1])
-    valid = 6 <= len(plain) <= 34 and 2 * sum(c in DIGITS for c in plain) > len(plain)
-    return (value.span(1), value.end()) if valid else (None, done)
+    first = at = opening.end()
+    plain, stop, prose = "", None, False
+    while group := ACCOUNT_GROUP.match(text, at):
+        own = group[1]
+        if len(plain) + len(own) > ACCOUNT_MOST:
+            break
+        plain += own
+        digits = sum(c in DIGITS for c in own)
+        if iban(plain):
+            stop = group.end(1)
+            break
+        if not digits and first < at:
+            # Letters alone part groups of digits only as a short mark.
+            behind = ACCOUNT_GROUP.match(text, group.end())
+            mark = len(own) <= 2 and own.isupper() and group[2] and behind and behind[1][0] in DIGITS
+            prose = prose or not mark
+        if not prose and digits and 6 <= len(plain) and 2 * sum(c in DIGITS for c in plain) > len(plain):
+            stop = group.end(1)
+        if not group[2] or prose and plain[:2].upper() not in IBAN_LENGTHS:
+            break
+        at = group.end()
+    return ((first, stop), stop) if stop else (None, done)
 
 
 def login(text: str, start: int, end: int, done: int) -> tuple[Span | None, int]:
