@@ -24,6 +24,18 @@ def test_kept_tokens_have_the_target_shares(spark, sf_dir):
     assert mixed.filter(F.abs(p - F.least(F.lit(1.0), F.col("_weight") / 2)) > 1e-9).isEmpty()
 
 
+def test_copies_have_the_target_shares(spark):
+    """A language that must be repeated: all its documents are kept, and copies make up its share."""
+    rows = [(i, "w " * 19, "s", "es" if i % 10 == 0 else "en") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    target = spark.createDataFrame([("en", 0.65), ("es", 0.35)], "lang string, target double")
+    mixed = mixing.with_mixture(docs, targets={"lang": target}, keep=1.0).cache()
+    assert mixed.filter(F.col("_kept") != (F.col("_copies") > 0)).isEmpty()
+    taken = {r.lang: r.t for r in mixed.groupBy("lang").agg(F.sum(F.col("_tokens") * F.col("_copies")).alias("t")).collect()}
+    assert taken["es"] / sum(taken.values()) == pytest.approx(0.35, abs=0.02)
+    assert sum(taken.values()) == pytest.approx(80_000, rel=0.03)
+
+
 def test_edge_rows(spark):
     rows = [(1, None, None, None, 1), (2, "", "a", "en", 1), (None, "x y", "b", None, 1), (2, "", "a", "en", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, weight int")

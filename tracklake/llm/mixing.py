@@ -3,7 +3,8 @@
 Tokens are summed to cells of source, language and topic. Sweeps rake the cells' weights to the target
 share of each source, then language, then topic, over and over. A document's probability is its cell's
 weight per token times the share of tokens to keep, at most one: a cell that would have to be repeated is
-kept whole, all others are thinned to their proportion.
+kept whole, all others are thinned to their proportion. That alone misses the targets where cells are cut
+off at one; a number of copies holds what lies above, so that documents times copies meet them.
 """
 
 from __future__ import annotations
@@ -79,11 +80,12 @@ def with_mixture(
     source: str = "source",
     lang: str = "lang",
 ) -> DataFrame:
-    """Adds ``_topic``, ``_tokens``, ``_weight``, ``_probability`` and ``_kept`` to all documents.
+    """Adds ``_topic``, ``_tokens``, ``_weight``, ``_probability``, ``_kept`` and ``_copies`` to all documents.
 
     ``targets`` maps source, lang or topic to a table (value in a column of that name, target share); for
     the others the target is the observed share to a power. A null source or language is the value ''.
-    A null or empty text weighs one token. Equal keys share one draw. An empty table gives an empty
+    ``_copies`` is how often to take a document, on average its weight times ``keep``; it is above 0 where
+    ``_kept`` is true. A null or empty text weighs one token. Equal keys share one draw. An empty table gives an empty
     result. Other columns stay as they are; ones named like those added must not be there.
     """
     own = docs.withColumns({"_topic": topic if topic is not None else topic_of(), "_tokens": tokens if tokens is not None else token_weight()})
@@ -97,8 +99,12 @@ def with_mixture(
     weight = (F.col("weight") / F.col("tokens")).alias("_weight")
     rated = placed.join(raked.select(*[F.col(d).alias(f"_c_{d}") for d in DIMENSIONS], weight), [f"_c_{d}" for d in DIMENSIONS])
     rated = rated.withColumn("_probability", F.least(F.lit(1.0), F.col("_weight") * keep))
-    drawn = draw(key, seed) < F.col("_probability")
-    return rated.select(*docs.columns, "_topic", "_tokens", "_weight", "_probability", drawn.alias("_kept"))
+    drawn = draw(key, seed)
+    times = F.col("_weight") * keep
+    copies = F.floor(times) + (drawn < times - F.floor(times)).cast("long")
+    return rated.select(
+        *docs.columns, "_topic", "_tokens", "_weight", "_probability", (drawn < F.col("_probability")).alias("_kept"), copies.cast("long").alias("_copies")
+    )
 
 
 def oracle(sweeps: int = SWEEPS, keep: float = KEEP, seed: int = 0) -> str:
