@@ -1,0 +1,90 @@
+import math
+
+import compare
+import numpy as np
+from pyspark.sql import functions as F
+
+from tracklake.llm import hard_negatives, queries
+
+SCHEMA = "vec_id long, embedding array<double>, label int, _name string"
+
+
+def brute_force(rows, every, positives, negatives):
+    fit = lambda r: None not in (r[0], r[1], r[2]) and len(r[1]) and all(x is not None and math.isfinite(x) for x in r[1])
+    rows = sorted({(r[0], tuple(r[1]), r[2]) for r in rows if fit(r)})
+    rows = [(i, [math.floor(256 * x) for x in v], label, v) for i, v, label in rows]
+    out = []
+    for i, own, label, raw in rows:
+        if i % every:
+            continue
+        scores = [(-sum(a * b for a, b in zip(own, v)), j, m) for j, v, m, w in rows if (j, m, w) != (i, label, raw) and len(v) == len(own)]
+        for p, j, _ in sorted(s for s in scores if s[2] == label)[:positives]:
+            fit = sorted(s for s in scores if s[2] != label and 30 * -p <= 100 * -s[0] <= 90 * -p)
+            out += [(i, j, k, n, -p, -s) for k, (s, n, _) in enumerate(fit[:negatives], 1)]
+    return sorted(out)
+
+
+def test_query_against_sql(spark, sf_dir):
+    name = "op13_hard_negatives"
+    columns, rows = compare.spark_rows(queries.QUERIES[name](spark, sf_dir))
+    assert (columns, rows) == compare.duck_rows(compare.connect(sf_dir), queries.ORACLE[name])
+    assert rows
+
+
+def test_ties_blocks_and_odd_rows(spark):
+    draw = np.random.default_rng(3)
+    rows = [(k, draw.integers(-2, 3, 6).astype(float).tolist(), int(draw.integers(0, 3))) for k in range(400)]
+    rows += [(k, (draw.normal(size=6) * 10.0 ** int(draw.integers(-1, 3))).tolist(), int(draw.integers(0, 3))) for k in range(400, 700)]
+    rows += [(k, [1.0] * 6, k % 2) for k in range(700, 760)]
+    rows += [(800, None, 1), (801, [1.0, None] + [0.0] * 4, 1), (802, [float("nan")] * 6, 1), (803, [float("inf")] * 6, 1), (None, [1.0] * 6, 1), (804, [1.0] * 6, None)]
+    rows += [(810, [0.0] * 6, 0), (811, [], 0), (820, [1.0, 2.0], 0), (830, [1.0, 2.0], 0), (821, [0.5, 1.0], 1), rows[0], rows[0]]
+    frame = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA).repartition(3)
+    expected = brute_force(rows, 10, 5, 10)
+    assert len(expected) > 500
+    for shard, block in ((4096, 1024), (50, 7)):
+        result = hard_negatives.mine(frame, F.col("vec_id") % 10 == 0, shard_rows=shard, block_rows=block)
+        assert sorted(map(tuple, result.collect())) == expected
+    assert hard_negatives.mine(frame.limit(0), F.col("vec_id") % 10 == 0).count() == 0
+    assert hard_negatives.mine(frame, F.lit(None).cast("boolean")).count() == 0
+
+
+def test_large_components_stay_exact(spark):
+    draw = np.random.default_rng(8)
+    rows = [(k, (draw.normal(size=4) * 3e5).tolist(), k % 2) for k in range(60)]
+    result = hard_negatives.mine(spark.createDataFrame([(*r, "") for r in rows], SCHEMA), F.col("vec_id") % 10 == 0)
+    assert sorted(map(tuple, result.collect())) == brute_force(rows, 10, 5, 10)
+
+
+def test_bounds_hold_and_spare_work():
+    draw = np.random.default_rng(1)
+    centres = draw.normal(size=(6, 16)) * 200
+    vectors = np.floor(centres[draw.integers(0, 6, 2000)] + draw.normal(size=(2000, 16)) * 20).astype(np.int64)
+    anchors = vectors[:60]
+    bounds = hard_negatives.Bounds(anchors, vectors)
+    exact = vectors @ anchors.T
+
+    def wanted(anchor, low, high):
+        assert (low <= exact[:, anchor]).all() and (exact[:, anchor] <= high).all()
+        most = np.partition(exact[:, anchor], -20)[-20]
+        return np.flatnonzero(high >= most)
+
+    for anchor, rows, scores in bounds.walk(wanted):
+        assert scores.astype(np.int64).tolist() == exact[rows, anchor].tolist()
+    assert bounds.rescored < 0.8 * exact.size
+
+
+def test_spanning_tree():
+    points = np.random.default_rng(2).normal(size=(40, 3))
+    tree = hard_negatives.spanning_tree(points)
+    seen = set()
+    for child, parent, length in tree:
+        assert parent in seen or child == parent == 0
+        assert abs(length - np.linalg.norm(points[child] - points[parent])) < 1e-9
+        seen.add(child)
+    away = np.linalg.norm(points[:, None] - points[None], axis=2)
+    root, total = list(range(40)), 0.0
+    for a, b in sorted(((a, b) for a in range(40) for b in range(a)), key=lambda e: away[e]):
+        if root[a] != root[b]:
+            total += away[a, b]
+            root = [root[a] if r == root[b] else r for r in root]
+    assert seen == set(range(40)) and abs(total - sum(e[2] for e in tree)) < 1e-9

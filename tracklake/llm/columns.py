@@ -61,3 +61,9 @@ def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     for k in range(a.shape[1]):
         sums += a[:, k] * b[:, k]
     return sums
+
+
+def ascii_lower(text: str) -> Column:
+    """A text with A-Z in lower case and all else as it is; a null one is empty."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.translate(F.coalesce(F.col(text), F.lit("")), upper, upper.lower())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklake.llm import ann, bpe_counts, chat, lm, mixing, ngram_join, packing, pii, quality, vector_join
+from tracklake.llm import ann, bpe_counts, chat, decontamination, divergence, hard_negatives, lm, mixing, ngram_join, packing, pii, quality, vector_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -93,3 +93,29 @@ def op10_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.with_scores(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op11_divergence"] = divergence.oracle()
+
+
+@query
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(*(table(spark, sf_dir, n) for n in ("documents", "benchmark")))
+
+
+ORACLE["op12_decontamination"] = decontamination.oracle()
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    wrong = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", wrong), F.col("vec_id") % 100 == 0)
+
+
+ORACLE["op13_hard_negatives"] = hard_negatives.oracle()
