@@ -49,6 +49,8 @@ def kept_terms(counted: DataFrame, least: int, block_terms: int) -> DataFrame:
     kept = materialize(kept.filter(F.col("_d") >= least).drop("_d"))
     blocks = kept.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / block_terms).alias("_blocks"))
     dealt = kept.join(blocks, "lang").withColumn("block", F.pmod(F.xxhash64("term"), F.col("_blocks")).cast("int")).drop("_blocks")
+    # Dealt by both columns, as the join would leave a whole language in one task.
+    dealt = dealt.repartition("lang", "block")
     return materialize(dealt.withColumn("id", F.row_number().over(Window.partitionBy("lang", "block").orderBy("term"))))
 
 
