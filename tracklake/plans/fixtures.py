@@ -219,3 +219,21 @@ def supplier_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(
         key.cast("string").alias("polygon_id"), ring.alias("ring")
     )
+
+
+def supplier_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ring of 1,000 vertices per supplier, in grid units: zigzags above and below a level line."""
+    key = F.col("s_suppkey")
+    x, y = (key * 7919 % 1000).cast("double"), (key * 104729 % 500).cast("double")
+    steps = F.sequence(F.lit(0), F.lit(499))
+    vertex = lambda lat, t: F.struct(lat.alias("lat"), (y + t).alias("lon"))
+    upper = F.transform(steps, lambda t: vertex(x + 40 + t % 2 * 20, t))
+    lower = F.transform(F.reverse(steps), lambda t: vertex(x - 40 - t % 3 * 10, t))
+    return table(spark, sf_dir, "supplier").select(key.cast("string").alias("polygon_id"), F.concat(upper, lower).alias("ring"))
+
+
+def half_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as points on the same grid, at whole latitudes and half longitudes."""
+    key = F.col("p_partkey")
+    lat, lon = (key * 7919 % 1000).cast("double"), (key * 104729 % 2000) / F.lit(2.0)
+    return table(spark, sf_dir, "part").select(key.alias("id"), lat.alias("lat"), lon.alias("lon"))

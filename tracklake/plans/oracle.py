@@ -269,6 +269,14 @@ ORACLE: dict[str, str] = {
       select id, polygon_id from nodes join boxes
         on x > cx - half and x < cx + half and y > cy - half and y < cy + half
         and (is_box or abs(x - cx) + abs(y - cy) < half)""",
+    "points_in_large_polygons": """with points as (
+        select p_partkey as id, p_partkey * 7919 % 1000 as x, (p_partkey * 104729 % 2000) / 2.0::double as y from part),
+      rings as (select s_suppkey::varchar as polygon_id, s_suppkey * 7919 % 1000 as cx, s_suppkey * 104729 % 500 as cy from supplier),
+      placed as (select id, polygon_id, x - cx as x, y - cy as y, floor(y - cy)::bigint as t from points join rings
+        on y > cy and y < cy + 499 and abs(x - cx) < 61)
+      select id, polygon_id from placed
+      where x < 40 + (case when y > t then 10 else t % 2 * 20 end)
+        and x > -40 - (case when y = t then t % 3 * 10 else [5, 15, 10][t % 3 + 1] end)""",
     # aggregations
     "bounds": f"""with {_POSITIONS}
       select track_id, min(lat) as minlat, min(lon) as minlon, max(lat) as maxlat, max(lon) as maxlon

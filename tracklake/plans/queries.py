@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracklake import schemas
 from tracklake.functions import geometry, scalar, tags
-from tracklake.operators import changes, messages, polygons, positions, runs, store, ways
+from tracklake.operators import changes, messages, polygon_index, polygons, positions, runs, store, ways
 from tracklake.plans import fixtures, workflows
 from tracklake.session import materialize, work_path
 from tracklake.sources import osm, snapshots, tracks
@@ -453,6 +453,13 @@ def points_in_many_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def points_in_large_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = fixtures.supplier_rings(spark, sf_dir)
+    found = polygon_index.points_in_large_polygons(fixtures.half_nodes(spark, sf_dir), drawn, cell=100.0)
+    return found.select("id", "polygon_id")
+
+
 # Aggregations
 
 
