@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 
@@ -134,16 +135,46 @@ def test_document_of_odd_elements(spark, tmp_path):
             osm.write_osm_xml(broken, str(tmp_path / f"broken{lacking[0][0]}"))
 
 
-@pytest.mark.parametrize("section", ["<!-- {} -->", "<![CDATA[{}]]>"])
+SECTIONS = ["<!-- {} -->", "<![CDATA[{}]]>", "<?x {} ?>"]
+
+
+def all_tables(read):
+    columns = {"nodes": ["id", "lat", "lon"], "ways": ["way_id"], "way_nodes": ["way_id", "pos", "ref"], "way_tags": ["way_id", "pos", "k", "v"], "relations": ["id"]}
+    return {name: rows(getattr(read, name), *of) for name, of in columns.items()}
+
+
+@pytest.mark.parametrize("section", SECTIONS)
 def test_sections_in_split_documents(spark, tmp_path, section):
-    """Without tags they change nothing; with tags the read fails rather than inventing elements."""
-    for name, inside in (("plain", "a > b -- c"), ("tags", '<node id="9" lat="1" lon="1"/>')):
-        (tmp_path / name).mkdir()
-        (tmp_path / name / "map.osm").write_text(XML.replace("<relation", section.format(inside) + "<relation"))
-    read = osm.read_osm_xml(spark, str(tmp_path / "plain"), splittable=True)
-    assert rows(read.nodes, "id") == [(1,), (1,), (2,)] and rows(read.relations, "id") == [(9,)]
-    with pytest.raises(Exception, match="holds a tag"):
-        osm.read_osm_xml(spark, str(tmp_path / "tags"), splittable=True)
+    """What lies in a section is text, with tags in it or without."""
+    (tmp_path / "map.osm").write_text(XML)
+    expected = all_tables(osm.read_osm_xml(spark, str(tmp_path / "map.osm")))
+    for n, inside in enumerate(("a > b - c", '<node id="9" lat="1" lon="1"/>', "<way id='5'><nd ref='1'/>", "<a <b <!- <![CDATA <? ")):
+        path = tmp_path / f"{n}.osm"
+        path.write_text(XML.replace("<relation", section.format(inside) + "<relation").replace('<nd ref="', section.format(inside) + '<nd ref="'))
+        assert all_tables(osm.read_osm_xml(spark, str(path), splittable=True)) == expected
+
+
+def test_sections_over_many_splits(spark, tmp_path):
+    """Long sections, sections within sections and their ends outside of any, in splits of any size."""
+    draw = random.Random(3)
+    parts = []
+    for i in range(900):
+        parts.append(f'<node id="{i}" lat="{i % 90}.5" lon="-1"/>')
+        kind = draw.randrange(4)
+        if kind < 3:
+            inside = [f'<node id="{10_000 + i}" lat="1" lon="1"/>', "<way id='1'><nd ref='3'/>", " <!- - x ", "<![CDATA[ " if kind != 1 else "<!-", "text > ", "<? y "]
+            parts.append(SECTIONS[kind].format("".join(draw.choices(inside, k=draw.choice([1, 3, 40])))))
+        elif i % 5 == 0:
+            parts.append(f'<way id="{i}"><nd ref="{i}"/>]]> --&gt; ?&gt;<!-- <nd ref="77"/> --><nd ref="{i}"/><tag k="highway" v="path"/></way>'.replace("]]> ", "]]&gt; "))
+    (tmp_path / "map.osm").write_text("<?xml version='1.0'?>\n<osm>\n" + "\n".join(parts) + "\n</osm>\n")
+    expected = all_tables(osm.read_osm_xml(spark, str(tmp_path)))
+    assert len(expected["nodes"]) == 900 and expected["way_nodes"]
+    for size in (1500, 20_000):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        try:
+            assert all_tables(osm.read_osm_xml(spark, str(tmp_path), splittable=True)) == expected
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_export_as_one_document(spark, tmp_path):

@@ -160,8 +160,7 @@ ORACLE: dict[str, str] = {
         null::varchar as k, null::varchar as v from nodes
       union all select 'nd', way_id, null, null, pos, ref, null, null from dense_way_nodes
       union all select 'tag', way_id, null, null, pos, null, k, v from way_tags
-        where way_id % 5 <> 0
-      union all select 'way', o_orderkey, null, null, null, null, null, null from orders""",
+      union all select 'way', unnest([o_orderkey, -1 - o_orderkey]), null, null, null, null, null, null from orders""",
     "write_osm_xml": f"with {_IDS} select way_id, pos, node_id as ref, lat, lon from ids",
     "read_osm_json": f"""with {_NODES}, {_DENSE_WAY_NODES}
       select 'node' as type, id, lat, lon, null::bigint as pos, null::bigint as ref from nodes
