@@ -80,6 +80,38 @@ def test_edge_rows(spark):
     assert ngram_join.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_different_texts_of_one_id(spark):
+    base = [f"w{i}" for i in range(40)]
+    texts = [" ".join(base), " ".join(base[:39] + ["x"]), " ".join(f"v{i}" for i in range(40)), " ".join(["y"] + [f"v{i}" for i in range(1, 40)])]
+    rows = [(1, texts[0]), (1, texts[2]), (2, texts[1]), (3, texts[3]), (3, texts[3]), (4, "alone"), (4, None), (4, ""), (None, "alone")]
+    frame = spark.createDataFrame([(*r, 0, "a") for r in rows], "doc_id long, text string, n int, name string")
+    got = sorted(map(tuple, ngram_join.near_duplicates(frame, 2, 80).collect()), key=str)
+    assert got == sorted([(1, 39, 1), (1, 39, 1), (2, 39, 1), (3, 39, 1), (3, 39, 1), (4, 1, 4), (4, 0, 4), (4, 0, 4), (None, 1, None)], key=str)
+    kept = sorted(map(tuple, ngram_join.first_of_groups(frame, 2, 80).collect()), key=str)
+    # All rows of ids 1 to 3 but one are copies, as (1, texts[2]) links with 3; an empty text and a null one are the same.
+    assert sorted((k[0], k[1] or "") for k in kept if k[0]) in [sorted([(1, t), (1, texts[2]), (4, "alone"), (4, "")]) for t in texts[:1]]
+    assert (None, "alone", 0, "a") in kept and len(kept) == 5
+
+
+def test_large_group_of_near_copies_is_not_paired(spark, monkeypatch):
+    """A group of near copies with a common line is joined by tries, not by all of its pairs."""
+    draw = random.Random(11)
+    line, base = [f"l{i}" for i in range(12)], [f"w{i}" for i in range(150)]
+    rows = []
+    for k in range(700):
+        words = line + base
+        for _ in range(draw.choice([0, 1, 1, 2])):
+            words[draw.randrange(len(words))] = f"e{draw.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    rows += [(1000 + k, " ".join(line + [f"u{k}_{i}" for i in range(60)])) for k in range(300)]
+    pairs = []
+    run = ngram_join.Tries.run
+    monkeypatch.setattr(ngram_join.Tries, "run", lambda self, frame: pairs.append(frame.count()) or run(self, frame))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert result(ngram_join.near_duplicates(frame, 4, 85)) == brute_force(rows, 4, 85)
+    assert sum(pairs) < 20 * len(rows)
+
+
 def test_shingles_are_told_apart_as_words_are():
     draw = random.Random(1)
     texts = ["".join(draw.choices("ab AB\n\x0b\x1cé ", k=draw.randint(0, 14))) for _ in range(3000)] + ["", " a", "a "]

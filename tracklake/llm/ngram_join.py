@@ -8,9 +8,11 @@ overlaps are added up over the blocks, and a pair goes as soon as what is left c
 
 Groups are not expanded into pairs. First each node is multiplied with up to three others, those with
 which it shares most leading grams among the grams' first, last and drawn nodes, and linked nodes are
-joined to clusters; then only pairs across clusters are
-listed, and of those every one. In both steps overlaps within the leading grams are counted first, and
-only pairs that may still reach the bound are multiplied in full.
+joined to clusters. While grams still lead in so many clusters that their pairs would outgrow the rows,
+nodes outside a gram's largest cluster are tried again, with that cluster's best linked member and with a
+fresh draw from it. Then only pairs across clusters are listed, and of those every one that the places of
+their first common gram still allow. Overlaps within the leading grams are counted first, and only pairs
+that may still reach the bound are multiplied in full.
 """
 
 from __future__ import annotations
@@ -37,6 +39,13 @@ LEADING_MOST = 8
 COMPACT_ROWS = 1_000_000
 BLOCKS = 4
 BITMAP_BITS = 24
+#: Tries go on while pairs across clusters are more than so many times the rows of leading grams, and while
+#: a round links at least this share of the nodes it tries. Both move work, never results.
+CROSS_MOST, PROGRESS = 2, 0.05
+
+
+def text_name(text: str) -> Column:
+    return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("name")
 
 
 def need(n: int, percent: int) -> int:
@@ -114,7 +123,7 @@ def leading_grams(docs: DataFrame, key: str, text: str, size: int, percent: int)
 
 
 def prefixes(docs: DataFrame, key: str, text: str, size: int, percent: int, common: np.ndarray) -> DataFrame:
-    """Per document: ``key``, n (size of its set), s1 and s2 (its name), prefix (its leading grams).
+    """Per document: ``key``, name, n (size of its set), s1 and s2 (the set's name), prefix (its leading grams).
 
     Grams come by their values, those in ``common`` after all others.
     """
@@ -132,22 +141,24 @@ def prefixes(docs: DataFrame, key: str, text: str, size: int, percent: int, comm
             yield pa.record_batch(
                 [
                     batch.column(0),
+                    batch.column(2),
                     pa.array([len(s) for s in sets], pa.int64()),
                     *(pa.array([n[k] for n in names], pa.int64()) for k in (0, 1)),
                     pa.array(leading, pa.list_(pa.int64())),
                 ],
-                names=[key, "n", "s1", "s2", "prefix"],
+                names=[key, "name", "n", "s1", "s2", "prefix"],
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(scan, f"`{key}` {kind}, n long, s1 long, s2 long, prefix array<long>")
+    named = docs.select(key, text, text_name(text))
+    return named.mapInArrow(scan, f"`{key}` {kind}, name string, n long, s1 long, s2 long, prefix array<long>")
 
 
-def _bits(nodes: DataFrame) -> np.ndarray:
-    """A bit for each value of ``node`` in a map of fixed size; others may share it."""
-    place = F.pmod(F.xxhash64("node"), F.lit(1 << BITMAP_BITS))
+def _bits(keys: DataFrame) -> np.ndarray:
+    """A bit for each value of ``id`` in a map of fixed size; others may share it."""
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << BITMAP_BITS))
     # The functions count values from 1 on.
-    at = nodes.select((place + 1).alias("at")).groupBy(F.expr("bitmap_bucket_number(at)").alias("bucket"))
+    at = keys.select((place + 1).alias("at")).groupBy(F.expr("bitmap_bucket_number(at)").alias("bucket"))
     rows = at.agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("bits")).collect()
     bits = np.zeros(1 << BITMAP_BITS >> 3, np.uint8)
     for r in rows:
@@ -156,39 +167,41 @@ def _bits(nodes: DataFrame) -> np.ndarray:
     return bits
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """The incidence of some documents in blocks: node, block, grams.
+def sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """The incidence of some nodes (node, id, s1, s2) in blocks: node, block, grams.
 
-    A map of bits keeps most other documents' sets from being made; a join removes the rest.
+    A map of bits keeps most other documents' sets from being made; a join by id and set removes the rest.
     """
     bits = _bits(nodes)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, SLICE_BYTES, text):
+        for batch in slices(batches, SLICE_BYTES, "text"):
             at = batch.column(2).to_numpy()
             batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7) & 1).astype(bool)))
             if not batch.num_rows:
                 continue
-            ids, blocks, grams = [], [], []
-            for node, own in zip(batch.column(0).to_pylist(), shingle_sets(*text_bytes(batch.column(1)), size)):
+            rows, blocks, grams, names = [], [], [], []
+            for row, own in enumerate(shingle_sets(*text_bytes(batch.column(1)), size)):
                 cuts = np.searchsorted(own, np.arange(1, BLOCKS, dtype=np.uint64) << np.uint64(62))
-                ids += [node] * BLOCKS
+                rows += [row] * BLOCKS
                 blocks += range(BLOCKS)
+                names += [signature(own)] * BLOCKS
                 grams += [_longs(part) for part in np.split(own, cuts)]
             yield pa.record_batch(
-                [pa.array(ids, batch.schema.field(0).type), pa.array(blocks, pa.int32()), pa.array(grams, pa.list_(pa.int64()))],
-                names=["node", "block", "grams"],
+                [
+                    batch.column(0).take(pa.array(rows)),
+                    *(pa.array([n[k] for n in names], pa.int64()) for k in (0, 1)),
+                    pa.array(blocks, pa.int32()),
+                    pa.array(grams, pa.list_(pa.int64())),
+                ],
+                names=["id", "s1", "s2", "block", "grams"],
             )
 
-    place = F.pmod(F.xxhash64(key), F.lit(1 << BITMAP_BITS))
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("_node"), text, place.alias("_at"))
-    made = rows.mapInArrow(scan, f"node {kind}, block int, grams array<long>")
-    return made.join(nodes, "node", "left_semi")
-
-
-def _ends(pairs: DataFrame) -> DataFrame:
-    return materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << BITMAP_BITS))
+    kind = docs.schema["id"].dataType.simpleString()
+    rows = docs.filter("id is not null").select("id", "text", place.alias("_at"))
+    made = rows.mapInArrow(scan, f"id {kind}, s1 long, s2 long, block int, grams array<long>")
+    return made.join(nodes, ["id", "s1", "s2"]).select("node", "block", "grams")
 
 
 def linked(overlap: Column, a: Column, b: Column, percent: int) -> Column:
@@ -213,12 +226,132 @@ def multiply(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rest = F.least(F.col("na") - F.size("_a"), F.col("nb") - F.size("_b"))
     first = overlaps(pairs, "block = 0").withColumn("o", own)
     hopeful = materialize(first.filter(linked(F.col("o") + rest, F.col("na"), F.col("nb"), percent)).select("a", "b", "na", "nb", "o"))
-    # A largest value per block, since a key that several rows bear has several equal sets.
+    # A largest value per block, since equal rows have a set each.
     others = overlaps(hopeful, "block > 0").groupBy("a", "b", "na", "nb", "o")
     others = others.agg(sum(F.max(F.when(F.col("block") == k, own)) for k in range(1, BLOCKS)).alias("more"))
     return others.filter(linked(F.col("o") + F.col("more"), F.col("na"), F.col("nb"), percent)).select("a", "b")
 
 
+def may_link(a: str, b: str, percent: int) -> Column:
+    """Whether sets of these sizes may link."""
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+
+
+class Tries:
+    """Pairs of nodes multiplied so far, and the links among them."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, kept: DataFrame, size: int, percent: int):
+        self.docs, self.classes, self.kept, self.size, self.percent = docs, classes, kept, size, percent
+        self.tried: DataFrame | None = None
+        self.links: DataFrame | None = None
+
+    def hopeful(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b), a below b, the new ones that may reach the bound: a, b, na, nb.
+
+        All that two sets share up to the end of the prefix that ends first lies in both prefixes; behind it
+        they share no more than is left of that set.
+        """
+        if self.tried is not None:
+            pairs = pairs.join(self.tried.select("a", "b"), ["a", "b"], "left_anti")
+        for end in ("a", "b"):
+            pairs = pairs.join(self.kept.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("prefix").alias(f"_{end}")), end)
+        most = F.size(F.array_intersect("_a", "_b")) + F.expr(f"(greatest(na, nb) * {self.percent} + 99) div 100") - 1
+        reach = linked(most, F.col("na"), F.col("nb"), self.percent)
+        return materialize(pairs.filter(may_link("na", "nb", self.percent) & reach).select("a", "b", "na", "nb"))
+
+    def run(self, pairs: DataFrame) -> tuple[int, int]:
+        """Multiplies those that may link; the number of pairs tried and of new links."""
+        pairs = self.hopeful(pairs)
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        nodes = materialize(ends.join(self.classes.select("node", "id", "s1", "s2"), "node"))
+        found = materialize(multiply(pairs, sets_of(self.docs, nodes, self.size), self.percent))
+        self.tried = pairs if self.tried is None else self.tried.union(pairs)
+        self.links = found if self.links is None else self.links.union(found)
+        return pairs.count(), found.count()
+
+
+def _best(stars: DataFrame) -> DataFrame:
+    """For each node the pair with the leader it shares most leading grams with; ``stars`` has node, leader."""
+    common = stars.filter("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("common"))
+    best = common.groupBy("node").agg(F.max(F.struct("common", "leader")).alias("best"))
+    return best.select(F.least("node", "best.leader").alias("a"), F.greatest("node", "best.leader").alias("b"))
+
+
+def _placed(rows: DataFrame, tries: Tries) -> tuple[DataFrame, DataFrame, int]:
+    """Rows with their cluster, each gram's largest cluster, and a bound on the rows of pairs across."""
+    clusters = materialize(components(tries.links, "a", "b"))
+    placed = rows.join(clusters, "node", "left").withColumn("cluster", F.coalesce("component", "node"))
+    placed = materialize(placed.select("gram", "node", "n", "place", "cluster"))
+    counts = placed.groupBy("gram", "cluster").agg(F.count(F.lit(1)).alias("c"))
+    main = counts.groupBy("gram").agg(F.max(F.struct("c", "cluster")).alias("most"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("clusters"))
+    main = materialize(main.filter("clusters > 1").select("gram", F.col("most.cluster").alias("main"), ((F.col("c") - F.col("most.c")) * F.col("c")).alias("cross")))
+    return placed, main, main.agg(F.sum("cross")).first()[0] or 0
+
+
+def _again(placed: DataFrame, main: DataFrame, links: DataFrame, turn: int) -> DataFrame:
+    """Fresh tries for nodes outside the largest cluster of a gram, each with two members of it."""
+    degrees = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    mixed = placed.join(main, "gram").join(degrees, "node", "left")
+    inside = mixed.filter("cluster = main").groupBy("gram").agg(
+        F.max_by("node", F.coalesce("degree", F.lit(0))).alias("hub"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("drawn")
+    )
+    outer = mixed.filter("cluster <> main").join(inside, "gram")
+    ways = [_best(outer.select("node", F.col(way).alias("leader"))) for way in ("hub", "drawn")]
+    return ways[0].union(ways[1]).distinct()
+
+
+def grouped(docs: DataFrame, size: int, percent: int, key: str, text: str) -> DataFrame:
+    """Per document: id, name (of its text), n (size of its set), component_id, group (of linked sets).
+
+    A set is one node, whatever ids its documents bear; documents without words or id have no group.
+    """
+    docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    found = materialize(leading_grams(docs, "id", "text", size, percent))
+    usable = found.filter("n > 0 and id is not null")
+    classes = usable.groupBy("n", "s1", "s2").agg(F.min("id").alias("id")).withColumn("node", F.monotonically_increasing_id())
+    classes = materialize(classes)
+    kept = usable.join(classes, ["id", "n", "s1", "s2"]).dropDuplicates(["node"])
+    kept = materialize(kept.select("node", F.col("n").cast("int").alias("n"), "prefix"))
+
+    rows = kept.select("node", "n", F.posexplode("prefix").alias("place", "gram"))
+    # Three nodes of a gram to try others with: its first, its last, and one that a hash gives.
+    mixed = F.xxhash64("node")
+    shared = rows.groupBy("gram").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.min_by("node", mixed).alias("drawn"))
+    rows = materialize(rows.join(shared.filter("first <> last"), "gram"))
+
+    tries = Tries(docs, classes, kept, size, percent)
+    ways = [_best(rows.select("node", F.col(way).alias("leader"))) for way in ("first", "last", "drawn")]
+    tries.run(ways[0].union(ways[1]).union(ways[2]).distinct())
+    rows = rows.select("gram", "node", "n", "place")
+    placed, main, cross = _placed(rows, tries)
+    whole, turn, more = rows.count(), 1, True
+    while more and cross > CROSS_MOST * whole:
+        tried, new = tries.run(_again(placed, main, tries.links, turn))
+        more, turn = new > PROGRESS * tried, turn + 1
+        if new:
+            placed, main, cross = _placed(rows, tries)
+
+    # Linked sets share a gram first of all whose places leave room for the overlap they need. Of each pair
+    # of clusters of a gram one at least is not the largest.
+    mixed = placed.join(main, "gram")
+    side = lambda frame, x: frame.select("gram", "main", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "place", "cluster")])
+    left = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
+    room = left * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent
+    apart = (F.col("cluster_x") != F.col("cluster_y")) & ((F.col("cluster_y") == F.col("main")) | (F.col("node_x") < F.col("node_y")))
+    across = side(mixed.filter("cluster <> main"), "x").join(side(mixed, "y").drop("main"), "gram")
+    across = across.filter(apart & room & may_link("n_x", "n_y", percent))
+    tries.run(across.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct())
+
+    whole = components(materialize(tries.links), "a", "b")
+    named = materialize(classes.join(whole, "node", "left").withColumn("group", F.coalesce("component", "node")))
+    lowest = named.groupBy("group").agg(F.min("id").alias("component_id"))
+    of_class = named.join(lowest, "group").select("n", "s1", "s2", "group", "component_id")
+    narrow = found.select("id", "name", "n", "s1", "s2")
+    placed = narrow.filter("n > 0 and id is not null").join(of_class, ["n", "s1", "s2"]).select("id", "name", "n", "component_id", "group")
+    alone = narrow.filter("n = 0 or id is null").select("id", "name", "n", F.col("id").alias("component_id"), F.lit(None).cast("long").alias("group"))
+    return placed.union(alone)
+
+
 def near_duplicates(
     docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -227,69 +360,26 @@ def near_duplicates(
     Two documents link when their sets of shingles of ``size`` words have a Jaccard similarity of at least
     ``percent`` / 100; every link counts. A set holds the whole sequence if the words are fewer. A document
     without words, or null, has an empty set and links with nothing, and one with a null key has a null
-    component. Equal rows are one node and each keep their row. An empty table gives an empty result;
-    other columns are ignored, whatever their names. Texts are read whole.
+    component. Equal rows are one node and each keep their row; different texts of one key are judged apart.
+    An empty table gives an empty result; other columns are ignored, whatever their names. Texts are read
+    whole. Shingles are told apart by 64-bit numbers and sets by 128-bit ones, so results hold up to their
+    collisions.
     """
-    docs = docs.select(key, text)
-    found = materialize(leading_grams(docs, key, text, size, percent).withColumnRenamed(key, "node"))
-    usable = found.filter("n > 0 and node is not null")
-    classes = materialize(usable.groupBy("n", "s1", "s2").agg(F.min("node").alias("class")))
-    kept = materialize(usable.join(classes.select(F.col("class").alias("node")), "node", "left_semi").dropDuplicates(["node"]).select("node", "n", "prefix"))
+    found = grouped(docs, size, percent, key, text)
+    return found.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
-    rows = kept.select("node", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("gram"))
-    # Three nodes of a gram to try others with: its first, its last, and one that a hash gives.
-    mixed = F.xxhash64("node")
-    shared = rows.groupBy("gram").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.min(mixed).alias("drawn"))
-    rows = materialize(rows.join(shared.filter("first <> last"), "gram"))
 
-    def may_link(a: str, b: str) -> Column:
-        return F.least(a, b) * 100 >= F.greatest(a, b) * percent
-
-    def may_reach(common: Column) -> Column:
-        # All that two sets share up to the end of the prefix that ends first lies in both prefixes;
-        # behind it they share no more than is left of that set.
-        return linked(common + F.expr(f"(greatest(na, nb) * {percent} + 99) div 100") - 1, F.col("na"), F.col("nb"), percent)
-
-    drawn = kept.select(F.col("node").alias("drawn_node"), F.xxhash64("node").alias("drawn"))
-    tries = None
-    for way in ("first", "last", "drawn"):
-        stars = rows.groupBy("node", F.col(way).alias("leader")).agg(F.count(F.lit(1)).alias("common"))
-        if way == "drawn":
-            stars = stars.join(drawn, F.col("leader") == F.col("drawn")).select("node", F.col("drawn_node").alias("leader"), "common")
-        best = stars.filter("node <> leader").groupBy("node").agg(F.max(F.struct("common", "leader")).alias("best"))
-        best = best.select(F.least("node", "best.leader").alias("a"), F.greatest("node", "best.leader").alias("b"))
-        tries = best if tries is None else tries.union(best)
-    best = tries.distinct()
-    for end in ("a", "b"):
-        best = best.join(kept.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("prefix").alias(f"_{end}")), end)
-    tried = best.filter(may_link("na", "nb") & may_reach(F.size(F.array_intersect("_a", "_b"))))
-    tried = materialize(tried.select("a", "b", "na", "nb"))
-    links = materialize(multiply(tried, sets_of(docs, _ends(tried), key, text, size), percent))
-
-    clusters = materialize(components(links, "a", "b"))
-    placed = rows.select("gram", "node", "n").join(clusters, "node", "left").select("gram", "node", "n", F.coalesce("component", "node").alias("cluster"))
-    placed = materialize(placed)
-    counts = placed.groupBy("gram", "cluster").agg(F.count(F.lit(1)).alias("c"))
-    main = counts.groupBy("gram").agg(F.max(F.struct("c", "cluster")).alias("most"), F.count(F.lit(1)).alias("clusters"))
-    main = materialize(main.filter("clusters > 1").select("gram", F.col("most.cluster").alias("main")))
-    mixed = placed.join(main, "gram")
-    minor = mixed.filter("cluster <> main").select("gram", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("cluster").alias("cx"))
-    other = mixed.select("gram", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("cluster").alias("cy"), "main")
-    across = minor.join(other, "gram").filter(
-        (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & may_link("nx", "ny")
-    )
-    # One row for each gram that both prefixes hold: their number is the pair's overlap so far.
-    upward = F.col("x") < F.col("y")
-    ends = {"a": ("x", "y"), "b": ("y", "x"), "na": ("nx", "ny"), "nb": ("ny", "nx")}
-    ends = [F.when(upward, F.col(up)).otherwise(F.col(down)).cast("long").alias(end) for end, (up, down) in ends.items()]
-    pairs = across.groupBy(*ends).agg(F.count(F.lit(1)).alias("common"))
-    pairs = pairs.filter(may_reach(F.col("common"))).select("a", "b", "na", "nb")
-    pairs = materialize(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
-    more = multiply(pairs, sets_of(docs, _ends(pairs), key, text, size), percent)
-
-    whole = components(materialize(links.union(more)), "a", "b")
-    of_class = classes.join(whole.withColumnRenamed("node", "class"), "class", "left").select("n", "s1", "s2", F.coalesce("component", "class").alias("component_id"))
-    narrow = found.select("node", "n", "s1", "s2")
-    placed = narrow.filter("n > 0 and node is not null").join(of_class, ["n", "s1", "s2"]).select("node", "n", "component_id")
-    alone = narrow.filter("n = 0 or node is null").select("node", "n", F.col("node").alias("component_id"))
-    return placed.union(alone).select(F.col("node").alias(key), F.col("n").alias("n_shingles"), "component_id")
+def first_of_groups(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each group of near copies, that of the smallest key; all columns.
+
+    Rows of one key and text are one; different texts of one key stay unless they link. Documents without
+    words stay, and so do those with a null key.
+    """
+    found = grouped(docs, size, percent, key, text)
+    first = found.filter("group is not null").groupBy("group").agg(F.min(F.struct("id", "name")).alias("_first")).select("_first.*")
+    first = first.union(found.filter("group is null and id is not null").select("id", "name").distinct())
+    first = first.select(F.col("id").alias("_first_id"), F.col("name").alias("_first_name"))
+    named = docs.withColumns({"_own_id": F.col(key), "_own_name": text_name(text)})
+    kept = named.join(first, (F.col("_own_id") == F.col("_first_id")) & (F.col("_own_name") == F.col("_first_name")), "left_semi")
+    kept = kept.dropDuplicates(["_own_id", "_own_name"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.union(docs.filter(F.col(key).isNull()))
