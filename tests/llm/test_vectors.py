@@ -134,3 +134,43 @@ def test_groups_of_copies_and_small_tiles(spark, monkeypatch, dimensions, cosine
     frame = spark.createDataFrame([(*r, 0) for r in rows], SCHEMA)
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_join.near_vectors(frame, cosine).collect()}
     assert got == exact_links(rows, cosine)
+
+
+def tied_rows(name):
+    draw = np.random.default_rng(11)
+    if name == "codes":
+        vectors = draw.choice([-1.0, 1.0], (1500, 16))
+    elif name == "one-hot":
+        vectors = np.eye(60)[draw.integers(0, 60, 1200)] * draw.integers(1, 3, (1200, 1))
+    else:
+        vectors = np.concatenate([[[1.0] + [0.0] * 110], 0.5 * np.eye(111)[1:]])
+    return [(i, v.tolist()) for i, v in enumerate(vectors)]
+
+
+@pytest.mark.parametrize("name", ["codes", "one-hot", "a hundred at the border"])
+@pytest.mark.parametrize("shards", [1, 4])
+def test_ties_go_to_smaller_ids(spark, name, shards):
+    rows = tied_rows(name)
+    frame = spark.createDataFrame([(*r, 0) for r in rows], SCHEMA)
+    got = by_query(ann.nearest(frame, frame.filter("vec_id % 50 = 0"), 20, 1.0, shard_rows=-(-len(rows) // shards)))
+    assert got == exact_nearest(rows, {i for i, _ in rows if i % 50 == 0}, 20)
+
+
+def test_links_at_the_bound(spark):
+    """A unit axis and whole-numbered vectors of norm 20 with 19 on it have a cosine of 0.95; 18 is below."""
+    rows, draw = [], np.random.default_rng(3)
+    for pair in range(150):
+        at = draw.permutation(64)[:5]
+        u, v, w = np.zeros(64), np.zeros(64), np.zeros(64)
+        u[at[0]] = 2.0 ** draw.integers(-3, 4)
+        v[at] = np.array([19, 6, 1, 1, 1]) * draw.choice([-1, 1], 5)
+        v[at[0]] = 19
+        w[at] = [18.99, 6, 1, 1, 1]
+        rows += [(3 * pair, u.tolist()), (3 * pair + 1, v.tolist()), (3 * pair + 2, w.tolist())]
+    good = np.array([v for _, v in rows])
+    norms = (good * good).sum(1)
+    linked = (good @ good.T) / np.sqrt(np.outer(norms, norms)) >= 0.95
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in vector_join.near_vectors(frame, 0.95).collect()}
+    assert got == {i: int(linked[i].sum()) - 1 for i in range(len(rows))}
+    assert all(linked[3 * p, 3 * p + 1] for p in range(150))

@@ -7,7 +7,8 @@ all norms one; queries are scaled to norm one, which keeps their ranking. So the
 the smallest distance, whatever the norms. A tree splits by the median distance from a vantage point. A
 branch whose distances from the vantage point put it beyond ``factor`` times the k-th best distance so far,
 in this band or one of larger norms, is not entered: at factor one the triangle inequality makes the search
-exact, below one it may miss neighbours.
+exact, below one it may miss neighbours. Where more vectors than a search keeps lie at the border of the k
+best, all up to that distance are read from the trees, since any of them may have the smallest id.
 """
 
 from __future__ import annotations
@@ -25,7 +26,11 @@ SHARD_ROWS = 8192
 BLOCK_ROWS = 4096
 LEAF_ROWS = 128
 FACTOR = 1.0
+#: How many more than k vectors a search keeps; where ties reach beyond them, all are read.
 SPARE = 8
+#: Of the product of norms: scores that differ by less may be equal.
+TIE = 1e-12
+PAIRS_AT_ONCE = 1 << 20
 #: A band's norms are above this share of its largest.
 BAND = 0.8
 #: Room for rounding: a distance of unit vectors near zero is known to about the root of a double's last place.
@@ -108,6 +113,27 @@ class Tree:
                 self._visit(child, part, home)
 
 
+    def within(self, queries: np.ndarray, squares: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs (query, row) whose squared distance is at most the query's, branches pruned as in ``search``."""
+        self.queries, self.norms = queries, np.einsum("ij,ij->i", self.points, self.points)
+        self.query_norms = np.einsum("ij,ij->i", queries, queries)
+        reach, pairs = factor * np.sqrt(squares) + ROOM, []
+        open_nodes = [(self.root, np.arange(len(queries)))]
+        while open_nodes:
+            node, who = open_nodes.pop()
+            if len(node) == 1:
+                i, j = np.nonzero(self._squares(who, node[0]) <= squares[who, None])
+                pairs.append((who[i], node[0][j]))
+                continue
+            away = np.sqrt(self._squares(who, np.array([node[0]]))[:, 0])
+            for low, high, child in node[1]:
+                part = who[np.maximum(away - high, low - away) <= reach[who]]
+                if len(part):
+                    open_nodes.append((child, part))
+        who, rows = zip(*pairs) if pairs else ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)])
+        return np.concatenate(who), np.concatenate(rows)
+
+
 def bands(norms: np.ndarray) -> list[np.ndarray]:
     """The rows of each band, by falling norm."""
     order = np.argsort(-norms, kind="stable")
@@ -118,26 +144,65 @@ def bands(norms: np.ndarray) -> list[np.ndarray]:
     return np.split(order, cuts[:-1])
 
 
-def search_bands(vectors: np.ndarray, queries: np.ndarray, k: int, factor: float) -> np.ndarray:
-    """The rows of the k largest inner products found for each query, in no order; -1 where there is none."""
-    norms, lengths = np.linalg.norm(vectors, axis=1), np.linalg.norm(queries, axis=1)
-    flat = np.concatenate([queries / lengths[:, None], np.zeros((len(queries), 1))], 1)
-    best, found = np.full((len(queries), k), -np.inf), np.full((len(queries), k), -1)
-    for rows in bands(norms):
-        most = norms[rows[0]]
-        extra = np.sqrt(np.maximum(1 - (norms[rows] / most) ** 2, 0))
-        # The least of the k best cosines with a vector of the band's largest norm, as a squared distance.
-        limit = 2 - 2 * best.min(axis=1) / most
-        who = np.flatnonzero(limit >= -ROOM)
-        if not len(who):
-            break
-        tree = Tree(np.concatenate([vectors[rows] / most, extra[:, None]], 1))
-        own, near = tree.search(flat[who], min(k, len(rows)), factor, np.maximum(limit[who], 0))
-        scores = np.concatenate([best[who], np.where(own >= 0, (1 - near / 2) * most, -np.inf)], 1)
-        names = np.concatenate([found[who], np.where(own >= 0, rows[own], -1)], 1)
-        top = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-        best[who], found[who] = np.take_along_axis(scores, top, 1), np.take_along_axis(names, top, 1)
-    return found
+class Bands:
+    """Trees over vectors of similar norm, built when a search first reaches them."""
+
+    def __init__(self, vectors: np.ndarray):
+        self.vectors = vectors
+        self.norms = np.linalg.norm(vectors, axis=1)
+        self.rows = bands(self.norms)
+        self.trees: dict[int, Tree] = {}
+
+    def _tree(self, band: int) -> tuple[Tree, np.ndarray, float]:
+        rows = self.rows[band]
+        most = self.norms[rows[0]]
+        if band not in self.trees:
+            extra = np.sqrt(np.maximum(1 - (self.norms[rows] / most) ** 2, 0))
+            self.trees[band] = Tree(np.concatenate([self.vectors[rows] / most, extra[:, None]], 1))
+        return self.trees[band], rows, most
+
+    def search(self, queries: np.ndarray, k: int, factor: float) -> np.ndarray:
+        """The rows of the k largest inner products found for each query, in no order; -1 where there is none."""
+        flat = directions(queries)
+        best, found = np.full((len(queries), k), -np.inf), np.full((len(queries), k), -1)
+        for band in range(len(self.rows)):
+            most = self.norms[self.rows[band][0]]
+            # The least of the k best cosines with a vector of the band's largest norm, as a squared distance.
+            limit = 2 - 2 * best.min(axis=1) / most
+            who = np.flatnonzero(limit >= -ROOM)
+            if not len(who):
+                break
+            tree, rows, _ = self._tree(band)
+            own, near = tree.search(flat[who], min(k, len(rows)), factor, np.maximum(limit[who], 0))
+            scores = np.concatenate([best[who], np.where(own >= 0, (1 - near / 2) * most, -np.inf)], 1)
+            names = np.concatenate([found[who], np.where(own >= 0, rows[own], -1)], 1)
+            top = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+            best[who], found[who] = np.take_along_axis(scores, top, 1), np.take_along_axis(names, top, 1)
+        return found
+
+    def at_least(self, queries: np.ndarray, cosines: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs (query, row) found whose inner product is at least the query's share of its norm."""
+        flat, pairs = directions(queries), []
+        for band in range(len(self.rows)):
+            tree, rows, most = self._tree(band)
+            squares = 2 - 2 * cosines / most
+            who = np.flatnonzero(squares >= 0)
+            i, j = tree.within(flat[who], squares[who], factor)
+            pairs.append((who[i], rows[j]))
+        who, rows = zip(*pairs)
+        return np.concatenate(who), np.concatenate(rows)
+
+
+def directions(queries: np.ndarray) -> np.ndarray:
+    """Queries of norm one, with the component that their vectors have in addition."""
+    lengths = np.linalg.norm(queries, axis=1)
+    return np.concatenate([queries / lengths[:, None], np.zeros((len(queries), 1))], 1)
+
+
+def scored(queries: np.ndarray, vectors: np.ndarray, who: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Inner products of pairs, a bounded number of pairs at once."""
+    parts = [slice(at, at + PAIRS_AT_ONCE // 16) for at in range(0, len(who), PAIRS_AT_ONCE // 16)]
+    return np.concatenate([np.zeros(0), *(dots(queries[who[p]], vectors[rows[p]]) for p in parts)])
 
 
 def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,22 +213,40 @@ def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     group = group.ravel()
     members = np.argsort(group, kind="stable")
     starts = np.searchsorted(group[members], np.arange(len(distinct) + 1))
-    wanted = min(k + SPARE, len(distinct))
-    found = search_bands(distinct, queries, wanted, factor)
+    held = Bands(distinct)
+
+    def best(who: np.ndarray, rows: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        # Of equal vectors no more than the k + 1 smallest ids can be among the k nearest of another row.
+        each = np.minimum(starts[rows + 1] - starts[rows], k + 1)
+        places = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(starts[rows], each)
+        who, scores, near = np.repeat(who, each), np.repeat(scores, each), ids[members[places]]
+        others = near != query_ids[who]
+        who, scores, near = who[others], scores[others], near[others]
+        order = np.lexsort((near, -scores, who))
+        who, scores, near = who[order], scores[order], near[order]
+        first = np.arange(len(who)) - np.searchsorted(who, who) < k
+        return query_ids[who[first]], near[first], scores[first]
+
+    wanted = min(k + 1 + SPARE, len(distinct))
+    found = held.search(queries, wanted, factor)
     who, rows = np.repeat(np.arange(len(queries)), wanted), found.ravel()
     who, rows = who[rows >= 0], rows[rows >= 0]
-    scores = dots(queries[who], distinct[rows])
-    # Of equal vectors no more than the k + 1 smallest ids can be among the k nearest of another row.
-    each = np.minimum(starts[rows + 1] - starts[rows], k + 1)
-    places = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(starts[rows], each)
-    who, scores, near = np.repeat(who, each), np.repeat(scores, each), ids[members[places]]
-    others = near != query_ids[who]
-    who, scores, near = who[others], scores[others], near[others]
-    order = np.lexsort((near, -scores, who))
-    who, scores, near = who[order], scores[order], near[order]
-    rank = np.arange(len(who)) - np.searchsorted(who, who)
-    best = rank < k
-    return query_ids[who[best]], near[best], scores[best]
+    scores = scored(queries, distinct, who, rows)
+    kept = np.full(found.shape, -np.inf)
+    kept[found >= 0] = scores
+    kept = -np.sort(-kept, axis=1)
+    lengths = np.linalg.norm(queries, axis=1)
+    border, room = kept[:, min(k, wanted - 1)], TIE * lengths * held.norms.max()
+    # One of the k + 1 best may be the query itself, so k others are at least as good as the border.
+    unsure = (kept[:, -1] >= border - room) if wanted < len(distinct) else np.zeros(len(queries), bool)
+    sure = ~unsure[who]
+    results = [best(who[sure], rows[sure], scores[sure])]
+    left = np.flatnonzero(unsure)
+    step = max(1, PAIRS_AT_ONCE // len(distinct))
+    for part in (left[at : at + step] for at in range(0, len(left), step)):
+        i, j = held.at_least(queries[part], (border[part] - room[part]) / lengths[part], factor)
+        results.append(best(part[i], j, scored(queries, distinct, part[i], j)))
+    return tuple(np.concatenate(column) for column in zip(*results))
 
 
 def nearest(

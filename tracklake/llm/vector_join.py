@@ -4,8 +4,8 @@ Unit vectors are rotated and cut into blocks of a few dimensions. The squared di
 the sum over their blocks, so vectors within a squared distance lie, in one block at least, within the
 block's proportional share of it. Each block is range-joined under its share: a grid over the block's
 first dimensions gives every vector a home cell and copies in the cells its range touches; cells are
-dealt in tiles of bounded size. What a block finds is verified exactly, over all dimensions, and counted
-in the first block that finds it. Equal vectors are one class throughout, and a tile hands on counts and
+dealt in tiles of bounded size. What a block finds is verified exactly, on the vectors as they are given,
+and counted in the first block that finds it. Rows carry the given vectors, which tasks rotate anew. Equal vectors are one class throughout, and a tile hands on counts and
 a spanning forest of its links, never the pairs.
 """
 
@@ -37,6 +37,25 @@ def rotation(dimensions: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors times powers of two that bring their components near one, which leaves every cosine as it is."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1))[1][:, None])
+
+
+def rotated(vectors: np.ndarray) -> np.ndarray:
+    """Rotated unit vectors, the same to the last bit whatever rows stand beside them."""
+    units = vectors / np.sqrt(dots(vectors, vectors))[:, None]
+    turned = np.zeros_like(units)
+    for part, row in zip(units.T, rotation(units.shape[1])):
+        turned += part[:, None] * row
+    return turned
+
+
+def unpacked(column: pa.Array, kind: str, dimensions: int) -> np.ndarray:
+    """Vectors of doubles, scaled, from the bytes of the given ones."""
+    return scaled(np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, dimensions).astype(np.float64))
+
+
 def block_edges(dimensions: int) -> list[tuple[int, int]]:
     return [(a, min(a + BLOCK_DIMENSIONS, dimensions)) for a in range(0, dimensions, BLOCK_DIMENSIONS)]
 
@@ -81,7 +100,9 @@ def join_tile(block: int, square: float, cosine: float, home: tuple, other: tupl
 
     ``home`` and ``other`` are (classes, sizes, vectors). A pair counts where the smaller class is at home.
     """
-    (ids, sizes, own), (other_ids, other_sizes, others) = home, other
+    (ids, sizes, given), (other_ids, other_sizes, others_given) = home, other
+    own, others = rotated(given), rotated(others_given)
+    squares, other_squares = dots(given, given), dots(others_given, others_given)
     dimensions = own.shape[1]
     start, end = block_edges(dimensions)[block]
     share = shares(dimensions, square)
@@ -102,7 +123,7 @@ def join_tile(block: int, square: float, cosine: float, home: tuple, other: tupl
             within = block_squares(own[x], others[y]) <= share + ROOM
             first = within[:, block] & ~within[:, :block].any(1)
             x, y = x[first], y[first]
-            link = dots(own[x], others[y]) >= cosine
+            link = dots(given[x], others_given[y]) / np.sqrt(squares[x] * other_squares[y]) >= cosine
             x, y = x[link], y[link]
             np.add.at(counts, place[x], other_sizes[y])
             np.add.at(counts, place[len(ids) + y], sizes[x])
@@ -111,13 +132,13 @@ def join_tile(block: int, square: float, cosine: float, home: tuple, other: tupl
     return found, [(int(names[x]), int(names[y])) for x, y in forest.links]
 
 
-def cells(rotated: DataFrame, square: float, dimensions: int) -> DataFrame:
-    """A row per block and cell that a class's range touches: block, cell, home, class, size, unit."""
+def cells(packed: DataFrame, square: float, kind: str, dimensions: int) -> DataFrame:
+    """A row per block and cell that a class's range touches: block, cell, home, class, size, given."""
     edges, share = block_edges(dimensions), shares(dimensions, square)
 
     def deal(batches):
         for batch in batches:
-            units = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float64).reshape(-1, dimensions)
+            units = rotated(unpacked(batch.column(2), kind, dimensions))
             rows, blocks, names, homes = [], [], [], []
             for block, (start, end) in enumerate(edges):
                 reach = math.sqrt(share[block]) + SIEVE_ROOM
@@ -137,10 +158,10 @@ def cells(rotated: DataFrame, square: float, dimensions: int) -> DataFrame:
             row = pa.array(np.concatenate(rows))
             yield pa.record_batch(
                 [pa.array(np.concatenate(blocks)), pa.array(np.concatenate(names)), pa.array(np.concatenate(homes)), *(batch.column(k).take(row) for k in range(3))],
-                names=["block", "cell", "home", "class", "size", "unit"],
+                names=["block", "cell", "home", "class", "size", "given"],
             )
 
-    return rotated.mapInArrow(deal, "block int, cell long, home boolean, class long, size long, unit binary")
+    return packed.mapInArrow(deal, "block int, cell long, home boolean, class long, size long, given binary")
 
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -184,17 +205,15 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id",
 
 def _links(classes: DataFrame, dimensions: int, square: float, cosine: float) -> DataFrame:
     """Rows (class, null, n) with numbers of links and (class, other, null) that join classes."""
-    turn = rotation(dimensions)
+    kind = "f4" if classes.schema["_vector"].dataType.elementType.simpleString() == "float" else "f8"
 
-    def rotate(batches):
+    def pack(batches):
         for batch in batches:
-            x = vectors_of(batch.column(2))
-            x = x / np.abs(x).max(1, keepdims=True)
-            units = (x / np.sqrt(dots(x, x))[:, None]) @ turn
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([u.tobytes() for u in units], pa.binary())], names=["class", "size", "unit"])
+            given = vectors_of(batch.column(2)).astype(kind)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([g.tobytes() for g in given], pa.binary())], names=["class", "size", "given"])
 
-    rotated = materialize(classes.select("class", "size", "_vector").mapInArrow(rotate, "class long, size long, unit binary"))
-    spread = cells(rotated, square, dimensions)
+    packed = materialize(classes.select("class", "size", "_vector").mapInArrow(pack, "class long, size long, given binary"))
+    spread = cells(packed, square, kind, dimensions)
     # The grid has a fixed number of cells, since no component exceeds one.
     sizes = spread.groupBy("block", "cell").agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("n_home")).filter("n > 1 and n_home > 0")
     tiles = sizes.select(
@@ -203,7 +222,7 @@ def _links(classes: DataFrame, dimensions: int, square: float, cosine: float) ->
     placed = spread.join(F.broadcast(tiles), ["block", "cell"])
     chunk = lambda n: F.pmod(F.xxhash64("class", F.lit(3)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    row = ["block", "cell", "class", "size", "unit"]
+    row = ["block", "cell", "class", "size", "given"]
     left = placed.filter("home").select(*row, chunk("homes").alias("i"), every("others").alias("j"))
     # New names of the same columns tell the two sides apart.
     right = placed.select(*[F.col(c).alias(c) for c in row], every("homes").alias("i"), chunk("others").alias("j"))
@@ -212,7 +231,7 @@ def _links(classes: DataFrame, dimensions: int, square: float, cosine: float) ->
         counts, links = {}, []
         if home.num_rows and other.num_rows:
             sides = [
-                (t.column("class").to_numpy(), t.column("size").to_numpy(), np.frombuffer(b"".join(t.column("unit").to_pylist()), np.float64).reshape(-1, dimensions))
+                (t.column("class").to_numpy(), t.column("size").to_numpy(), unpacked(t.column("given"), kind, dimensions))
                 for t in (home, other)
             ]
             counts, links = join_tile(home.column("block")[0].as_py(), square, cosine, *sides)
