@@ -8,9 +8,12 @@ window it touches. Only the last window is not full.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -27,38 +30,64 @@ REMEMBERED_LENGTH = 40
 SLICE_BYTES = 1 << 20
 
 
+#: Words whose composition and lower case are the same in every library: printable ASCII and Latin letters.
+PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+SPECIAL = "<|"
+
+
 class WordIds(dict):
     """The ids of a word between white space, as little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space and no token spans it, so a text's ids are its words' ids in a row.
+    It also cuts a word into runs of letters, digits and runs of signs, which its model turns into ids
+    one by one; plain words go to the model in these pieces, all others to the whole tokenizer.
     """
 
     def __init__(self, path: str):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-
-    def learn(self, words: list[bytes]) -> None:
-        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        self.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(words, encoded))
+        self.model = self.tokenizer.model
+        steps = json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"]
+        # Python's own expressions know letters and digits of plain words by these ranges.
+        pattern = steps[0]["pattern"]["Regex"].replace("[\\p{N}]", "[0-9]")
+        pattern = pattern.replace("\\p{L}", "a-z\u00df-\u00f6\u00f8-\u00ff").replace("\\p{N}", "0-9")
+        self.pieces = re.compile(pattern).findall
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.signs = {c: [t.id for t in self.model.tokenize(c)] for c in map(chr, range(0x21, 0x7F))}
+        self.letters = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        if PLAIN.fullmatch(text) and SPECIAL not in text:
+            lower, ids = text.lower(), []
+            if len(lower) < len(word):
+                pieces = [p.translate(self.letters) for p in self.pieces(lower)]
+            else:
+                pieces = self.pieces(lower)
+            for piece in pieces:
+                if len(piece) > 1:
+                    ids += [token.id for token in self.model.tokenize(piece)]
+                else:
+                    ids += self.signs[piece]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        found = pack_ids(f"<{len(ids)}I", *ids)
+        if len(word) <= REMEMBERED_LENGTH:
+            self[word] = found
+        return found
 
     def texts(self, data: np.ndarray, ends: np.ndarray) -> list[bytes]:
         """The ids of each text of a column."""
         whole = data.tobytes()
-        words = [whole[a:b].split() for a, b in zip(ends.tolist(), ends[1:].tolist())]
         if len(self) > REMEMBERED:
             self.clear()
-        missing = set().union(*words).difference(self)
-        self.learn([*missing])
-        ids = [b"".join(map(self.__getitem__, w)) for w in words]
-        for word in missing:
-            if len(word) > REMEMBERED_LENGTH:
-                del self[word]
-        return ids
+        return [b"".join(map(self.__getitem__, whole[a:b].split())) for a, b in zip(ends.tolist(), ends[1:].tolist())]
 
 
 @lru_cache(maxsize=2)
