@@ -42,6 +42,8 @@ BITMAP_BITS = 24
 #: Tries go on while pairs across clusters are more than so many times the rows of leading grams, and while
 #: a round links at least this share of the nodes it tries. Both move work, never results.
 CROSS_MOST, PROGRESS = 2, 0.05
+#: A turn that leaves more than this share of the rows across clusters is the last; that too only moves work.
+CROSS_FALL = 0.9
 
 
 def text_name(text: str) -> Column:
@@ -327,9 +329,11 @@ def grouped(docs: DataFrame, size: int, percent: int, key: str, text: str) -> Da
     whole, turn, more = rows.count(), 1, True
     while more and cross > CROSS_MOST * whole:
         tried, new = tries.run(_again(placed, main, tries.links, turn))
-        more, turn = new > PROGRESS * tried, turn + 1
+        more, turn, before = new > PROGRESS * tried, turn + 1, cross
         if new:
             placed, main, cross = _placed(rows, tries)
+        # Where a gram leads in many texts that don't link, further turns join no clusters of it.
+        more = more and cross < CROSS_FALL * before
 
     # Linked sets share a gram first of all whose places leave room for the overlap they need. Of each pair
     # of clusters of a gram one at least is not the largest.
