@@ -106,6 +106,18 @@ def test_fingerprint_ignores_order_only(spark):
     assert messages.fingerprint(df.unionByName(df), "t").first().n == 6
 
 
+def test_fingerprint_counts_repeated_rows_and_nulls(spark):
+    def of(*values):
+        return tuple(messages.fingerprint(spark.createDataFrame([(v,) for v in values], "t string"), "t").first())
+
+    assert of("a", "a") != of("b", "b")
+    assert of("a", "a", "b") != of("a", "b", "b")
+    assert of("a", None) != of("a")
+    assert of("b", None, "a") == of("a", "b", None)
+    assert of() == (0, 0)
+    assert of(None) == (0, 1)
+
+
 def test_rewrite_by_kind(spark):
     df = spark.createDataFrame([("course", "a"), ("record", "b")], "kind string, name string")
     got = messages.rewrite_by_kind(df, "course", "name", F.lit("x"))

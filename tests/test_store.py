@@ -9,7 +9,7 @@ from tracklake import schemas
 from tracklake.functions.scalar import md5_upper
 from tracklake.operators import store
 from tracklake.plans import workflows
-from tracklake.sources import snapshots, tracks
+from tracklake.sources import named_files, snapshots, tracks
 
 
 def digest(data):
@@ -45,11 +45,28 @@ def test_no_file_is_left_out_of_a_scan(spark, tmp_path):
     found = tracks.scan_track_files(spark, [str(tmp_path)], with_data=True)
     assert pairs(found, "hash", "length") == sorted([(digest(b"a"), 1), (digest(b""), 0), (digest(b""), 0)])
     assert all(r.modificationTime.year > 2000 for r in found.collect())
-    for name in ("_b.fit", ".c.fit"):
-        (tmp_path / name).write_bytes(b"x")
-        with pytest.raises(ValueError, match=name):
-            tracks.scan_track_files(spark, [str(tmp_path)])
-        (tmp_path / name).unlink()
+    for name in ("_b.fit", ".c.fit", "d %41:é.fit"):
+        (tmp_path / name).write_bytes(name.encode())
+    found = tracks.scan_track_files(spark, [f"file://{tmp_path}"], tasks=3)
+    names = {r.path.rsplit("/", 1)[1]: r.hash for r in found.collect()}
+    assert names == {p.name: digest(p.read_bytes()) for p in tmp_path.iterdir() if p.name != "_SUCCESS"}
+    assert found.rdd.getNumPartitions() == 3
+
+
+def test_files_are_read_in_bounded_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(named_files, "READ_BYTES", 5)
+    monkeypatch.setattr(named_files, "LIST_ROWS", 2)
+    contents = {f"{k}.fit": b"x" * k for k in range(7)}
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    import pyarrow as pa
+
+    listed = list(named_files._list(iter([pa.record_batch([[str(tmp_path), str(tmp_path / "none")]], names=["d"])])))
+    assert [b.num_rows for b in listed] == [2, 2, 2, 1]
+    rows = pa.Table.from_batches(listed).sort_by("length").combine_chunks().to_batches()
+    read = list(named_files._read(iter(rows)))
+    assert [b.num_rows for b in read] == [4, 2, 1]
+    assert [len(c) for b in read for c in b.column(3).to_pylist()] == list(range(7))
 
 
 def test_append_counts_on(spark):

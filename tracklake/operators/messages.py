@@ -59,6 +59,15 @@ def reassemble_chunks(chunks: DataFrame, bits: int = CHUNK_BITS) -> DataFrame:
 
 
 def fingerprint(df: DataFrame, column: str) -> DataFrame:
-    """Hash of a whole column in any row order: (fingerprint, n). Equal content, equal result."""
-    head = F.conv(F.substring(F.md5(F.col(column)), 1, 15), 16, 10).cast("long")
-    return df.agg(F.bit_xor(head).alias("fingerprint"), F.count(column).alias("n"))
+    """Hash of a whole column in any row order: (fingerprint, n). Equal content, equal result.
+
+    Each value's hash has 60 bits; their sum is taken modulo 2^60, so repeated values count as often as
+    they occur. Nulls are rows and add to n alone. No rows: 0 and 0.
+    """
+    digits = F.md5(F.col(column))
+    # Two halves of 30 bits: their sums over up to 2^33 rows fit a long.
+    half = lambda start, bits: F.shiftrightunsigned(F.conv(F.substring(digits, start, 8), 16, 10).cast("long"), bits)
+    high, low = (F.coalesce(F.sum(half(start, 2)), F.lit(0)) for start in (1, 9))
+    carried = high + F.shiftright(low, 30)
+    whole = F.shiftleft(carried.bitwiseAND((1 << 30) - 1), 30).bitwiseOR(low.bitwiseAND((1 << 30) - 1))
+    return df.agg(whole.alias("fingerprint"), F.count(F.lit(1)).alias("n"))

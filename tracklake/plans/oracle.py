@@ -149,7 +149,10 @@ _INGESTED = "select upper(md5(text)) as hash, min(doc_id) as doc_id from documen
 
 ORACLE: dict[str, str] = {
     # scans, sources, sinks
-    "scan_track_files": "select doc_id, upper(md5(text)) as hash from documents",
+    "scan_track_files": """select ['', '_', '.'][doc_id % 3 + 1] || 'track ' || doc_id as name,
+        strlen(coalesce(text, '')) as length, upper(md5(coalesce(text, ''))) as hash from documents
+      union all
+      select distinct '_empty-' || coalesce(lang, ''), 0, upper(md5('')) from documents""",
     "decode_tracks": """select track_id, row_number() over (partition by track_id order by i) - 1 as seq,
         lines[i] as line
       from (select doc_id as track_id, string_split(text, chr(10)) as lines,
@@ -289,8 +292,9 @@ ORACLE: dict[str, str] = {
       from positions group by track_id""",
     "reassemble_chunks": """select conv_id as message_id, string_agg(text, '' order by turn) as text
       from conversations group by conv_id""",
-    "fingerprint": """select bit_xor(('0x' || substr(md5(text), 1, 15))::bigint) as fingerprint,
-      count(*) as n from documents""",
+    "fingerprint": """select ((coalesce(sum(('0x' || substr(md5(text), 1, 8))::hugeint // 4), 0) * 1073741824
+        + coalesce(sum(('0x' || substr(md5(text), 9, 8))::hugeint // 4), 0)) % 1152921504606846976)::bigint
+        as fingerprint, count(*) as n from documents""",
     # windows
     "halo_keep": f"with {_halo(_IN_RECT)} select track_id, seq, keep from halo",
     "segment_runs": f"with {_clip(_IN_RECT)} select track_id, run, seq from runs",

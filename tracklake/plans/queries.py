@@ -7,13 +7,14 @@ from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tracklake import schemas
 from tracklake.functions import geometry, scalar, tags
 from tracklake.operators import changes, messages, polygon_index, polygons, positions, runs, store, ways
 from tracklake.plans import fixtures, workflows
 from tracklake.session import materialize, work_path
-from tracklake.sources import osm, snapshots, tracks
+from tracklake.sources import named_files, osm, snapshots, tracks
 from tracklake.streaming import changes as streaming_changes
 from tracklake.streaming import ingest as streaming_ingest
 
@@ -26,6 +27,8 @@ QUERIES: dict[str, Query] = {}
 SNAPSHOT_CUT = 5000
 LOOKUP_ID = 7
 FILE_STREAM = {"maxFilesPerTrigger": 1000}
+#: Shares of a table after which the next part of it arrives in a stream.
+ARRIVALS = [0.25, 0.5, 0.75]
 
 
 def query(function: Query) -> Query:
@@ -37,10 +40,22 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.table(spark, sf_dir, "events")
 
 
-def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    schema = fixtures.table(spark, sf_dir, name).schema
-    path = tracks.as_pattern(f"{sf_dir}/{name}.parquet")
-    return spark.readStream.schema(schema).options(**FILE_STREAM).parquet(path)
+def _arrive(
+    spark: SparkSession, sf_dir: str, name: str, order: str, start: Callable[[DataFrame], StreamingQuery]
+) -> DataFrame:
+    """Lets a table arrive as files in parts, in order; after each the stream goes on from its checkpoint.
+
+    Returns the stream as it stands at the end.
+    """
+    rows, path = fixtures.table(spark, sf_dir, name), work_path(spark, "arrivals")
+    cuts = [None, *rows.approxQuantile(order, ARRIVALS, 0.01), None]
+    for low, high in zip(cuts, cuts[1:]):
+        part = rows if low is None else rows.where(F.col(order) > low)
+        part = part if high is None else part.where(F.col(order) <= high)
+        part.write.mode("append").parquet(path)
+        stream = spark.readStream.schema(rows.schema).options(**FILE_STREAM).parquet(path)
+        start(stream).awaitTermination()
+    return stream
 
 
 def _naive(df: DataFrame, *columns: str) -> DataFrame:
@@ -52,7 +67,17 @@ def _naive(df: DataFrame, *columns: str) -> DataFrame:
 
 @query
 def scan_track_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tracks.hash_content(fixtures.table(spark, sf_dir, "documents"), "text", ["doc_id"])
+    """The documents as files of three kinds of names, and an empty file for each language."""
+    directories = [work_path(spark, "files") for _ in range(2)]
+    documents = fixtures.table(spark, sf_dir, "documents")
+    prefix = F.element_at(F.array(F.lit(""), F.lit("_"), F.lit(".")), (F.pmod("doc_id", F.lit(3)) + 1).cast("int"))
+    name = F.concat(prefix, F.lit("track "), F.col("doc_id").cast("string"))
+    content = F.coalesce("text", F.lit("")).cast("binary")
+    empty = documents.select(F.concat(F.lit("_empty-"), F.coalesce("lang", F.lit(""))).alias("name")).distinct()
+    named_files.write_files(documents.select(name.alias("name"), content.alias("content")), directories[0])
+    named_files.write_files(empty.withColumn("content", F.lit("").cast("binary")), directories[1])
+    found = tracks.scan_track_files(spark, [*directories, work_path(spark, "missing")])
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", "hash")
 
 
 @query
@@ -625,40 +650,49 @@ def artifact_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = _stream(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("data"))
     path = work_path(spark, "ingest")
-    streaming_ingest.stream_ingest(
-        stream, f"{path}/store", f"{path}/checkpoint", "doc_id", interval=None
-    ).awaitTermination()
-    return streaming_ingest.read_ingested(stream, f"{path}/store", "doc_id").select("hash", "doc_id")
+
+    def start(documents: DataFrame) -> StreamingQuery:
+        stream = documents.select("doc_id", F.col("text").alias("data"))
+        return streaming_ingest.stream_ingest(stream, f"{path}/store", f"{path}/checkpoint", "doc_id", interval=None)
+
+    documents = _arrive(spark, sf_dir, "documents", "doc_id", start)
+    return streaming_ingest.read_ingested(documents, f"{path}/store", "doc_id", "text").select("hash", "doc_id")
 
 
 @query
 def stream_track_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = fixtures.changes(_stream(spark, sf_dir, "events"))
     path = work_path(spark, "track-set")
-    streaming_changes.stream_track_set(
-        stream, f"{path}/store", f"{path}/checkpoint", interval=None
-    ).awaitTermination()
+
+    def start(events: DataFrame) -> StreamingQuery:
+        changes = fixtures.changes(events)
+        return streaming_changes.stream_track_set(changes, f"{path}/store", f"{path}/checkpoint", interval=None)
+
+    _arrive(spark, sf_dir, "events", "event_id", start)
     return streaming_changes.read_track_set(spark, f"{path}/store")
 
 
 @query
 def stream_latest_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = ["user_id", "event_id", "event_type", "value"]
-    stream = _stream(spark, sf_dir, "events").select(*columns)
     path = work_path(spark, "latest")
-    streaming_changes.stream_latest_value(
-        stream, "user_id", "event_id", f"{path}/store", f"{path}/checkpoint", interval=None
-    ).awaitTermination()
-    return streaming_changes.read_latest_value(spark, f"{path}/store", stream.schema, "user_id")
+    columns = ["user_id", "event_id", "event_type", "value"]
+
+    def start(events: DataFrame) -> StreamingQuery:
+        return streaming_changes.stream_latest_value(
+            events.select(*columns), "user_id", "event_id", f"{path}/store", f"{path}/checkpoint", interval=None
+        )
+
+    events = _arrive(spark, sf_dir, "events", "event_id", start)
+    return streaming_changes.read_latest_value(spark, f"{path}/store", events.select(*columns).schema, "user_id")
 
 
 @query
 def stream_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = fixtures.artifact_log(_stream(spark, sf_dir, "events"))
     path = work_path(spark, "freshness")
-    streaming_changes.stream_freshness(
-        stream, f"{path}/store", f"{path}/checkpoint", interval=None
-    ).awaitTermination()
+
+    def start(events: DataFrame) -> StreamingQuery:
+        log = fixtures.artifact_log(events)
+        return streaming_changes.stream_freshness(log, f"{path}/store", f"{path}/checkpoint", interval=None)
+
+    _arrive(spark, sf_dir, "events", "event_id", start)
     return streaming_changes.read_freshness(spark, f"{path}/store")

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import datetime
 from collections.abc import Callable, Iterator, Sequence
 from typing import TYPE_CHECKING
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracklake import schemas
 from tracklake.functions.scalar import md5_upper
+from tracklake.sources import named_files
 
 if TYPE_CHECKING:
     import pandas as pd
@@ -29,64 +28,23 @@ FILES = T.StructType(
 )
 
 
-def is_missing(error: AnalysisException) -> bool:
-    return error.getCondition() == "PATH_NOT_FOUND"
-
-
 def as_pattern(path: str) -> str:
     """The path as a glob pattern, so that a stream accepts a file, or a folder that may come later."""
     path = path.rstrip("/")
     return f"{path[:-1]}[{path[-1]}]"
 
 
-def _unseen_files(spark: SparkSession, directory: str) -> tuple[list[tuple], list[str]]:
-    """What the file source leaves out of a directory: empty files, and names it takes for hidden.
-
-    Reads the directory's names, not its files.
-    """
-    path = spark._jvm.org.apache.hadoop.fs.Path(directory)
-    entries = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatusIterator(path)
-    empty, hidden = [], []
-    while entries.hasNext():
-        entry = entries.next()
-        name = entry.getPath().getName()
-        if not entry.isFile() or name == "_SUCCESS":
-            continue
-        if name.startswith(("_", ".")):
-            hidden.append(name)
-        elif entry.getLen() == 0:
-            changed = datetime.datetime.fromtimestamp(entry.getModificationTime() / 1000, datetime.UTC)
-            empty.append((entry.getPath().toString(), changed, 0, bytearray()))
-    return empty, hidden
-
-
 def scan_track_files(
-    spark: SparkSession, directories: Sequence[str], with_data: bool = False
+    spark: SparkSession, directories: Sequence[str], with_data: bool = False, tasks: int | None = None
 ) -> DataFrame:
-    """The files directly in the directories with their content hash, empty ones included.
+    """The files directly in the directories with their content hash, whatever their names, empty ones too.
 
-    Missing directories are skipped. Spark's file source does not read names that begin with ``_`` or
-    ``.``; a directory that has some, other than Spark's own ``_SUCCESS``, is an error, so that no file is
-    left out unnoticed.
+    Missing directories are skipped, as is the empty ``_SUCCESS`` that Spark leaves where it writes. Tasks
+    list and read the files (``named_files``).
     """
-    found = []
-    for directory in directories:
-        try:
-            files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(directory)
-        except AnalysisException as error:
-            if not is_missing(error):
-                raise
-            continue
-        empty, hidden = _unseen_files(spark, directory)
-        if hidden:
-            raise ValueError(f"{directory} has {len(hidden)} files that cannot be read by name, such as {min(hidden)}")
-        found += [files, spark.createDataFrame(empty, FILES)] if empty else [files]
-    if not found:
-        found = [spark.createDataFrame([], FILES)]
-    files = found[0]
-    for other in found[1:]:
-        files = files.unionByName(other)
-    return hash_content(files, "content", FILE_COLUMNS, with_data)
+    listed = named_files.list_files(spark, directories)
+    mark = F.col("path").endswith("/_SUCCESS") & (F.col("length") == 0)
+    return hash_content(named_files.read_files(listed.where(~mark), tasks), "content", FILE_COLUMNS, with_data)
 
 
 def hash_content(
