@@ -143,3 +143,24 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert got == {k: find(k) for a, b in edges if a != b for k in (a, b)}
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_parities_keep_every_linked_pair(spark):
+    """Sets at the bound and around it, small and larger than the number of bits; far ones are told apart."""
+    draw = random.Random(5)
+    rows, links = [], []
+    for n in (1, 2, 12, 100, 400, 3000):
+        for _ in range(40):
+            a = {draw.getrandbits(64) for _ in range(n)}
+            change = draw.randint(0, max(1, n // 8))
+            b = set(list(a)[change:]) | {draw.getrandbits(64) for _ in range(draw.randint(0, max(1, n // 8)))}
+            sets = [np.array(sorted(s), np.uint64) for s in (a, b)]
+            links.append(100 * len(a & b) >= 85 * len(a | b))
+            rows.append((*[ngram_join.parities(s).tolist() for s in sets], len(a), len(b), links[-1]))
+    frame = spark.createDataFrame(rows, "a array<long>, b array<long>, na int, nb int, linked boolean")
+    frame = frame.withColumn("alike", ngram_join.alike("a", "b", "na", "nb", 85))
+    assert frame.filter("linked and not alike").count() == 0
+    assert 0 < sum(links) < len(links)
+    far = [ngram_join.parities(np.array([draw.getrandbits(64) for _ in range(150)], np.uint64)).tolist() for _ in range(40)]
+    pairs = spark.createDataFrame([(x, y, 150, 150) for x, y in zip(far, far[1:])], "a array<long>, b array<long>, na int, nb int")
+    assert pairs.filter(ngram_join.alike("a", "b", "na", "nb", 85)).count() == 0

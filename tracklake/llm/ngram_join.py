@@ -11,8 +11,9 @@ which it shares most leading grams among the grams' first, last and drawn nodes,
 joined to clusters. While grams still lead in so many clusters that their pairs would outgrow the rows,
 nodes outside a gram's largest cluster are tried again, with that cluster's best linked member and with a
 fresh draw from it. Then only pairs across clusters are listed, and of those every one that the places of
-their first common gram still allow. Overlaps within the leading grams are counted first, and only pairs
-that may still reach the bound are multiplied in full.
+their first common gram and the sets' parities still allow: each gram flips one of 256 bits, so sets that
+differ in as many bits differ in at least as many grams. Overlaps within the leading grams are counted
+first, and only pairs that may still reach the bound are multiplied in full.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tracklake.llm.columns import slices, text_bytes
 from tracklake.llm.components import components
-from tracklake.llm.shingles import shingle_sets, signature
+from tracklake.llm.shingles import mix, shingle_sets, signature
 from tracklake.session import materialize
 
 SLICE_BYTES = 1 << 19
@@ -38,6 +39,8 @@ COMMON_FROM, COMMON_MOST = 16, 1_000_000
 LEADING_MOST = 8
 COMPACT_ROWS = 1_000_000
 BLOCKS = 4
+#: 64-bit words of a set's parities. From about 800 grams on, sets may differ in more grams than there are bits.
+PARITY_WORDS = 4
 BITMAP_BITS = 24
 #: Tries go on while pairs across clusters are more than so many times the rows of leading grams, and while
 #: a round links at least this share of the nodes it tries. Both move work, never results.
@@ -124,8 +127,21 @@ def leading_grams(docs: DataFrame, key: str, text: str, size: int, percent: int)
     return prefixes(docs, key, text, size, percent, np.union1d(common, _most_frequent(materialize(often))))
 
 
+def parities(grams: np.ndarray) -> np.ndarray:
+    """How often, modulo 2, a set's grams fall on each of the bits."""
+    at = mix(grams) % np.uint64(64 * PARITY_WORDS)
+    odd = np.bincount(at.astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def alike(a: str, b: str, na: str, nb: str, percent: int) -> Column:
+    """Whether sets with these parities and sizes may link: linked ones differ in few grams, so in few bits."""
+    differ = sum(F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(PARITY_WORDS))
+    return differ * (100 + percent) <= (F.col(na) + F.col(nb)) * (100 - percent)
+
+
 def prefixes(docs: DataFrame, key: str, text: str, size: int, percent: int, common: np.ndarray) -> DataFrame:
-    """Per document: ``key``, name, n (size of its set), s1 and s2 (the set's name), prefix (its leading grams).
+    """Per document: ``key``, name, n (size of its set), s1 and s2 (the set's name), prefix (its leading grams), parity.
 
     Grams come by their values, those in ``common`` after all others.
     """
@@ -147,13 +163,14 @@ def prefixes(docs: DataFrame, key: str, text: str, size: int, percent: int, comm
                     pa.array([len(s) for s in sets], pa.int64()),
                     *(pa.array([n[k] for n in names], pa.int64()) for k in (0, 1)),
                     pa.array(leading, pa.list_(pa.int64())),
+                    pa.array([parities(s) for s in sets], pa.list_(pa.int64())),
                 ],
-                names=[key, "name", "n", "s1", "s2", "prefix"],
+                names=[key, "name", "n", "s1", "s2", "prefix", "parity"],
             )
 
     kind = docs.schema[key].dataType.simpleString()
     named = docs.select(key, text, text_name(text))
-    return named.mapInArrow(scan, f"`{key}` {kind}, name string, n long, s1 long, s2 long, prefix array<long>")
+    return named.mapInArrow(scan, f"`{key}` {kind}, name string, n long, s1 long, s2 long, prefix array<long>, parity array<long>")
 
 
 def _bits(keys: DataFrame) -> np.ndarray:
@@ -313,7 +330,7 @@ def grouped(docs: DataFrame, size: int, percent: int, key: str, text: str) -> Da
     classes = usable.groupBy("n", "s1", "s2").agg(F.min("id").alias("id")).withColumn("node", F.monotonically_increasing_id())
     classes = materialize(classes)
     kept = usable.join(classes, ["id", "n", "s1", "s2"]).dropDuplicates(["node"])
-    kept = materialize(kept.select("node", F.col("n").cast("int").alias("n"), "prefix"))
+    kept = materialize(kept.select("node", F.col("n").cast("int").alias("n"), "prefix", "parity"))
 
     rows = kept.select("node", "n", F.posexplode("prefix").alias("place", "gram"))
     # Three nodes of a gram to try others with: its first, its last, and one that a hash gives.
@@ -337,13 +354,14 @@ def grouped(docs: DataFrame, size: int, percent: int, key: str, text: str) -> Da
 
     # Linked sets share a gram first of all whose places leave room for the overlap they need. Of each pair
     # of clusters of a gram one at least is not the largest.
-    mixed = placed.join(main, "gram")
-    side = lambda frame, x: frame.select("gram", "main", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "place", "cluster")])
+    mixed = placed.join(main, "gram").join(kept.select("node", "parity"), "node")
+    columns = ("node", "n", "place", "cluster", "parity")
+    side = lambda frame, x: frame.select("gram", "main", *[F.col(c).alias(f"{c}_{x}") for c in columns])
     left = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
     room = left * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent
     apart = (F.col("cluster_x") != F.col("cluster_y")) & ((F.col("cluster_y") == F.col("main")) | (F.col("node_x") < F.col("node_y")))
     across = side(mixed.filter("cluster <> main"), "x").join(side(mixed, "y").drop("main"), "gram")
-    across = across.filter(apart & room & may_link("n_x", "n_y", percent))
+    across = across.filter(apart & room & may_link("n_x", "n_y", percent) & alike("parity_x", "parity_y", "n_x", "n_y", percent))
     tries.run(across.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct())
 
     whole = components(materialize(tries.links), "a", "b")
