@@ -104,15 +104,6 @@ def merge(a: tuple, b: tuple) -> tuple[int, int, int]:
     return len(p) + len(other_alone), forth, back
 
 
-def _groups_of(table: pa.Table) -> list[tuple]:
-    rows = []
-    for r in range(table.num_rows):
-        entries = table.column("entries")[r].values
-        ids, counts = (entries.field(k).to_numpy() for k in ("id", "n"))
-        rows.append((table.column("source")[r].as_py(), (ids, counts, table.column("total")[r].as_py(), table.column("terms")[r].as_py())))
-    return rows
-
-
 def pair_sums(entries: DataFrame, groups: DataFrame, tile_sources: int) -> DataFrame:
     """Per language and unordered pair of sources: lang, a, b, held (terms of either), forth, back.
 
