@@ -24,6 +24,7 @@ def on_grid(x: float, y: float) -> tuple[float, float]:
 
 
 RECT = [(38.73, -9.15), (38.78, -9.15), (38.78, -9.10), (38.73, -9.10)]
+SMALL = [(38.74, -9.14), (38.76, -9.14), (38.76, -9.12), (38.74, -9.12)]
 ELL = [
     on_grid(*v)
     for v in [(200, 200), (800, 200), (800, 500), (500, 500), (500, 800), (200, 800)]

@@ -56,6 +56,7 @@ _WAY_TAGS = f"""way_tags as (
   union all select o_orderkey, 2, 'highway', 'cycleway' from orders where o_orderstatus = 'F')"""
 
 _IN_RECT = "lat > 38.73 and lat < 38.78 and lon > -9.15 and lon < -9.10"
+_IN_SMALL = "lat > 38.74 and lat < 38.76 and lon > -9.14 and lon < -9.12"
 _IN_ELL = "x > 200 and x < 800 and y > 200 and y < 800 and (x < 500 or y < 500)"
 _IN_TRI = "y > 100 and 2 * (x - 100) > y - 100 and 2 * (900 - x) > y - 100"
 
@@ -77,13 +78,34 @@ def _clip(area: str) -> str:
                     seq, lat, lon, ts_ms from islands)"""
 
 
-_IDS = f"""{_clip(_IN_RECT)},
+def _ids(area: str) -> str:
+    return f"""{_clip(area)},
   ids as (select *,
     seq - min(seq) over (partition by track_id, run) as pos,
     row_number() over (order by track_id, run desc, seq) - 1 as node_id,
     dense_rank() over (order by track_id desc, run) - 1 as way_id
   from runs)"""
 
+
+def _export(area: str) -> str:
+    return f"""with {_ids(area)}
+      select 'node' as kind, node_id as id, null::bigint as pos, null::bigint as ref, lat, lon,
+        null::varchar as k, null::varchar as v from ids
+      union all select 'nd', way_id, pos, node_id, null, null, null, null from ids
+      union all select distinct 'tag', way_id, 0, null::bigint, null::double, null::double,
+        'highway', 'cycleway' from ids
+      union all select 'bounds', null, 0, null, min(lat), min(lon), null, null from ids
+      union all select 'bounds', null, 1, null, max(lat), max(lon), null, null from ids"""
+
+
+def _ways_in(area: str) -> str:
+    return f"""select way_id, pos, ref, lat, lon from way_nodes join nodes on id = ref
+      where way_id in (select way_id from way_nodes join nodes on id = ref where {area}) and way_id in
+        (select o_orderkey from orders where o_orderpriority = '1-URGENT' or o_orderstatus = 'F')"""
+
+
+_IDS = _ids(_IN_RECT)
+
 # The triangle in degrees: sides are x - 100 = (y - 100) / 2 and 900 - x = (y - 100) / 2.
 _X = f"(lat - 461900000 {_DEG}) * (2147483648.0::double / 180000.0::double)"
 _Y = f"(lon + 109400000 {_DEG}) * (2147483648.0::double / 180000.0::double)"
@@ -185,14 +207,7 @@ ORACLE: dict[str, str] = {
         (select 1 from events e where e.user_id = l.user_id and e.event_type = 'purchase'))""",
     "save_snapshot": f"with {_HASHED} select id, hash from blobs",
     "save_polygons": _EDGES,
-    "export_osm": f"""with {_IDS}
-      select 'node' as kind, node_id as id, null::bigint as pos, null::bigint as ref, lat, lon,
-        null::varchar as k, null::varchar as v from ids
-      union all select 'nd', way_id, pos, node_id, null, null, null, null from ids
-      union all select distinct 'tag', way_id, 0, null::bigint, null::double, null::double,
-        'highway', 'cycleway' from ids
-      union all select 'bounds', null, 0, null, min(lat), min(lon), null, null from ids
-      union all select 'bounds', null, 1, null, max(lat), max(lon), null, null from ids""",
+    "export_osm": _export(_IN_RECT),
     "encode_message": f"""with {_MESSAGES}
       select '{{"order_no":' || order_no || ',"kind":"' || kind || '","key":' || key || '}}' as text
       from messages""",
@@ -333,3 +348,8 @@ ORACLE: dict[str, str] = {
 ORACLE["ways_in_polygon_last"] = ORACLE["ways_in_polygon"]
 ORACLE["resolve_ways_mapped"] = f"""with {_NODES}, {_WAY_NODES}
   select way_id, pos, 'n/' || ref as node, way_id * 2 + 1 as way from way_nodes join nodes on id = ref"""
+ORACLE["area_result"] = f"""with {_NODES}, {_WAY_NODES}
+  select 'north' as area_id, * from ({_ways_in(_IN_TRI)}) union all select 'south', * from ({_ways_in(_IN_ELL)})"""
+ORACLE["gated_export"] = f"""select 1::bigint as asked, 'north' as area_id, * from ({_export(_IN_RECT)})
+  union all select 1, 'south', * from ({_export(_IN_SMALL)})
+  union all select 3, 'north', * from ({_export(_IN_SMALL)})"""

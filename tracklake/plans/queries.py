@@ -14,7 +14,7 @@ from tracklake.functions import geometry, scalar, tags
 from tracklake.operators import changes, messages, polygon_index, polygons, positions, runs, store, ways
 from tracklake.plans import fixtures, workflows
 from tracklake.session import materialize, work_path
-from tracklake.sources import named_files, osm, snapshots, tracks
+from tracklake.sources import areas, named_files, osm, snapshots, tracks
 from tracklake.streaming import changes as streaming_changes
 from tracklake.streaming import ingest as streaming_ingest
 
@@ -436,6 +436,43 @@ def ways_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _save_area(spark: SparkSession, sf_dir: str, path: str, area_id: str, ring: geometry.Ring) -> None:
+    tables = [make(spark, sf_dir) for make in (fixtures.way_nodes, fixtures.nodes, fixtures.way_tags)]
+    workflows.area_result(*tables, ring, path, area_id)
+
+
+@query
+def area_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ways of two areas as stored, after one of them was drawn anew."""
+    path = work_path(spark, "areas")
+    for area_id, ring in (("north", fixtures.RECT), ("south", fixtures.ELL), ("north", fixtures.TRI)):
+        _save_area(spark, sf_dir, path, area_id, ring)
+    return areas.area_ways(spark, path)
+
+
+@query
+def gated_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What three rounds of requests for two areas make: all, nothing, and the area drawn anew.
+
+    The later rounds ask with the hashes of the exports before.
+    """
+    path, track = work_path(spark, "areas"), materialize(fixtures.positions(spark, sf_dir))
+    for area_id, ring in (("north", fixtures.RECT), ("south", fixtures.SMALL)):
+        _save_area(spark, sf_dir, path, area_id, ring)
+    known: dict[str, str | None] = {"north": None, "south": None}
+    made = None
+    for asked in (1, 2, 3):
+        if asked == 3:
+            _save_area(spark, sf_dir, path, "north", fixtures.SMALL)
+        rows = [(area_id, asked, found) for area_id, found in known.items()]
+        exports = workflows.answer_requests(spark.createDataFrame(rows, schemas.AREA_REQUESTS), track, path)[1]
+        if exports is not None:
+            exports = exports.withColumn("asked", F.lit(asked).cast("long")).drop("hash")
+            made = exports if made is None else made.unionByName(exports)
+        known = {r.area_id: r.hash for r in areas.load_areas(spark, path).collect()}
+    return made
+
+
 @query
 def ways_in_polygon_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every 7th node is given twice, first somewhere else."""

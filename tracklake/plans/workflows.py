@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracklake.functions.geometry import Ring
+from tracklake.operators.changes import GENERATED, REQUEST, artifact_freshness
 from tracklake.operators.keys import key_set
 from tracklake.operators.messages import fingerprint
 from tracklake.operators.positions import to_positions
@@ -23,6 +24,7 @@ from tracklake.operators.ways import (
     ways_touching,
 )
 from tracklake.session import materialize
+from tracklake.sources import areas
 from tracklake.sources.osm import export_osm
 from tracklake.sources.tracks import decode_tracks
 
@@ -71,6 +73,25 @@ def ways_in_polygon(
     return resolve_ways(chosen, used, way_fn=way_fn)
 
 
+def area_result(
+    way_nodes: DataFrame,
+    nodes: DataFrame,
+    way_tags: DataFrame,
+    ring: Ring,
+    path: str,
+    area_id: str,
+    key: str = "highway",
+    value: str = "cycleway",
+    node_order: str | None = None,
+) -> areas.Area:
+    """Finds the ways of an area and stores them with its polygon, in place of its earlier result.
+
+    What was known of the area's last export no longer holds.
+    """
+    found = ways_in_polygon(way_nodes, nodes, way_tags, ring, key, value, node_order=node_order)
+    return areas.save_area(found, path, area_id, ring)
+
+
 def clip_and_export(
     positions: DataFrame, ring: Ring, highway: str = "cycleway", selective: bool = False
 ) -> DataFrame | None:
@@ -97,3 +118,39 @@ def export_if_changed(
     elements = materialize(elements)
     found = tuple(elements_fingerprint(elements).first())
     return None if found == known else (elements, found)
+
+
+def answer_requests(
+    requests: DataFrame, positions: DataFrame, path: str, highway: str = "cycleway", selective: bool = False
+) -> tuple[DataFrame, DataFrame | None]:
+    """Answers requests (area_id, order_no, hash) for exports of the stored areas.
+
+    A request is up to date if its hash is that of the area's last export. For areas with any other
+    request the tracks are clipped to the stored polygon and exported, once an area, and the new hash is
+    stored unless the area has been replaced meanwhile. Requests for unknown areas are not answered, and
+    an area without positions has no export.
+
+    Returns the answers (area_id, order_no, hash, up_to_date) and the export elements with their area_id
+    and hash, None if there are none.
+    """
+    spark = requests.sparkSession
+    known = materialize(areas.load_areas(spark, path))
+    requests = materialize(requests.select("area_id", "order_no", "hash").join(known.select("area_id"), "area_id", "left_semi"))
+    lowest = requests.agg(F.min("order_no")).first()[0]
+    # What is known of an area comes before all of its requests.
+    cached = known.where("hash is not null").select("area_id", F.lit(lowest).cast("long") - 1, "hash", F.lit(GENERATED))
+    log = requests.withColumn("kind", F.lit(REQUEST)).union(cached).withColumnRenamed("area_id", "artifact_id")
+    answers = materialize(artifact_freshness(log).withColumnRenamed("artifact_id", "area_id"))
+    stale = known.join(answers.where("not up_to_date"), "area_id", "left_semi")
+    exports = None
+    for row in stale.orderBy("area_id").collect():  # a row a drawing
+        area = areas.from_row(row)
+        made = export_if_changed(positions, area.ring, None, highway, selective)
+        if made is None:
+            continue
+        elements, (total, n) = made
+        found = f"{total:015x}-{n}"
+        areas.cache_hash(spark, path, area, found)
+        elements = elements.withColumns({"area_id": F.lit(area.area_id), "hash": F.lit(found)})
+        exports = elements if exports is None else exports.unionByName(elements)
+    return answers, exports
