@@ -174,3 +174,15 @@ def test_links_at_the_bound(spark):
     got = {r.vec_id: r.n_links for r in vector_join.near_vectors(frame, 0.95).collect()}
     assert got == {i: int(linked[i].sum()) - 1 for i in range(len(rows))}
     assert all(linked[3 * p, 3 * p + 1] for p in range(150))
+
+
+def test_vectors_are_sent_to_few_tiles(spark, monkeypatch):
+    """Rows that the tiles read grow with the number of vectors, whatever the number of blocks."""
+    monkeypatch.setattr(vector_join, "TILE_ROWS", 20)
+    draw = np.random.default_rng(4)
+    for n in (400, 1600):
+        rows = [(i, v.tolist(), 0) for i, v in enumerate(draw.standard_normal((n, 64)))]
+        frame = spark.createDataFrame(rows, SCHEMA)
+        classes = frame.selectExpr("vec_id class", "1L size", "embedding _vector")
+        left, right = vector_join.tiles(classes, "f4", 0.1)
+        assert n * 8 < left.count() + right.count() <= 30 * n

@@ -2,11 +2,11 @@
 
 Unit vectors are rotated and cut into blocks of a few dimensions. The squared distance of two vectors is
 the sum over their blocks, so vectors within a squared distance lie, in one block at least, within the
-block's proportional share of it. Each block is range-joined under its share: a grid over the block's
-first dimensions gives every vector a home cell and copies in the cells its range touches; cells are
-dealt in tiles of bounded size. What a block finds is verified exactly, on the vectors as they are given,
-and counted in the first block that finds it. Rows carry the given vectors, which tasks rotate anew. Equal vectors are one class throughout, and a tile hands on counts and
-a spanning forest of its links, never the pairs.
+block's proportional share of it. Vectors are dealt once, by a grid over the first rotated dimensions, into
+groups and these into parts of bounded size; a tile is two parts of groups that a link may join. A tile tests
+each of its pairs in all blocks under their shares, so a vector is sent to as many tiles as there are parts,
+not once more for each block. What a block finds is verified exactly, on the vectors as they are given. Equal
+vectors are one class throughout, and a tile hands on counts and a spanning forest of its links, never the pairs.
 """
 
 from __future__ import annotations
@@ -25,10 +25,13 @@ from tracklake.session import materialize
 BLOCK_DIMENSIONS = 16
 GRID_DIMENSIONS = 2
 CELL = 0.25
-TILE_ROWS = 4096
+#: Rows of a part: a table's share of ``PARTS``, within these bounds. So a vector is sent to about PARTS tiles
+#: whatever the number of vectors, up to PARTS * MOST_TILE_ROWS of them.
+TILE_ROWS, MOST_TILE_ROWS, PARTS = 4096, 32768, 16
+SIEVE_ROWS, SIEVE_COLUMNS = 512, 2048
 PAIRS_AT_ONCE = 40_000
-#: Room for rounding in ranges; more in the single-precision sieve than in the exact test.
-ROOM, SIEVE_ROOM = 1e-9, 1e-4
+#: Room for rounding in the single-precision sieve.
+SIEVE_ROOM = 1e-4
 
 
 def rotation(dimensions: int) -> np.ndarray:
@@ -43,12 +46,8 @@ def scaled(vectors: np.ndarray) -> np.ndarray:
 
 
 def rotated(vectors: np.ndarray) -> np.ndarray:
-    """Rotated unit vectors, the same to the last bit whatever rows stand beside them."""
-    units = vectors / np.sqrt(dots(vectors, vectors))[:, None]
-    turned = np.zeros_like(units)
-    for part, row in zip(units.T, rotation(units.shape[1])):
-        turned += part[:, None] * row
-    return turned
+    """Rotated unit vectors."""
+    return (vectors / np.sqrt(dots(vectors, vectors))[:, None]) @ rotation(vectors.shape[1]).T
 
 
 def unpacked(column: pa.Array, kind: str, dimensions: int) -> np.ndarray:
@@ -60,12 +59,6 @@ def block_edges(dimensions: int) -> list[tuple[int, int]]:
     return [(a, min(a + BLOCK_DIMENSIONS, dimensions)) for a in range(0, dimensions, BLOCK_DIMENSIONS)]
 
 
-def block_squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distances in each block, row by row."""
-    difference = (a - b) ** 2
-    return np.stack([difference[:, s:e].sum(1) for s, e in block_edges(a.shape[1])], 1)
-
-
 def shares(dimensions: int, square: float) -> np.ndarray:
     return np.array([square * (e - s) / dimensions for s, e in block_edges(dimensions)])
 
@@ -95,73 +88,73 @@ class Forest:
             self.label = self.label[self.label]
 
 
-def join_tile(block: int, square: float, cosine: float, home: tuple, other: tuple) -> tuple[dict[int, int], list[tuple[int, int]]]:
+def sieve(own: np.ndarray, others: np.ndarray, share: np.ndarray, both: bool):
+    """Places (i, j) of pairs within a block's share in one block at least; with ``both`` those with i < j.
+
+    Columns are prepared so that a product of matrices gives a block's squared distances.
+    """
+    one = lambda x: np.ones((len(x), 1), np.float32)
+    blocks = []
+    for start, end in block_edges(own.shape[1]):
+        a, b = own[:, start:end].astype(np.float32), others[:, start:end].astype(np.float32)
+        a = np.concatenate([-2 * a, (a * a).sum(1, keepdims=True), one(a)], 1)
+        blocks.append((a, np.concatenate([b, one(b), (b * b).sum(1, keepdims=True)], 1).T.copy()))
+    for row in range(0, len(own), SIEVE_ROWS):
+        for column in range(row // SIEVE_COLUMNS * SIEVE_COLUMNS if both else 0, len(others), SIEVE_COLUMNS):
+            near = None
+            for (a, b), most in zip(blocks, share):
+                within = a[row : row + SIEVE_ROWS] @ b[:, column : column + SIEVE_COLUMNS] <= most + SIEVE_ROOM
+                near = within if near is None else near | within
+            i, j = np.nonzero(near)
+            i, j = i + row, j + column
+            if both:
+                i, j = i[i < j], j[i < j]
+            for at in range(0, len(i), PAIRS_AT_ONCE):
+                yield i[at : at + PAIRS_AT_ONCE], j[at : at + PAIRS_AT_ONCE]
+
+
+def join_tile(square: float, cosine: float, home: tuple, other: tuple | None) -> tuple[dict[int, int], list[tuple[int, int]]]:
     """Links of a tile: per class the number of vectors it links with, and joining links between classes.
 
-    ``home`` and ``other`` are (classes, sizes, vectors). A pair counts where the smaller class is at home.
+    ``home`` and ``other`` are (classes, sizes, vectors) of parts without a class in common; without ``other``
+    the pairs within ``home`` are meant.
     """
-    (ids, sizes, given), (other_ids, other_sizes, others_given) = home, other
-    own, others = rotated(given), rotated(others_given)
+    both = other is None
+    (ids, sizes, given), (other_ids, other_sizes, others_given) = home, home if both else other
+    own = rotated(given)
+    others = own if both else rotated(others_given)
     squares, other_squares = dots(given, given), dots(others_given, others_given)
-    dimensions = own.shape[1]
-    start, end = block_edges(dimensions)[block]
-    share = shares(dimensions, square)
-    names, place = np.unique(np.concatenate([ids, other_ids]), return_inverse=True)
+    names = ids if both else np.concatenate([ids, other_ids])
+    shift = 0 if both else len(ids)
     counts, forest = np.zeros(len(names), np.int64), Forest(len(names))
-    a, b = own[:, start:end].astype(np.float32), others[:, start:end].astype(np.float32)
-    one = lambda x: np.ones((len(x), 1), np.float32)
-    a = np.concatenate([-2 * a, (a * a).sum(1, keepdims=True), one(a)], 1)
-    b = np.concatenate([b, one(b), (b * b).sum(1, keepdims=True)], 1)
-    for row in range(0, len(a), 512):
-        near = a[row : row + 512] @ b.T <= share[block] + SIEVE_ROOM
-        i, j = np.nonzero(near)
-        i += row
-        smaller = ids[i] < other_ids[j]
-        i, j = i[smaller], j[smaller]
-        for at in range(0, len(i), PAIRS_AT_ONCE):
-            x, y = i[at : at + PAIRS_AT_ONCE], j[at : at + PAIRS_AT_ONCE]
-            within = block_squares(own[x], others[y]) <= share + ROOM
-            first = within[:, block] & ~within[:, :block].any(1)
-            x, y = x[first], y[first]
-            link = dots(given[x], others_given[y]) / np.sqrt(squares[x] * other_squares[y]) >= cosine
-            x, y = x[link], y[link]
-            np.add.at(counts, place[x], other_sizes[y])
-            np.add.at(counts, place[len(ids) + y], sizes[x])
-            forest.add(place[x], place[len(ids) + y])
+    for x, y in sieve(own, others, shares(own.shape[1], square), both):
+        link = dots(given[x], others_given[y]) / np.sqrt(squares[x] * other_squares[y]) >= cosine
+        x, y = x[link], y[link]
+        np.add.at(counts, x, other_sizes[y])
+        np.add.at(counts, shift + y, sizes[x])
+        forest.add(x, shift + y)
     found = {int(names[k]): int(counts[k]) for k in np.flatnonzero(counts)}
     return found, [(int(names[x]), int(names[y])) for x, y in forest.links]
 
 
-def cells(packed: DataFrame, square: float, kind: str, dimensions: int) -> DataFrame:
-    """A row per block and cell that a class's range touches: block, cell, home, class, size, given."""
-    edges, share = block_edges(dimensions), shares(dimensions, square)
+def groups(cells: list[tuple[int, int, int]], most: int) -> list[tuple[list[tuple[int, int]], int]]:
+    """Cells (x, y, rows) as groups, each a list of cells and its number of parts of about ``most`` rows.
+
+    Neighbouring cells are put together while they fit into one part.
+    """
+    out, now, filled = [], [], 0
+    for x, y, n in sorted(cells):
+        if now and filled + n > most:
+            out.append((now, -(-filled // most)))
+            now, filled = [], 0
+        now, filled = [*now, (x, y)], filled + n
+    return [*out, (now, -(-filled // most))] if now else out
 
-    def deal(batches):
-        for batch in batches:
-            units = rotated(unpacked(batch.column(2), kind, dimensions))
-            rows, blocks, names, homes = [], [], [], []
-            for block, (start, end) in enumerate(edges):
-                reach = math.sqrt(share[block]) + SIEVE_ROOM
-                grid = units[:, start : min(end, start + GRID_DIMENSIONS)]
-                low, high, home = (np.floor((grid + d) / CELL).astype(np.int64) for d in (-reach, reach, 0))
-                spans = high - low + 1
-                many = spans.prod(1)
-                row = np.repeat(np.arange(len(units)), many)
-                place = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-                name, same = np.zeros(len(row), np.int64), np.ones(len(row), bool)
-                for d in range(grid.shape[1]):
-                    cell = low[row, d] + place % spans[row, d]
-                    place //= spans[row, d]
-                    same &= cell == home[row, d]
-                    name = name * 1024 + cell + 512
-                rows.append(row), blocks.append(np.full(len(row), block, np.int32)), names.append(name), homes.append(same)
-            row = pa.array(np.concatenate(rows))
-            yield pa.record_batch(
-                [pa.array(np.concatenate(blocks)), pa.array(np.concatenate(names)), pa.array(np.concatenate(homes)), *(batch.column(k).take(row) for k in range(3))],
-                names=["block", "cell", "home", "class", "size", "given"],
-            )
-
-    return packed.mapInArrow(deal, "block int, cell long, home boolean, class long, size long, given binary")
+
+def apart(a: list[tuple[int, int]], b: list[tuple[int, int]], square: float) -> bool:
+    """No link can join the two groups, as the grid's dimensions alone keep all their cells further apart."""
+    gap = lambda p, q: max(abs(p - q) - 1, 0) * CELL
+    return min(gap(p[0], q[0]) ** 2 + gap(p[1], q[1]) ** 2 for p in a for q in b) > square + SIEVE_ROOM
 
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -203,38 +196,61 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id",
     return result.select(F.col("_key").alias(key), "n_links", "component_id", F.coalesce(F.col("_key") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def _links(classes: DataFrame, dimensions: int, square: float, cosine: float) -> DataFrame:
-    """Rows (class, null, n) with numbers of links and (class, other, null) that join classes."""
-    kind = "f4" if classes.schema["_vector"].dataType.elementType.simpleString() == "float" else "f8"
+TILE = ["a", "b", "i", "j"]
+
+
+def tiles(classes: DataFrame, kind: str, square: float) -> tuple[DataFrame, DataFrame]:
+    """The rows of all tiles, at home and other: a, b (groups), i, j (their parts), class, size, given.
+
+    The tile of a part with itself has no other rows.
+    """
+    spark = classes.sparkSession
 
     def pack(batches):
         for batch in batches:
             given = vectors_of(batch.column(2)).astype(kind)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([g.tobytes() for g in given], pa.binary())], names=["class", "size", "given"])
+            grid = np.zeros((len(given), 2), np.int32)
+            at = rotated(scaled(given.astype(np.float64)))[:, :GRID_DIMENSIONS]
+            grid[:, : at.shape[1]] = np.floor(at / CELL)
+            columns = [pa.array([g.tobytes() for g in given], pa.binary()), pa.array(grid[:, 0]), pa.array(grid[:, 1])]
+            yield pa.record_batch([batch.column(0), batch.column(1), *columns], names=["class", "size", "given", "x", "y"])
 
-    packed = materialize(classes.select("class", "size", "_vector").mapInArrow(pack, "class long, size long, given binary"))
-    spread = cells(packed, square, kind, dimensions)
+    packed = materialize(classes.select("class", "size", "_vector").mapInArrow(pack, "class long, size long, given binary, x int, y int"))
     # The grid has a fixed number of cells, since no component exceeds one.
-    sizes = spread.groupBy("block", "cell").agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("n_home")).filter("n > 1 and n_home > 0")
-    tiles = sizes.select(
-        "block", "cell", F.expr(f"int(ceil(n_home / {TILE_ROWS}))").alias("homes"), F.expr(f"int(ceil(n / {TILE_ROWS}))").alias("others")
-    )
-    placed = spread.join(F.broadcast(tiles), ["block", "cell"])
-    chunk = lambda n: F.pmod(F.xxhash64("class", F.lit(3)), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    row = ["block", "cell", "class", "size", "given"]
-    left = placed.filter("home").select(*row, chunk("homes").alias("i"), every("others").alias("j"))
-    # New names of the same columns tell the two sides apart.
-    right = placed.select(*[F.col(c).alias(c) for c in row], every("homes").alias("i"), chunk("others").alias("j"))
-
-    def join(home: pa.Table, other: pa.Table) -> pa.Table:
-        counts, links = {}, []
-        if home.num_rows and other.num_rows:
-            sides = [
-                (t.column("class").to_numpy(), t.column("size").to_numpy(), unpacked(t.column("given"), kind, dimensions))
-                for t in (home, other)
-            ]
-            counts, links = join_tile(home.column("block")[0].as_py(), square, cosine, *sides)
+    cells = [tuple(r) for r in packed.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).collect()]
+    most = min(MOST_TILE_ROWS, max(TILE_ROWS, -(-sum(n for *_, n in cells) // PARTS)))
+    dealt = groups(cells, most)
+    named = [(x, y, g, parts) for g, (own, parts) in enumerate(dealt) for x, y in own]
+    met = [
+        (a, b, n)
+        for a, (own, _) in enumerate(dealt)
+        for b, (others, n) in enumerate(dealt)
+        if not apart(own, others, square)
+    ]
+    named = spark.createDataFrame(named, "x int, y int, a int, parts int")
+    met = F.broadcast(spark.createDataFrame(met, "a int, b int, others int"))
+    part = F.pmod(F.xxhash64("class", F.lit(3)), F.col("parts")).cast("int")
+    placed = packed.join(F.broadcast(named), ["x", "y"]).withColumn("own", part).join(met, "a")
+    # A pair of parts is met once: the one of the earlier group, in a group the earlier part, is at home.
+    every = F.explode(F.sequence(F.lit(0), F.col("others") - 1))
+    spread = placed.select("class", "size", "given", "a", "b", "own", every.alias("at"))
+    tile = lambda *names: [F.col(c).alias(n) for c, n in zip(names, TILE)]
+    row = [F.col(c).alias(c) for c in ("class", "size", "given")]
+    left = spread.filter("a < b or (a = b and own <= at)").select(*tile("a", "b", "own", "at"), *row)
+    right = spread.filter("a > b or (a = b and own > at)").select(*tile("b", "a", "at", "own"), *row)
+    return left, right
+
+
+def _links(classes: DataFrame, dimensions: int, square: float, cosine: float) -> DataFrame:
+    """Rows (class, null, n) with numbers of links and (class, other, null) that join classes."""
+    kind = "f4" if classes.schema["_vector"].dataType.elementType.simpleString() == "float" else "f8"
+
+    def join(key: tuple, home: pa.Table, other: pa.Table) -> pa.Table:
+        a, b, i, j = (k.as_py() for k in key)
+        within, counts, links = (a, i) == (b, j), {}, []
+        if home.num_rows and (other.num_rows or within):
+            side = lambda t: (t.column("class").to_numpy(), t.column("size").to_numpy(), unpacked(t.column("given"), kind, dimensions))
+            counts, links = join_tile(square, cosine, side(home), None if within else side(other))
         return pa.table(
             {
                 "class": pa.array([*counts, *(a for a, _ in links)], pa.int64()),
@@ -243,5 +259,5 @@ def _links(classes: DataFrame, dimensions: int, square: float, cosine: float) ->
             }
         )
 
-    at = ["block", "cell", "i", "j"]
-    return left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(join, "class long, other long, n long")
+    left, right = tiles(classes, kind, square)
+    return left.groupBy(*TILE).cogroup(right.groupBy(*TILE)).applyInArrow(join, "class long, other long, n long")
