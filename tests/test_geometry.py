@@ -135,3 +135,12 @@ def test_large_polygon_in_a_table(spark):
     assert sorted(r.id for r in result.collect()) == wanted
     flag = flags(spark, [p[1:] for p in points], ring)
     assert sorted(p[0] for p, f in zip(points, flag) if f) == wanted
+
+
+def test_points_in_one_file_are_dealt_out(spark):
+    """The join of a few points with many polygons is not the work of one task."""
+    points = spark.createDataFrame([(1, 0.5, 0.5)], "id long, lat double, lon double").coalesce(1)
+    ring = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
+    table = spark.createDataFrame([("a", ring)], "polygon_id string, ring array<struct<lat:double,lon:double>>")
+    found = points_in_polygons(points, table, 0.1)
+    assert found.rdd.getNumPartitions() > 1 and [tuple(r) for r in found.collect()] == [(1, 0.5, 0.5, "a")]

@@ -43,8 +43,8 @@ def _gridded(polygons: DataFrame, cell: float) -> DataFrame:
         F.array_max(lons).alias("_maxlon"),
     )
     extent = F.greatest(F.col("_maxlat") - F.col("_minlat"), F.col("_maxlon") - F.col("_minlon"))
-    # Cells at least as large as the box, so that it meets two of them at most in each direction.
-    level = F.ceil(F.log2(F.greatest(extent / F.lit(cell), F.lit(1.0)))).cast("int")
+    # Cells at least half as large as the box, so that it meets three of them at most in each direction.
+    level = F.ceil(F.log2(F.greatest(extent / F.lit(2 * cell), F.lit(1.0)))).cast("int")
     columns = {"_level": level, "_is_box": _is_box(), "_arrays": edge_arrays(F.col("_edges"))}
     return boxed.withColumns(columns).drop("ring", "_edges")
 
@@ -73,10 +73,11 @@ def points_in_polygons(
     """Every (point, polygon) pair with the point in the polygon's interior.
 
     Adds ``polygon_id`` to the point columns. Equi join on grid cells, then the box, then the exact
-    test. A polygon goes to the grid level that fits its size and so into about four cells, however
+    test. A polygon goes to the grid level that fits its size and so into nine cells at most, however
     large it is; a point goes into one cell of each level in use. The polygon table is measured
-    first: up to ``max_broadcast_vertices`` it is broadcast and the points are not shuffled at all;
-    beyond that both sides are shuffled, with the points of a cell dealt out to ``salt`` tasks.
+    first: up to ``max_broadcast_vertices`` it is broadcast and the points are only dealt out evenly,
+    since a few points may stand for most of the work; beyond that both sides are shuffled, with the
+    points of a cell dealt out to ``salt`` tasks.
     """
     grid = _gridded(polygons, cell)
     # A row per doubling from the cell to the globe, whatever the number of polygons.
@@ -99,8 +100,10 @@ def points_in_polygons(
         "_y", span("_minlon", "_maxlon")
     )
     levels = F.array(*[F.lit(r["_level"]) for r in used]).cast("array<int>")
+    # However few files the points come in.
+    dealt_out = points.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))) if small else points
     placed = (
-        points.withColumn("_level", F.explode(levels))
+        dealt_out.withColumn("_level", F.explode(levels))
         .withColumn("_x", _cell(F.col("lat"), size(F.col("_level"))))
         .withColumn("_y", _cell(F.col("lon"), size(F.col("_level"))))
     )
