@@ -66,3 +66,18 @@ def test_edges_tested_stay_flat(spark):
         tested[n] = met.agg(F.avg(F.coalesce(F.size("edges") + F.size("ends"), F.lit(0)))).first()[0]
         assert cells.agg(F.sum(F.size("edges") + F.size("ends") + 1)).first()[0] < 10 * n
     assert tested[10_000] < tested[100] + 1
+
+
+def test_rings_that_seldom_turn_need_no_index(spark, monkeypatch):
+    """They meet their points ring by ring, in several parts, with ties at vertices and on edges decided exactly."""
+    monkeypatch.setattr(polygon_index, "edge_cells", None)
+    monkeypatch.setattr(polygon_index, "PART_POINTS", 100)
+    monkeypatch.setattr(polygon_index, "TESTS_AT_ONCE", 70)
+    draw = random.Random(5)
+    zigzag = [(float(40 + t % 2 * 20), float(t)) for t in range(30)] + [(float(-40 - t % 3 * 10), float(t)) for t in reversed(range(30))]
+    rings = {"zigzag": zigzag, "star": star(draw, 50, 0.0, 10.0, 30.0), "box": [(0.0, 0.0), (3.0, 0.0), (3.0, 3.0), (0.0, 3.0)]}
+    points = [(float(draw.randrange(-70, 70)), draw.randrange(0, 60) / 2) for _ in range(600)] + zigzag + rings["star"]
+    frame = spark.createDataFrame([(k, *p) for k, p in enumerate(points)] + [(9999, None, 1.0)], POINTS)
+    expected = sorted((k, name) for name, ring in rings.items() for k, (a, b) in enumerate(points) if inside_exactly(a, b, ring))
+    got = points_in_large_polygons(frame, spark.createDataFrame(list(rings.items()), SCHEMA), 5.0).collect()
+    assert sorted((r.id, r.polygon_id) for r in got) == expected
