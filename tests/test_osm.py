@@ -1,5 +1,6 @@
 import os
 import random
+import re
 
 import pytest
 
@@ -203,3 +204,15 @@ def test_export_only_if_changed(spark):
     moved = spark.createDataFrame([*rows_[:3], (1, 3, 6.0, 5.0, 0)], schemas.POSITIONS)
     assert workflows.export_if_changed(moved, SQUARE, known)[1] != known
     assert workflows.export_if_changed(again.where("false"), SQUARE, known) is None
+
+
+def test_sections_shuffle_the_pieces_once(spark, monkeypatch):
+    """What is known of the pieces that open or close a section is not joined with all pieces."""
+    from tracklake.sources import xml_sections
+
+    rows = [("f", 0, 0, "a", 0, 0), ("f", 0, 1, "", 1, 0), ("f", 0, 2, "b", 0, 0), ("f", 0, 3, "c", 0, 2), ("f", 9, 1, "d", 0, 0)]
+    pieces = spark.createDataFrame(rows, "file string, start long, row long, name string, opened int, closed int")
+    monkeypatch.setattr(xml_sections, "materialize", lambda df: df)
+    found = xml_sections.outside(pieces)
+    assert not re.search(r"Join .*row#\d+L? = row#", found._jdf.queryExecution().optimizedPlan().toString())
+    assert sorted(r.name for r in found.collect()) == ["", "a", "d"]
