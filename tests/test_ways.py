@@ -120,3 +120,16 @@ def test_last_node_decides_whether_a_way_touches(spark):
     ):
         with pytest.raises(ValueError, match="several nodes"):
             call()
+
+
+def test_references_of_an_area_are_searched_once(spark):
+    """They are stored, so the table of references isn't read again to resolve them."""
+    from tracklake.plans import workflows
+
+    nodes = spark.createDataFrame([(1, 0.5, 0.5), (2, 5.0, 5.0)], "id long, lat double, lon double")
+    refs = spark.createDataFrame([(7, 0, 1), (7, 1, 2), (8, 0, 2)], "way_id long, pos long, ref long")
+    tags = spark.createDataFrame([(7, 0, "highway", "cycleway")], "way_id long, pos long, k string, v string")
+    found = workflows.ways_in_polygon(refs, nodes, tags, [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("LeftSemi" in line and "way_id" in line for line in plan.splitlines())
+    assert sorted(tuple(r) for r in found.collect()) == [(7, 0, 1, 0.5, 0.5), (7, 1, 2, 5.0, 5.0)]

@@ -62,13 +62,14 @@ def ways_in_polygon(
 
     With ``node_order`` (``doc_order`` of a map document) the last of several nodes with one id counts,
     for the polygon and for the coordinates; without it a repeated id is an error.
-    The polygon's nodes, the ways and their node ids are computed and stored one after the other; as
-    long as they are few, none of the tables is shuffled.
+    The polygon's nodes, the ways, their references and node ids are computed and stored one after the
+    other, so the table of references is searched once for either; as long as there are few keys, none of
+    the tables is shuffled.
     """
     if node_order is not None:
         nodes = materialize(last_by_key(nodes, "id", node_order))
     ways = key_set(ways_touching(way_nodes, nodes, way_tags, ring, key, value))
-    chosen = of_ways(way_nodes, ways)
+    chosen = materialize(of_ways(way_nodes, ways))
     used = nodes_with_ids(nodes, distinct_refs(chosen))
     return resolve_ways(chosen, used, way_fn=way_fn)
 
