@@ -8,7 +8,6 @@ counts. Weights start so that the model gives the words' overall shares.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 from dataclasses import dataclass, fields
 
 import numpy as np
@@ -77,72 +76,99 @@ def first_weights(counts: np.ndarray, shape: Shape, hidden: int = HIDDEN, seed:
 
 
 def step(w: Weights, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-    """New state, update and reset gates, candidate, and the candidate's share of the old state."""
-    n = h.shape[1]
-    u = h @ w.recurrent
-    gates = np.tanh((x[:, : 2 * n] + u[:, : 2 * n]) * np.float32(0.5))
+    """New state, update and reset gates, candidate, and the candidate's share of the old state.
+
+    Rows are lanes, but numpy runs over the transposed arrays: callers keep the lanes of a unit side by side
+    in memory and pass views, so that gates are whole runs of memory.
+    """
+    x, h = x.T, h.T
+    n = len(h)
+    u = w.recurrent.T @ h
+    gates = x[: 2 * n] + u[: 2 * n]
+    gates *= np.float32(0.5)
+    np.tanh(gates, out=gates)
     gates *= np.float32(0.5)
     gates += np.float32(0.5)
-    update, reset, own = gates[:, :n], gates[:, n:], u[:, 2 * n :]
-    candidate = np.tanh(x[:, 2 * n :] + reset * own)
-    return candidate + update * (h - candidate), update, reset, candidate, own
+    update, reset, own = gates[:n], gates[n:], u[2 * n :]
+    candidate = reset * own
+    candidate += x[2 * n :]
+    np.tanh(candidate, out=candidate)
+    new = h - candidate
+    new *= update
+    new += candidate
+    return new.T, update.T, reset.T, candidate.T, own.T
+
+
+def sorted_classes(shape: Shape, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[slice, slice]]]:
+    """The symbols' classes, an order that puts those of a class side by side, and for each class of several
+    words that occurs the slices of its words and of its places in that order."""
+    of = shape.classes[symbols].astype(np.min_scalar_type(len(shape.widths)))  # short numbers are sorted faster
+    order = np.argsort(of, kind="stable")
+    cuts = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(shape.widths)))])
+    several = np.flatnonzero((shape.widths > 1) & (cuts[1:] > cuts[:-1]))
+    return of, order, [(slice(shape.starts[c], shape.starts[c] + shape.widths[c]), slice(cuts[c], cuts[c + 1])) for c in several]
 
 
 def log_share(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """log_softmax at one place of each row; scores are small enough to be raised as they are."""
-    picked = z[np.arange(len(at)), at]
+    """log_softmax at one place of each column; scores are small enough to be raised as they are."""
+    picked = z[at, np.arange(len(at))]
     np.exp(np.clip(z, -80, 80, out=z), out=z)
-    return picked - np.log(z @ np.ones(z.shape[1], z.dtype))
+    return picked - np.log(z.sum(0))
 
 
-def by_class(shape: Shape, of: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
-    """For each class of several words its words' slice and the rows whose symbol is one of them."""
-    order = np.argsort(of, kind="stable")
-    cuts = np.searchsorted(of[order], np.arange(len(shape.widths) + 1))
-    for c in np.flatnonzero((shape.widths > 1) & (cuts[1:] > cuts[:-1])):
-        yield slice(shape.starts[c], shape.starts[c] + shape.widths[c]), order[cuts[c] : cuts[c + 1]]
+def with_bias(out: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Output weights with their bias as a last row, which meets a state's last unit, always one."""
+    return np.concatenate([out, bias[None]])
+
+
+def with_one(states: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The states in this order, units as rows, and a unit that is always one."""
+    found = np.ones((states.shape[1] + 1, len(order)), states.dtype)
+    np.take(states.T, order, 1, out=found[:-1], mode="clip")
+    return found
 
 
 def log_probability(w: Weights, shape: Shape, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
     """The natural log-probability of each symbol given its state."""
-    of = shape.classes[symbols]
-    total = log_share(states @ w.class_out + w.class_bias, of)
-    for part, rows in by_class(shape, of):
-        total[rows] += log_share(states[rows] @ w.word_out[:, part] + w.word_bias[part], shape.places[symbols[rows]])
-    return total
+    of, order, classes = sorted_classes(shape, symbols)
+    # The states of a class side by side, so that its products take them as they lie.
+    states, places = with_one(states, order), shape.places[symbols[order]]
+    total = log_share(with_bias(w.class_out, w.class_bias).T @ states, of[order])
+    word_out = with_bias(w.word_out, w.word_bias).T
+    for part, rows in classes:
+        total[rows] += log_share(word_out[part] @ states[:, rows], places[rows])
+    found = np.empty_like(total)
+    found[order] = total
+    return found
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
-    """Over each row, in place."""
-    z -= z.max(1, keepdims=True)
+    """Over each column, in place."""
+    z -= z.max(0)
     np.exp(z, out=z)
-    z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
+    z *= 1 / z.sum(0)
     return z
 
 
 def output_gradients(w: Weights, shape: Shape, states: np.ndarray, symbols: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Gradients of the negative sum of log-probabilities for the output's weights and for the states."""
-    of = shape.classes[symbols]
-    # The rows of a class side by side, so that its products take them as they lie.
-    order = np.argsort(of, kind="stable")
-    of, symbols, states = of[order], symbols[order], states[order]
-    error = softmax(states @ w.class_out + w.class_bias)
-    error[np.arange(len(of)), of] -= 1
-    back = error @ w.class_out.T
-    word_out, word_bias = np.zeros_like(w.word_out), np.zeros_like(w.word_bias)
-    class_out, class_bias = states.T @ error, error.sum(0)
-    cuts = np.searchsorted(of, np.arange(len(shape.widths) + 1))
-    for c in np.flatnonzero((shape.widths > 1) & (cuts[1:] > cuts[:-1])):
-        rows, part = slice(cuts[c], cuts[c + 1]), slice(shape.starts[c], shape.starts[c] + shape.widths[c])
-        own = states[rows]
-        error = softmax(own @ w.word_out[:, part] + w.word_bias[part])
-        error[np.arange(len(own)), shape.places[symbols[rows]]] -= 1
-        back[rows] += error @ w.word_out[:, part].T
-        word_out[:, part] = own.T @ error
-        word_bias[part] = error.sum(0)
-    given = np.empty_like(back)
-    given[order] = back
-    return [class_out, class_bias, word_out, word_bias], given
+    of, order, classes = sorted_classes(shape, symbols)
+    states, places = with_one(states, order), shape.places[symbols[order]]
+    each = np.arange(len(of))
+    error = softmax(with_bias(w.class_out, w.class_bias).T @ states)
+    error[of[order], each] -= 1
+    back, of_class = w.class_out @ error, states @ error.T
+    words = with_bias(w.word_out, w.word_bias)
+    of_word = np.zeros_like(words)
+    for part, rows in classes:
+        own = states[:, rows]
+        error = softmax(words[:, part].T @ own)
+        error[places[rows], each[: error.shape[1]]] -= 1
+        back[:, rows] += w.word_out[:, part] @ error
+        of_word[:, part] = own @ error.T
+    given = np.empty_like(order)
+    given[order] = each
+    return [of_class[:-1], of_class[-1], of_word[:-1], of_word[-1]], np.take(back, given, 1).T
 
 
 class Trainer:
@@ -166,50 +192,59 @@ class Trainer:
         start = len(self.w.inputs) - 1
         given = np.concatenate([np.full((lanes, 1), start), target[:, :-1]], 1)
         given = np.where(fresh, start, given)
-        state = np.zeros((lanes, self.w.recurrent.shape[0]), np.float32)
+        state = np.zeros((self.w.recurrent.shape[0], lanes), self.w.recurrent.dtype)
         for at in range(0, each, self.window):
             part = slice(at, at + self.window)
             state = self._window(given[:, part], target[:, part], fresh[:, part], weight[:, part], state)
         self.symbols += len(symbols)
 
     def _window(self, given, target, fresh, weight, state) -> np.ndarray:
-        w, n = self.w, state.shape[1]
-        kept, states = [], []
-        for t in range(given.shape[1]):
-            before = state * ~fresh[:, t, None]
-            state, *gates = step(w, w.inputs[given[:, t]], before)
-            kept.append((before, *gates))
-            states.append(state)
-        seen = np.concatenate(states)
-        (class_out, class_bias, word_out, word_bias), back = output_gradients(w, self.shape, seen, target.T.ravel())
+        w, (n, lanes) = self.w, state.shape
+        given, kept = given.T.ravel(), (~fresh.T).astype(state.dtype)
+        x = np.take(np.ascontiguousarray(w.inputs.T), given, 1)
+        steps = [slice(t * lanes, (t + 1) * lanes) for t in range(len(kept))]
+        before, seen, gates = np.empty((n, len(given)), state.dtype), np.empty((n, len(given)), state.dtype), []
+        for t, part in enumerate(steps):
+            np.multiply(state, kept[t], out=before[:, part])
+            state, *found = (a.T for a in step(w, x[:, part].T, before[:, part].T))
+            gates.append(found)
+            seen[:, part] = state
+        (class_out, class_bias, word_out, word_bias), back = output_gradients(w, self.shape, seen.T, target.T.ravel())
         # Rows of padding are few and stand at the end; their error does not run back.
-        back = back * weight.T.reshape(-1, 1)
-        back = back.reshape(len(states), *state.shape)
-        recurrent, entered = np.zeros_like(w.recurrent), np.zeros((len(states), len(state), 3 * n), np.float32)
+        back = back.T * weight.T.ravel()
+        # What reaches the recurrent products; of the candidates also what reaches their inputs.
+        inner, entered = np.empty((3 * n, len(given)), state.dtype), np.empty((n, len(given)), state.dtype)
         carried = np.zeros_like(state)
-        for t in range(len(states) - 1, -1, -1):
-            before, update, reset, candidate, own = kept[t]
-            d = back[t] + carried
-            d_candidate = d * (1 - update) * (1 - candidate * candidate)
-            d_update = d * (before - candidate) * update * (1 - update)
-            d_reset = d_candidate * own * reset * (1 - reset)
-            entered[t] = np.concatenate([d_update, d_reset, d_candidate], 1)
-            inner = np.concatenate([d_update, d_reset, d_candidate * reset], 1)
-            recurrent += before.T @ inner
-            carried = (d * update + inner @ w.recurrent.T) * ~fresh[:, t, None]
-        order = np.argsort(given.T.ravel(), kind="stable")
-        used, first = np.unique(given.T.ravel()[order], return_index=True)
-        inputs = np.add.reduceat(entered.reshape(-1, 3 * n)[order], first, axis=0)
-        self._move(0, inputs, used)
-        for k, g in enumerate((recurrent, class_out, class_bias, word_out, word_bias), 1):
+        for t, part in reversed([*enumerate(steps)]):
+            update, reset, candidate, own = gates[t]
+            d = np.add(back[:, part], carried, out=carried)
+            d_candidate = np.multiply(d, 1 - update, out=entered[:, part])
+            d_candidate *= 1 - candidate * candidate
+            kept_d = d * update
+            d_update = np.subtract(before[:, part], candidate, out=inner[:n, part])
+            d_update *= kept_d
+            d_update *= 1 - update
+            kept_candidate = np.multiply(d_candidate, reset, out=inner[2 * n :, part])
+            d_reset = np.multiply(kept_candidate, own, out=inner[n : 2 * n, part])
+            d_reset *= 1 - reset
+            carried = w.recurrent @ inner[:, part]
+            carried += kept_d
+            carried *= kept[t]
+        recurrent = before @ inner.T
+        # Summed by symbol, a unit at a time.
+        sums = [np.bincount(given, row, len(w.inputs)) for part in (inner[: 2 * n], entered) for row in part]
+        inputs = np.ascontiguousarray(np.array(sums, state.dtype).T)
+        for k, g in enumerate((inputs, recurrent, class_out, class_bias, word_out, word_bias)):
             self._move(k, g, slice(None))
         return state
 
     def _move(self, k: int, gradient: np.ndarray, where) -> None:
-        gradient = np.clip(gradient, -5, 5)
+        gradient = np.clip(gradient, -5, 5, out=gradient)
         squares = self.squares[k]
         squares[where] += gradient * gradient
-        self.w.each()[k][where] -= self.rate * gradient / np.sqrt(squares[where])
+        gradient *= self.rate
+        gradient /= np.sqrt(squares[where])
+        self.w.each()[k][where] -= gradient
 
 
 def score(w: Weights, shape: Shape, texts: list[np.ndarray], lanes: int = 256, window: int = 32) -> np.ndarray:
@@ -226,39 +261,32 @@ def score(w: Weights, shape: Shape, texts: list[np.ndarray], lanes: int = 256, w
         size, lane = heapq.heappop(load)
         own[lane].append(text)
         heapq.heappush(load, (size + int(lengths[text]), lane))
-    own.sort(key=lambda held: -sum(int(lengths[t]) for t in held))
+    own = [np.array(held) for held in sorted(own, key=lambda held: -sum(int(lengths[t]) for t in held))]
     start = len(w.inputs) - 1
-    run = [np.concatenate([texts[t] for t in held]).astype(np.int32) for held in own]
-    text_of = [np.repeat(np.array(held), lengths[held]) for held in own]
-    given = []
-    for texts_in, symbols in zip(text_of, run):
+    sizes = np.array([lengths[held].sum() for held in own], np.int64)
+    # Lanes are sorted by length, so those that reach a place stand first. Symbols lie by place, then by lane.
+    running = np.searchsorted(-sizes, -np.arange(sizes.max(initial=0)))
+    begin = np.concatenate([[0], np.cumsum(running)])
+    given, target, text_of = (np.empty(begin[-1], kind) for kind in (np.int32, np.int32, np.int64))
+    for lane, held in enumerate(own):
+        at = begin[: sizes[lane]] + lane
+        symbols, texts_in = np.concatenate([texts[t] for t in held]), np.repeat(held, lengths[held])
         before = np.concatenate([[start], symbols])[:-1]
         before[1:][texts_in[1:] != texts_in[:-1]] = start
-        given.append(before)
-    sizes = np.array([len(r) for r in run])
-    state = np.zeros((len(run), w.recurrent.shape[0]), np.float32)
-    for at in range(0, int(sizes.max(initial=0)), window):
-        active = int((sizes > at).sum())
-        width = min(window, int(sizes[0]) - at)
-        g = np.full((active, width), -1, np.int32)
-        for lane in range(active):
-            part = given[lane][at : at + width]
-            g[lane, : len(part)] = part
-        state, states = state[:active], []
-        for t in range(width):
-            now = int((sizes[:active] > at + t).sum())
-            state = state[:now]
-            column = g[:now, t]
-            opening = column == start
+        given[at], target[at], text_of[at] = before, symbols, texts_in
+    state = np.zeros((w.recurrent.shape[0], len(own)), w.recurrent.dtype)
+    inputs = np.ascontiguousarray(w.inputs.T)
+    for at in range(0, len(running), window):
+        part = slice(begin[at], begin[min(at + window, len(running))])
+        g = given[part]
+        x = np.take(inputs, g, 1)
+        states, end = np.empty((len(state), len(g)), state.dtype), 0
+        for now in running[at : at + window].tolist():
+            here = slice(end, end := end + now)
+            opening, state = g[here] == start, state[:, :now]
             if opening.any():
-                state = state * ~opening[:, None]
-            state = step(w, w.inputs[column], state)[0]
-            states.append(state)
-        target, texts_at = np.zeros((active, width), np.int32), np.zeros((active, width), np.int64)
-        for lane in range(active):
-            part = slice(at, min(at + width, int(sizes[lane])))
-            target[lane, : part.stop - at] = run[lane][part]
-            texts_at[lane, : part.stop - at] = text_of[lane][part]
-        symbols, which = (np.concatenate([m[: len(s), t] for t, s in enumerate(states)]) for m in (target, texts_at))
-        totals += np.bincount(which, log_probability(w, shape, np.concatenate(states), symbols), len(texts))
+                state = state * ~opening
+            state = step(w, x[:, here].T, state.T)[0].T
+            states[:, here] = state
+        totals += np.bincount(text_of[part], log_probability(w, shape, states.T, target[part]), len(texts))
     return totals

@@ -11,6 +11,7 @@ counts come by a join, since no task holds the whole vocabulary.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tracklake.llm import gru
 from tracklake.llm.columns import slices, text_bytes
-from tracklake.llm.shingles import mix, word_bounds, words
+from tracklake.llm.shingles import mix, word_numbers
 from tracklake.session import materialize
 
 SLICE_BYTES = 1 << 20
@@ -48,14 +49,14 @@ def token_ids(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
     The low bits name the class that the word falls into if it is no symbol: its first two bytes, mixed.
     """
-    numbers, first, last = words(data, ends)
+    numbers, starts, stops = word_numbers(data, ends)
+    each = np.diff(np.searchsorted(starts, ends))
     if len(numbers):
-        starts, stops = word_bounds(data, ends)
         lower = lambda b: np.where((b >= 65) & (b <= 90), b + np.uint8(32), b).astype(np.uint64)
         second = np.where(starts + 1 < stops, lower(data[np.minimum(starts + 1, len(data) - 1)]), np.uint64(0))
         begin = lower(data[starts]) * np.uint64(256) + second
         numbers = (numbers & ~np.uint64(TAILS - 1)) | (mix(begin) >> np.uint64(64 - TAIL_BITS))
-    bounds = np.concatenate([[0], np.cumsum(last - first + 1)])
+    bounds = np.concatenate([[0], np.cumsum(each + 1)])
     out = np.full(bounds[-1], END, np.uint64)
     inside = np.ones(bounds[-1], bool)
     inside[bounds[1:] - 1] = False
@@ -87,6 +88,26 @@ def count_tokens(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
+class Places:
+    """Finds tokens in an ascending array: they are evenly spread, so their first bits tell about where."""
+
+    def __init__(self, tokens: np.ndarray):
+        bits = len(tokens).bit_length() + 1
+        self.tokens, self.shift = tokens, np.uint64(64 - bits)
+        self.starts = np.searchsorted(tokens, np.arange(1 << bits, dtype=np.uint64) << self.shift)
+
+    def of(self, tokens: np.ndarray) -> np.ndarray:
+        """The place of each token, or one that holds another."""
+        last = len(self.tokens) - 1
+        at = np.minimum(self.starts[(tokens >> self.shift).view(np.int64)], last)
+        behind = np.flatnonzero(self.tokens[at] < tokens)
+        while len(behind):
+            at[behind] += 1
+            behind = behind[at[behind] <= last]
+            behind = behind[self.tokens[at[behind]] < tokens[behind]]
+        return np.minimum(at, last, out=at)
+
+
 class Vocabulary:
     """The symbols' tokens and counts, the held tokens' counts, and the totals of all."""
 
@@ -115,17 +136,23 @@ class Vocabulary:
         self._order = np.argsort(self.symbols)
         self._sorted = self.symbols[self._order]
 
+    @cached_property
+    def _symbol_places(self) -> Places:
+        return Places(self._sorted)
+
+    @cached_property
+    def _held_places(self) -> Places:
+        return Places(self.held)
+
     def symbols_of(self, tokens: np.ndarray) -> np.ndarray:
         """The symbol of each token; from ``len(symbols)`` on those of tail classes."""
-        at = np.minimum(np.searchsorted(self._sorted, tokens), len(self._sorted) - 1)
+        at = self._symbol_places.of(tokens)
         tail = len(self.symbols) + (tokens & np.uint64(TAILS - 1)).astype(np.int64)
         return np.where(self._sorted[at] == tokens, self._order[at], tail).astype(np.int32)
 
     def counts_of(self, tokens: np.ndarray) -> np.ndarray:
         """The count of each held token, -1 for others."""
-        if not len(self.held):
-            return np.full(len(tokens), -1)
-        at = np.minimum(np.searchsorted(self.held, tokens), len(self.held) - 1)
+        at = self._held_places.of(tokens)
         return np.where(self.held[at] == tokens, self.held_counts[at], -1)
 
     def base_room(self) -> float:

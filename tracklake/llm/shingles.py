@@ -12,6 +12,11 @@ import numpy as np
 
 BASE = 0x9E3779B97F4A7C15 | 1
 MASK = (1 << 64) - 1
+#: Of each byte: one more than its lower case, and whether it belongs to a word.
+LOWER = np.arange(1, 257, dtype=np.uint64)
+LOWER[65:91] += np.uint64(32)
+INSIDE = np.ones(256, bool)
+INSIDE[[32, *range(9, 14)]] = False
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,7 +42,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def word_bounds(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each word starts and where it stops; a text's edge ends a word."""
     n = len(data)
-    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    inside = INSIDE[data]
     fresh = np.zeros(n + 1, bool)
     fresh[ends] = True
     before = np.concatenate([[False], inside])[:n] & ~fresh[:n]
@@ -45,19 +50,24 @@ def word_bounds(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
 
 
-def words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The numbers of all words in order, and per text the first word and the one behind its last."""
+def word_numbers(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The numbers of all words in order, where each starts and where it stops."""
     n = len(data)
     if not n:
-        zero = np.zeros(len(ends) - 1, np.int64)
-        return np.zeros(0, np.uint64), zero, zero
-    lower = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, none
     starts, stops = word_bounds(data, ends)
     up, down = powers(n)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((lower.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
+    np.cumsum(LOWER[data] * up[:n], out=sums[1:])
     numbers = (sums[stops] - sums[starts]) * down[starts]
     numbers = mix(numbers + (stops - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return numbers, starts, stops
+
+
+def words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The numbers of all words in order, and per text the first word and the one behind its last."""
+    numbers, starts, _ = word_numbers(data, ends)
     return numbers, np.searchsorted(starts, ends[:-1]), np.searchsorted(starts, ends[1:])
 
 
