@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 
@@ -164,3 +165,14 @@ def test_parities_keep_every_linked_pair(spark):
     far = [ngram_join.parities(np.array([draw.getrandbits(64) for _ in range(150)], np.uint64)).tolist() for _ in range(40)]
     pairs = spark.createDataFrame([(x, y, 150, 150) for x, y in zip(far, far[1:])], "a array<long>, b array<long>, na int, nb int")
     assert pairs.filter(ngram_join.alike("a", "b", "na", "nb", 85)).count() == 0
+
+
+def test_sets_with_grams_of_their_own_meet_no_others(spark):
+    """Passages that two documents share don't lead in documents with enough other grams."""
+    own = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    rows = [(k, f"{own(k, 200)} {own(1000 + k, 40)} {own(1000 + (k + 1) % 60, 40)}") for k in range(60)]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(5)
+    found = ngram_join.leading_grams(docs, "id", "text", 4, 85).selectExpr("id", "explode(prefix) as gram").collect()
+    leads = Counter(r.gram for r in found)
+    assert len({r.id for r in found}) == 60
+    assert sum(n > 1 for n in leads.values()) < 0.1 * len(leads)

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from tracklake.llm.columns import slices, text_bytes
 from tracklake.llm.components import components
 from tracklake.llm.shingles import mix, shingle_sets, signature
+from tracklake.operators.keys import key_set
 from tracklake.session import materialize
 
 SLICE_BYTES = 1 << 19
@@ -42,6 +43,8 @@ BLOCKS = 4
 #: 64-bit words of a set's parities. From about 800 grams on, sets may differ in more grams than there are bits.
 PARITY_WORDS = 4
 BITMAP_BITS = 24
+#: Bits of the map of grams that lead in several documents: 16 MB for each task, however many grams there are.
+MARK_BITS = 27
 #: Tries go on while pairs across clusters are more than so many times the rows of leading grams, and while
 #: a round links at least this share of the nodes it tries. Both move work, never results.
 CROSS_MOST, PROGRESS = 2, 0.05
@@ -120,11 +123,17 @@ def _most_frequent(counted: DataFrame) -> np.ndarray:
 
 
 def leading_grams(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """Prefixes in an order that puts last what tasks see often, and what then still leads in many sets."""
+    """Prefixes in an order that puts last what tasks see often, and what then still leads in many sets.
+
+    Before those, and behind all others, come grams that lead in two documents or more, so that a set with
+    enough grams of its own has only those in its prefix and meets no other. They are told to tasks by a map of
+    bits; others may share a bit, which moves them in the order for all documents alike.
+    """
     common = common_grams(docs, text, size)
     first = prefixes(docs, key, text, size, percent, common).select(F.explode("prefix").alias("gram"))
-    often = first.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LEADING_MOST)
-    return prefixes(docs, key, text, size, percent, np.union1d(common, _most_frequent(materialize(often))))
+    shared = materialize(first.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    often = _most_frequent(shared.filter(F.col("n") > LEADING_MOST))
+    return prefixes(docs, key, text, size, percent, np.union1d(common, often), _bits(shared, F.shiftrightunsigned("gram", 64 - MARK_BITS), MARK_BITS))
 
 
 def parities(grams: np.ndarray) -> np.ndarray:
@@ -140,10 +149,13 @@ def alike(a: str, b: str, na: str, nb: str, percent: int) -> Column:
     return differ * (100 + percent) <= (F.col(na) + F.col(nb)) * (100 - percent)
 
 
-def prefixes(docs: DataFrame, key: str, text: str, size: int, percent: int, common: np.ndarray) -> DataFrame:
+def prefixes(
+    docs: DataFrame, key: str, text: str, size: int, percent: int, common: np.ndarray, marked: np.ndarray | None = None
+) -> DataFrame:
     """Per document: ``key``, name, n (size of its set), s1 and s2 (the set's name), prefix (its leading grams), parity.
 
-    Grams come by their values, those in ``common`` after all others.
+    Grams come by their values, those in ``common`` after all others, and before them those whose bit is set
+    in ``marked``, a map by the grams' first bits.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +166,12 @@ def prefixes(docs: DataFrame, key: str, text: str, size: int, percent: int, comm
             for grams in sets:
                 at = np.minimum(np.searchsorted(common, grams), max(0, len(common) - 1))
                 known = common[at] == grams if len(common) else np.zeros(len(grams), bool)
-                ordered = np.concatenate([grams[~known], grams[known]])
+                parts = [grams[~known], grams[known]]
+                if marked is not None:
+                    at = (parts[0] >> np.uint64(64 - MARK_BITS)).view(np.int64)
+                    late = (marked[at >> 3] >> (at & 7) & 1).astype(bool)
+                    parts[:1] = parts[0][~late], parts[0][late]
+                ordered = np.concatenate(parts)
                 leading.append(_longs(ordered[: len(grams) - need(len(grams), percent) + 1]))
             yield pa.record_batch(
                 [
@@ -173,17 +190,16 @@ def prefixes(docs: DataFrame, key: str, text: str, size: int, percent: int, comm
     return named.mapInArrow(scan, f"`{key}` {kind}, name string, n long, s1 long, s2 long, prefix array<long>, parity array<long>")
 
 
-def _bits(keys: DataFrame) -> np.ndarray:
-    """A bit for each value of ``id`` in a map of fixed size; others may share it."""
-    place = F.pmod(F.xxhash64("id"), F.lit(1 << BITMAP_BITS))
+def _bits(rows: DataFrame, place: Column, bits: int) -> np.ndarray:
+    """A map of fixed size with a bit for each place of the rows, a number below two to the ``bits``."""
     # The functions count values from 1 on.
-    at = keys.select((place + 1).alias("at")).groupBy(F.expr("bitmap_bucket_number(at)").alias("bucket"))
-    rows = at.agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("bits")).collect()
-    bits = np.zeros(1 << BITMAP_BITS >> 3, np.uint8)
-    for r in rows:
+    at = rows.select((place + 1).alias("at")).groupBy(F.expr("bitmap_bucket_number(at)").alias("bucket"))
+    found = at.agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("bits")).collect()
+    whole = np.zeros(1 << bits >> 3, np.uint8)
+    for r in found:
         start = (r["bucket"] - 1) * 4096
-        bits[start : start + 4096] = np.frombuffer(r["bits"], np.uint8)
-    return bits
+        whole[start : start + 4096] = np.frombuffer(r["bits"], np.uint8)
+    return whole
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
@@ -191,7 +207,8 @@ def sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
 
     A map of bits keeps most other documents' sets from being made; a join by id and set removes the rest.
     """
-    bits = _bits(nodes)
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << BITMAP_BITS))
+    bits = _bits(nodes, place, BITMAP_BITS)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, SLICE_BYTES, "text"):
@@ -216,7 +233,6 @@ def sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
                 names=["id", "s1", "s2", "block", "grams"],
             )
 
-    place = F.pmod(F.xxhash64("id"), F.lit(1 << BITMAP_BITS))
     kind = docs.schema["id"].dataType.simpleString()
     rows = docs.filter("id is not null").select("id", "text", place.alias("_at"))
     made = rows.mapInArrow(scan, f"id {kind}, s1 long, s2 long, block int, grams array<long>")
@@ -273,16 +289,22 @@ class Tries:
         if self.tried is not None:
             pairs = pairs.join(self.tried.select("a", "b"), ["a", "b"], "left_anti")
         for end in ("a", "b"):
-            pairs = pairs.join(self.kept.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("prefix").alias(f"_{end}")), end)
+            pairs = pairs.join(self.kept.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("parity").alias(f"_{end}")), end)
+        # Sizes and parities first, so that few prefixes are met.
+        near = may_link("na", "nb", self.percent) & alike("_a", "_b", "na", "nb", self.percent)
+        pairs = materialize(pairs.filter(near).select("a", "b", "na", "nb"))
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        leading = materialize(self.kept.select("node", "prefix").join(key_set(ends), "node", "left_semi"))
+        for end in ("a", "b"):
+            pairs = pairs.join(leading.select(F.col("node").alias(end), F.col("prefix").alias(f"_{end}")), end)
         most = F.size(F.array_intersect("_a", "_b")) + F.expr(f"(greatest(na, nb) * {self.percent} + 99) div 100") - 1
-        reach = linked(most, F.col("na"), F.col("nb"), self.percent)
-        return materialize(pairs.filter(may_link("na", "nb", self.percent) & reach).select("a", "b", "na", "nb"))
+        return materialize(pairs.filter(linked(most, F.col("na"), F.col("nb"), self.percent)).select("a", "b", "na", "nb"))
 
     def run(self, pairs: DataFrame) -> tuple[int, int]:
         """Multiplies those that may link; the number of pairs tried and of new links."""
         pairs = self.hopeful(pairs)
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        nodes = materialize(ends.join(self.classes.select("node", "id", "s1", "s2"), "node"))
+        nodes = materialize(self.classes.select("node", "id", "s1", "s2").join(key_set(ends), "node", "left_semi"))
         found = materialize(multiply(pairs, sets_of(self.docs, nodes, self.size), self.percent))
         self.tried = pairs if self.tried is None else self.tried.union(pairs)
         self.links = found if self.links is None else self.links.union(found)
