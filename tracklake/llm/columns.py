@@ -40,6 +40,8 @@ def slices(batches: Iterator[pa.RecordBatch], most: int, text: str = "text") ->
         for start, end in zip(cuts, cuts[1:]):
             if end > start:
                 yield batch.slice(start, end - start)
+    # The worker waits for other tasks; what it read goes back to the system.
+    pa.default_memory_pool().release_unused()
 
 
 def usable_vector(column: str) -> Column:

@@ -6,8 +6,6 @@ polynomial in its bytes, taken from running sums, so that numpy works on whole c
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -26,17 +24,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up = np.full(n + 1, BASE, np.uint64)
-    down = np.full(n + 1, pow(BASE, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+_powers: list[np.ndarray] = []
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse up to at least n."""
-    return _powers(max(1 << 20, 1 << n.bit_length()))
+def powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse up to at least n; a worker keeps one table of them."""
+    if not _powers or len(_powers[0]) <= n:
+        size = max(1 << 20, 1 << n.bit_length()) + 1
+        up, down = np.full(size, BASE, np.uint64), np.full(size, pow(BASE, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        _powers[:] = np.cumprod(up, out=up), np.cumprod(down, out=down)
+    return _powers
 
 
 def word_bounds(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
