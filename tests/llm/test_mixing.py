@@ -45,3 +45,19 @@ def test_edge_rows(spark):
     assert len({r._kept for r in got if r.doc_id == 2}) == 1
     assert mixed.columns[:5] == docs.columns
     assert mixing.with_mixture(docs.limit(0), sweeps=2).count() == 0
+
+
+def test_a_sweep_joins_its_sums_alone(spark, monkeypatch):
+    """Targets are joined once; a sweep has one join for each dimension, and a value without a target keeps its weight."""
+    rows = [("a", "en", "x", 30), ("a", "de", "y", 10), ("b", "en", "y", 60), ("b", "fr", "x", 7)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    targets = {"source": spark.createDataFrame([("a", 0.6), ("b", 0.4), ("c", 0.1)], "source string, target double"), "lang": spark.createDataFrame([("en", 0.7), ("de", 0.2)], "lang string, target double")}
+    plans = []
+    store = mixing.materialize
+    monkeypatch.setattr(mixing, "materialize", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or store(df))
+    got = {(r.source, r.lang): r.weight for r in mixing.rake(cells, targets, 1).collect()}
+    a, b = 107 * 0.6 / 40, 107 * 0.4 / 67
+    en, de = 107 * 0.7 / (30 * a + 60 * b), 107 * 0.2 / (10 * a)
+    assert got == pytest.approx({("a", "en"): 30 * a * en, ("a", "de"): 10 * a * de, ("b", "en"): 60 * b * en, ("b", "fr"): 7 * b})
+    # The second sum is over the first join, which therefore is named twice.
+    assert plans[-1].count("Join ") == 3

@@ -45,20 +45,23 @@ def tempered(cells: DataFrame, dimension: str, power: float) -> DataFrame:
 def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS) -> DataFrame:
     """Adds ``weight``: the cells' tokens fitted to the target shares, which may not add up to one.
 
-    Each step is one sum per value of a dimension, joined back. A sweep is a written table; cells number
-    at most the product of the dimensions' values that occur, far fewer than documents. A value without a
-    target keeps its weight.
+    Each step is one sum per value of a dimension, joined back; targets are joined once, before all sweeps. A
+    sweep is a written table; cells number at most the product of the dimensions' values that occur, far fewer
+    than documents. A value without a target keeps its weight.
     """
     total = F.lit(float(cells.agg(F.sum("tokens")).first()[0] or 0))
     now = cells.withColumn("weight", F.col("tokens").cast("double"))
+    for dimension, target in targets.items():
+        now = now.join(target.select(dimension, F.col("target").alias(f"_t_{dimension}")), dimension, "left")
+    now = materialize(now)
     for _ in range(sweeps):
-        for dimension, target in targets.items():
-            sums = now.groupBy(dimension).agg(F.sum("weight").alias("_sum")).join(target, dimension)
-            factors = sums.select(dimension, (F.col("target") * total / F.col("_sum")).alias("_factor"))
+        for dimension in targets:
+            sums = now.groupBy(dimension).agg(F.sum("weight").alias("_sum"), F.first(f"_t_{dimension}").alias("_target"))
+            factors = sums.select(dimension, (F.col("_target") * total / F.col("_sum")).alias("_factor"))
             now = now.join(factors, dimension, "left")
             now = now.withColumn("weight", F.col("weight") * F.coalesce("_factor", F.lit(1.0))).drop("_factor")
         now = materialize(now)
-    return now
+    return now.select(*cells.columns, "weight")
 
 
 def draw(key: str, seed: int) -> Column:
