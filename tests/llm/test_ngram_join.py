@@ -176,3 +176,44 @@ def test_sets_with_grams_of_their_own_meet_no_others(spark):
     leads = Counter(r.gram for r in found)
     assert len({r.id for r in found}) == 60
     assert sum(n > 1 for n in leads.values()) < 0.1 * len(leads)
+
+
+def test_rarest_of_common_grams_lead(spark):
+    """Texts of common words alone lead with those that fewest have."""
+    rows = [(k, " ".join([f"own{k}"] + [f"all{i}" for i in range(10)] + [f"some{k % 10}x{i}" for i in range(10)])) for k in range(200)]
+    docs = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    found = ngram_join.leading_grams(docs, "id", "text", 1, 85).selectExpr("id", "explode(prefix) as gram").collect()
+    assert len({r.id for r in found}) == 200
+    assert max(Counter(r.gram for r in found).values()) == 20
+
+
+def test_grams_that_lead_alone_are_left_out(spark):
+    own = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    rows = [(k, f"{own(k, 50)} {own(1000 + k // 2, 30 * (k % 3))}") for k in range(60)] + [(100, ""), (101, None), (102, own(1, 50))]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(5)
+    whole = ngram_join.materialize(ngram_join.prefixes(docs, "id", "text", 2, 60, (np.zeros(0, np.uint64), np.zeros(0, np.int8))))
+    prefix = {r.id: r.prefix for r in whole.collect() if r.n}
+    times = Counter(g for grams in prefix.values() for g in grams)
+    some = ngram_join.shared_leading(whole.filter("n > 0")).collect()
+    assert {r.id for r in some} == set(prefix)
+    for r in some:
+        assert [prefix[r.id][k] for k in r.places] == r.prefix
+        assert set(r.prefix) >= {g for g in prefix[r.id] if times[g] > 1}
+    assert sum(times[g] == 1 for r in some for g in r.prefix) < 0.1 * sum(n == 1 for n in times.values())
+
+
+def test_group_near_the_bound_is_not_paired(spark, monkeypatch):
+    """Of a group of which many pairs almost link, few are multiplied."""
+    draw = random.Random(2)
+    rows = []
+    for k in range(400):
+        words = [f"w{i}" for i in range(100)]
+        for i in draw.sample(range(100), draw.choice([5, 6, 6])):
+            words[i] = f"e{k}x{i}"
+        rows.append((k, " ".join(words)))
+    pairs = []
+    multiply = ngram_join.multiply
+    monkeypatch.setattr(ngram_join, "multiply", lambda frame, *more: pairs.append(frame.count()) or multiply(frame, *more))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert result(ngram_join.near_duplicates(frame, 1, 85)) == brute_force(rows, 1, 85)
+    assert sum(pairs) < 20 * len(rows), pairs

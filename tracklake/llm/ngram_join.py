@@ -3,7 +3,7 @@
 Documents with equal sets are one node. Which pairs of rows of the incidence are multiplied follows from
 sizes: of a set of n grams, a linked set holds at least need(n), so in any common order of the grams two
 linked sets share one among the first n - need(n) + 1. The order puts grams that many documents share
-last. Nodes that share such a gram are multiplied: the columns are dealt in blocks of the gram's value,
+last, the most frequent of all behind the others. Nodes that share such a gram are multiplied: the columns are dealt in blocks of the gram's value,
 overlaps are added up over the blocks, and a pair goes as soon as what is left cannot reach the bound.
 
 Groups are not expanded into pairs. First each node is multiplied with up to three others, those with
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,13 +44,16 @@ BLOCKS = 4
 #: 64-bit words of a set's parities. From about 800 grams on, sets may differ in more grams than there are bits.
 PARITY_WORDS = 4
 BITMAP_BITS = 24
-#: Bits of the map of grams that lead in several documents: 16 MB for each task, however many grams there are.
-MARK_BITS = 27
+#: Bits of a map of grams that lead in several documents: as many for each gram at least, but 16 MB for each task
+#: at most, however many grams there are. Places that grams share move work, never results.
+MARK_SPARE, MARK_LEAST, MARK_BITS = 5, 16, 27
 #: Tries go on while pairs across clusters are more than so many times the rows of leading grams, and while
 #: a round links at least this share of the nodes it tries. Both move work, never results.
 CROSS_MOST, PROGRESS = 2, 0.05
 #: A turn that leaves more than this share of the rows across clusters is the last; that too only moves work.
 CROSS_FALL = 0.9
+#: From more pairs than so many for each node on, they are multiplied by turns; that too only moves work.
+PAIRS_MOST = 4
 
 
 def text_name(text: str) -> Column:
@@ -65,8 +69,8 @@ def _longs(grams: np.ndarray) -> np.ndarray:
     return grams.view(np.int64)
 
 
-def common_grams(docs: DataFrame, text: str, size: int) -> np.ndarray:
-    """The most frequent grams, ascending: counted per task, over distinct sets, and summed.
+def common_grams(docs: DataFrame, text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent grams, ascending, and their levels: counted per task, over distinct sets, and summed.
 
     At most ``COMMON_MOST``, so what each task gets of them is bounded.
     """
@@ -107,9 +111,12 @@ def common_grams(docs: DataFrame, text: str, size: int) -> np.ndarray:
     return _most_frequent(counted)
 
 
-def _most_frequent(counted: DataFrame) -> np.ndarray:
-    """The grams of a stored table (gram, n), ascending; the most frequent of them if they are too many."""
-    # Quarter powers of two, from the largest on, as long as their grams are not too many together.
+def _most_frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of a stored table (gram, n), ascending, and their levels; the most frequent if they are too many.
+
+    A level is a quarter power of two of how often a gram was counted.
+    """
+    # From the largest level on, as long as their grams are not too many together.
     level = F.floor(F.log2("n") * 4).cast("int")
     total, least = 0, None
     for r in counted.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
@@ -118,13 +125,16 @@ def _most_frequent(counted: DataFrame) -> np.ndarray:
             break
         least = r["level"]
     common = counted.filter(level >= least if least is not None else F.lit(False))
-    found = common.select("gram").toArrow().column(0).to_numpy().view(np.uint64)
-    return np.sort(found)  # as unsigned numbers, the order of every set
+    found = common.select("gram", level.cast("tinyint").alias("level")).toArrow()
+    grams = found.column(0).to_numpy().view(np.uint64)
+    order = np.argsort(grams)  # as unsigned numbers, the order of every set
+    return grams[order], found.column(1).to_numpy()[order]
 
 
 def leading_grams(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
     """Prefixes in an order that puts last what tasks see often, and what then still leads in many sets.
 
+    Of these the rarest come first, so that a set that has no other grams leads with those few sets share.
     Before those, and behind all others, come grams that lead in two documents or more, so that a set with
     enough grams of its own has only those in its prefix and meets no other. They are told to tasks by a map of
     bits; others may share a bit, which moves them in the order for all documents alike.
@@ -133,7 +143,51 @@ def leading_grams(docs: DataFrame, key: str, text: str, size: int, percent: int)
     first = prefixes(docs, key, text, size, percent, common).select(F.explode("prefix").alias("gram"))
     shared = materialize(first.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     often = _most_frequent(shared.filter(F.col("n") > LEADING_MOST))
-    return prefixes(docs, key, text, size, percent, np.union1d(common, often), _bits(shared, F.shiftrightunsigned("gram", 64 - MARK_BITS), MARK_BITS))
+    late = np.union1d(common[0], often[0])
+    levels = np.zeros(len(late), np.int8)
+    for grams, level in (common, often):
+        at = np.searchsorted(late, grams)
+        levels[at] = np.maximum(levels[at], level)
+    return prefixes(docs, key, text, size, percent, (late, levels), _marks(shared))
+
+
+def _marks(grams: DataFrame) -> np.ndarray:
+    """A map of bits of the grams of a stored table, by their first bits."""
+    bits = min(MARK_BITS, max(MARK_LEAST, grams.count().bit_length() + MARK_SPARE))
+    return _bits(grams, F.shiftrightunsigned("gram", 64 - bits), bits)
+
+
+def _marked(grams: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Which grams have their bit in a map."""
+    at = (grams >> np.uint64(62 - len(marks).bit_length())).view(np.int64)
+    return (marks[at >> 3] >> (at & 7) & 1).astype(bool)
+
+
+def shared_leading(found: DataFrame) -> DataFrame:
+    """Of prefixes the grams that lead in another document too, with their places; others meet nothing.
+
+    ``found`` is a stored table of ``prefixes``; instead of prefix there are prefix and places. Grams that lead in
+    two documents are told to tasks by a map of bits, so some others stay.
+    """
+    grams = found.select(F.explode("prefix").alias("gram"))
+    marks = _marks(materialize(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")))
+    columns = [c for c in found.columns if c != "prefix"]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prefix = batch.column(len(columns))
+            grams = prefix.flatten().to_numpy().view(np.uint64)
+            sizes = pc.list_value_length(prefix).to_numpy()
+            places = np.arange(len(grams)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            stays = _marked(grams, marks)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(np.repeat(np.arange(len(sizes)), sizes)[stays], minlength=len(sizes)))])
+            made = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(v[stays], t)) for v, t in ((_longs(grams), pa.int64()), (places, pa.int32()))]
+            yield pa.record_batch(batch.columns[:-1] + made, names=[*columns, "prefix", "places"])
+        # As slices() does: what a worker read goes back to the system.
+        pa.default_memory_pool().release_unused()
+
+    kinds = ", ".join(f"`{c}` {found.schema[c].dataType.simpleString()}" for c in columns)
+    return found.select(*columns, "prefix").mapInArrow(scan, f"{kinds}, prefix array<long>, places array<int>")
 
 
 def parities(grams: np.ndarray) -> np.ndarray:
@@ -150,13 +204,14 @@ def alike(a: str, b: str, na: str, nb: str, percent: int) -> Column:
 
 
 def prefixes(
-    docs: DataFrame, key: str, text: str, size: int, percent: int, common: np.ndarray, marked: np.ndarray | None = None
+    docs: DataFrame, key: str, text: str, size: int, percent: int, common: tuple[np.ndarray, np.ndarray], marked: np.ndarray | None = None
 ) -> DataFrame:
     """Per document: ``key``, name, n (size of its set), s1 and s2 (the set's name), prefix (its leading grams), parity.
 
-    Grams come by their values, those in ``common`` after all others, and before them those whose bit is set
-    in ``marked``, a map by the grams' first bits.
+    Grams come by their values, those in ``common`` after all others by their levels, and before them those whose
+    bit is set in ``marked``, a map by the grams' first bits.
     """
+    often, levels = common
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, SLICE_BYTES, text):
@@ -164,12 +219,11 @@ def prefixes(
             names = [signature(s) for s in sets]
             leading = []
             for grams in sets:
-                at = np.minimum(np.searchsorted(common, grams), max(0, len(common) - 1))
-                known = common[at] == grams if len(common) else np.zeros(len(grams), bool)
-                parts = [grams[~known], grams[known]]
+                at = np.minimum(np.searchsorted(often, grams), max(0, len(often) - 1))
+                known = often[at] == grams if len(often) else np.zeros(len(grams), bool)
+                parts = [grams[~known], grams[known][np.argsort(levels[at[known]], kind="stable")]]
                 if marked is not None:
-                    at = (parts[0] >> np.uint64(64 - MARK_BITS)).view(np.int64)
-                    late = (marked[at >> 3] >> (at & 7) & 1).astype(bool)
+                    late = _marked(parts[0], marked)
                     parts[:1] = parts[0][~late], parts[0][late]
                 ordered = np.concatenate(parts)
                 leading.append(_longs(ordered[: len(grams) - need(len(grams), percent) + 1]))
@@ -301,8 +355,35 @@ class Tries:
         return materialize(pairs.filter(linked(most, F.col("na"), F.col("nb"), self.percent)).select("a", "b", "na", "nb"))
 
     def run(self, pairs: DataFrame) -> tuple[int, int]:
-        """Multiplies those that may link; the number of pairs tried and of new links."""
-        pairs = self.hopeful(pairs)
+        """Multiplies those that may link; the number of pairs tried and of new links.
+
+        While nodes have many pairs, one of each is drawn and multiplied first: what it joins to one cluster
+        needs no other pair.
+        """
+        pairs, tried, new = self.hopeful(pairs), 0, 0
+        while True:
+            both = pairs.select(F.col("a").alias("node"), "*").union(pairs.select("b", "*"))
+            drawn = both.groupBy("node").agg(F.min_by(F.struct("a", "b", "na", "nb"), F.xxhash64("a", "b")).alias("pair"))
+            drawn = materialize(drawn)
+            if pairs.count() <= PAIRS_MOST * drawn.count():
+                break
+            times, found = self._run(materialize(drawn.select("pair.*").distinct()))
+            tried, new = tried + times, new + found
+            pairs = materialize(self._apart(pairs.join(self.tried.select("a", "b"), ["a", "b"], "left_anti")))
+            if found <= PROGRESS * times:
+                break
+        times, found = self._run(pairs)
+        return tried + times, new + found
+
+    def _apart(self, pairs: DataFrame) -> DataFrame:
+        """Pairs whose ends the links so far don't join."""
+        clusters = materialize(components(self.links, "a", "b"))
+        for end in ("a", "b"):
+            pairs = pairs.join(clusters.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")), end, "left")
+        apart = F.coalesce("_a", "a") != F.coalesce("_b", "b")
+        return pairs.filter(apart).select("a", "b", "na", "nb")
+
+    def _run(self, pairs: DataFrame) -> tuple[int, int]:
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         nodes = materialize(self.classes.select("node", "id", "s1", "s2").join(key_set(ends), "node", "left_semi"))
         found = materialize(multiply(pairs, sets_of(self.docs, nodes, self.size), self.percent))
@@ -318,25 +399,29 @@ def _best(stars: DataFrame) -> DataFrame:
     return best.select(F.least("node", "best.leader").alias("a"), F.greatest("node", "best.leader").alias("b"))
 
 
-def _placed(rows: DataFrame, tries: Tries) -> tuple[DataFrame, DataFrame, int]:
-    """Rows with their cluster, each gram's largest cluster, and a bound on the rows of pairs across."""
+def _placed(rows: DataFrame, tries: Tries) -> tuple[DataFrame, int]:
+    """Rows of grams of several clusters, and a bound on the rows of pairs across.
+
+    They bear their cluster, the gram's largest, main, and whether the gram's pairs across outgrow its rows, wide.
+    """
     clusters = materialize(components(tries.links, "a", "b"))
     placed = rows.join(clusters, "node", "left").withColumn("cluster", F.coalesce("component", "node"))
     placed = materialize(placed.select("gram", "node", "n", "place", "cluster"))
     counts = placed.groupBy("gram", "cluster").agg(F.count(F.lit(1)).alias("c"))
     main = counts.groupBy("gram").agg(F.max(F.struct("c", "cluster")).alias("most"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("clusters"))
-    main = materialize(main.filter("clusters > 1").select("gram", F.col("most.cluster").alias("main"), ((F.col("c") - F.col("most.c")) * F.col("c")).alias("cross")))
-    return placed, main, main.agg(F.sum("cross")).first()[0] or 0
+    main = materialize(main.filter("clusters > 1").select("gram", F.col("most.cluster").alias("main"), ((F.col("c") - F.col("most.c")) * F.col("c")).alias("cross"), (F.col("c") - F.col("most.c") > CROSS_MOST).alias("wide")))
+    mixed = materialize(placed.join(main.drop("cross"), "gram"))
+    return mixed, main.agg(F.sum("cross")).first()[0] or 0
 
 
-def _again(placed: DataFrame, main: DataFrame, links: DataFrame, turn: int) -> DataFrame:
+def _again(mixed: DataFrame, links: DataFrame, turn: int) -> DataFrame:
     """Fresh tries for nodes outside the largest cluster of a gram, each with two members of it."""
+    mixed = mixed.filter("wide")
     degrees = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-    mixed = placed.join(main, "gram").join(degrees, "node", "left")
-    inside = mixed.filter("cluster = main").groupBy("gram").agg(
+    inside = mixed.filter("cluster = main").join(degrees, "node", "left").groupBy("gram").agg(
         F.max_by("node", F.coalesce("degree", F.lit(0))).alias("hub"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("drawn")
     )
-    outer = mixed.filter("cluster <> main").join(inside, "gram")
+    outer = materialize(mixed.filter("cluster <> main").select("gram", "node").join(inside, "gram"))
     ways = [_best(outer.select("node", F.col(way).alias("leader"))) for way in ("hub", "drawn")]
     return ways[0].union(ways[1]).distinct()
 
@@ -349,12 +434,13 @@ def grouped(docs: DataFrame, size: int, percent: int, key: str, text: str) -> Da
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     found = materialize(leading_grams(docs, "id", "text", size, percent))
     usable = found.filter("n > 0 and id is not null")
-    classes = usable.groupBy("n", "s1", "s2").agg(F.min("id").alias("id")).withColumn("node", F.monotonically_increasing_id())
-    classes = materialize(classes)
-    kept = usable.join(classes, ["id", "n", "s1", "s2"]).dropDuplicates(["node"])
-    kept = materialize(kept.select("node", F.col("n").cast("int").alias("n"), "prefix", "parity"))
+    leading = shared_leading(usable.select("id", "n", "s1", "s2", "prefix", "parity"))
+    # Equal sets have equal prefixes, so those move once, and only what of them another set may have.
+    same = [F.first(c).alias(c) for c in ("prefix", "places", "parity")]
+    classes = materialize(leading.groupBy("n", "s1", "s2").agg(F.min("id").alias("id"), *same).withColumn("node", F.monotonically_increasing_id()))
+    kept = classes.select("node", F.col("n").cast("int").alias("n"), "prefix", "places", "parity")
 
-    rows = kept.select("node", "n", F.posexplode("prefix").alias("place", "gram"))
+    rows = kept.select("node", "n", F.inline(F.arrays_zip("prefix", "places")).alias("gram", "place"))
     # Three nodes of a gram to try others with: its first, its last, and one that a hash gives.
     mixed = F.xxhash64("node")
     shared = rows.groupBy("gram").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.min_by("node", mixed).alias("drawn"))
@@ -364,19 +450,20 @@ def grouped(docs: DataFrame, size: int, percent: int, key: str, text: str) -> Da
     ways = [_best(rows.select("node", F.col(way).alias("leader"))) for way in ("first", "last", "drawn")]
     tries.run(ways[0].union(ways[1]).union(ways[2]).distinct())
     rows = rows.select("gram", "node", "n", "place")
-    placed, main, cross = _placed(rows, tries)
+    mixed, cross = _placed(rows, tries)
     whole, turn, more = rows.count(), 1, True
     while more and cross > CROSS_MOST * whole:
-        tried, new = tries.run(_again(placed, main, tries.links, turn))
+        tried, new = tries.run(_again(mixed, tries.links, turn))
         more, turn, before = new > PROGRESS * tried, turn + 1, cross
         if new:
-            placed, main, cross = _placed(rows, tries)
+            # A gram of one cluster stays so.
+            mixed, cross = _placed(mixed.select(*rows.columns), tries)
         # Where a gram leads in many texts that don't link, further turns join no clusters of it.
         more = more and cross < CROSS_FALL * before
 
     # Linked sets share a gram first of all whose places leave room for the overlap they need. Of each pair
     # of clusters of a gram one at least is not the largest.
-    mixed = placed.join(main, "gram").join(kept.select("node", "parity"), "node")
+    mixed = mixed.join(kept.select("node", "parity"), "node")
     columns = ("node", "n", "place", "cluster", "parity")
     side = lambda frame, x: frame.select("gram", "main", *[F.col(c).alias(f"{c}_{x}") for c in columns])
     left = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
@@ -387,7 +474,7 @@ def grouped(docs: DataFrame, size: int, percent: int, key: str, text: str) -> Da
     tries.run(across.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct())
 
     whole = components(materialize(tries.links), "a", "b")
-    named = materialize(classes.join(whole, "node", "left").withColumn("group", F.coalesce("component", "node")))
+    named = materialize(classes.select("node", "n", "s1", "s2", "id").join(whole, "node", "left").withColumn("group", F.coalesce("component", "node")))
     lowest = named.groupBy("group").agg(F.min("id").alias("component_id"))
     of_class = named.join(lowest, "group").select("n", "s1", "s2", "group", "component_id")
     narrow = found.select("id", "name", "n", "s1", "s2")
