@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 
 from tracklake.llm import ngram_join, queries, shingles
+from tracklake.llm import components as connected
 from tracklake.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -217,3 +218,34 @@ def test_group_near_the_bound_is_not_paired(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert result(ngram_join.near_duplicates(frame, 1, 85)) == brute_force(rows, 1, 85)
     assert sum(pairs) < 20 * len(rows), pairs
+
+
+def test_few_links_take_no_rounds(spark, monkeypatch):
+    """A small graph is stored once, however long its chains are; a large one takes rounds and gives the same."""
+    edges = [(k, k + 1) for k in range(60)] + [(200 - k, 199 - k) for k in range(70)] + [(300, k) for k in range(301, 360)] + [(5, 5), (None, 7)]
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    stored = []
+    materialize = connected.materialize
+    monkeypatch.setattr(connected, "materialize", lambda frame: stored.append(1) or materialize(frame))
+    few = {r.node: r.component for r in components(frame, "a", "b").collect()}
+    assert len(stored) == 1
+    assert few == {k: 0 for k in range(61)} | {k: 130 for k in range(130, 201)} | {k: 300 for k in range(300, 360)}
+    monkeypatch.setattr(connected, "FEW_EDGES", -1)
+    monkeypatch.setattr(connected, "FOREST_ROWS", 3)
+    rounds = components(frame, "a", "b").collect()
+    assert {r.node: r.component for r in rounds} == few and len(rounds) == len(few) and len(stored) > 4
+    texts = components(frame.selectExpr("string(a + 1000) as a", "string(b + 1000) as b"), "a", "b").collect()
+    assert {int(r.node) - 1000: int(r.component) - 1000 for r in texts} == few
+
+
+def test_links_are_joined_once(spark, monkeypatch):
+    """Clusters are computed again for new links only, and no pairs take no multiplication."""
+    rows = [(k, " ".join(f"w{i}" for i in range(30)) + f" {'ab'[k % 2]}{k // 2}") for k in range(40)] + [(100 + k, f"x{k}") for k in range(9)]
+    calls, sizes = [], []
+    whole, multiply = ngram_join.components, ngram_join.multiply
+    monkeypatch.setattr(ngram_join, "components", lambda *a: calls.append(1) or whole(*a))
+    monkeypatch.setattr(ngram_join, "multiply", lambda pairs, *a: sizes.append(pairs.count()) or multiply(pairs, *a))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert result(ngram_join.near_duplicates(frame, 2, 80)) == brute_force(rows, 2, 80)
+    assert len(calls) == 1
+    assert len(sizes) == 1 and sizes[0]

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tracklake.llm.columns import slices, text_bytes
 from tracklake.llm.components import components
 from tracklake.llm.shingles import mix, shingle_sets, signature
-from tracklake.operators.keys import key_set
+from tracklake.operators.keys import broadcast_if_small, key_set
 from tracklake.session import materialize
 
 SLICE_BYTES = 1 << 19
@@ -333,6 +333,13 @@ class Tries:
         self.docs, self.classes, self.kept, self.size, self.percent = docs, classes, kept, size, percent
         self.tried: DataFrame | None = None
         self.links: DataFrame | None = None
+        self._clusters: DataFrame | None = None
+
+    def clusters(self) -> DataFrame:
+        """(node, component) of the links so far, computed once for them."""
+        if self._clusters is None:
+            self._clusters = materialize(components(self.links, "a", "b"))
+        return self._clusters
 
     def hopeful(self, pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b), a below b, the new ones that may reach the bound: a, b, na, nb.
@@ -362,41 +369,48 @@ class Tries:
         """
         pairs, tried, new = self.hopeful(pairs), 0, 0
         while True:
+            whole = pairs.count()
+            if not whole and self.links is not None:
+                return tried, new
             both = pairs.select(F.col("a").alias("node"), "*").union(pairs.select("b", "*"))
             drawn = both.groupBy("node").agg(F.min_by(F.struct("a", "b", "na", "nb"), F.xxhash64("a", "b")).alias("pair"))
             drawn = materialize(drawn)
-            if pairs.count() <= PAIRS_MOST * drawn.count():
+            ends = broadcast_if_small(drawn.select("node"))
+            if whole <= PAIRS_MOST * drawn.count():
                 break
-            times, found = self._run(materialize(drawn.select("pair.*").distinct()))
+            times, found = self._run(materialize(drawn.select("pair.*").distinct()), ends)
             tried, new = tried + times, new + found
             pairs = materialize(self._apart(pairs.join(self.tried.select("a", "b"), ["a", "b"], "left_anti")))
             if found <= PROGRESS * times:
                 break
-        times, found = self._run(pairs)
+        times, found = self._run(pairs, ends)
         return tried + times, new + found
 
     def _apart(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose ends the links so far don't join."""
-        clusters = materialize(components(self.links, "a", "b"))
         for end in ("a", "b"):
-            pairs = pairs.join(clusters.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")), end, "left")
+            pairs = pairs.join(self.clusters().select(F.col("node").alias(end), F.col("component").alias(f"_{end}")), end, "left")
         apart = F.coalesce("_a", "a") != F.coalesce("_b", "b")
         return pairs.filter(apart).select("a", "b", "na", "nb")
 
-    def _run(self, pairs: DataFrame) -> tuple[int, int]:
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        nodes = materialize(self.classes.select("node", "id", "s1", "s2").join(key_set(ends), "node", "left_semi"))
+    def _run(self, pairs: DataFrame, ends: DataFrame) -> tuple[int, int]:
+        """Multiplies pairs whose ends are the nodes ``ends``."""
+        nodes = materialize(self.classes.select("node", "id", "s1", "s2").join(ends, "node", "left_semi"))
         found = materialize(multiply(pairs, sets_of(self.docs, nodes, self.size), self.percent))
+        times, new = pairs.count(), found.count()
         self.tried = pairs if self.tried is None else self.tried.union(pairs)
-        self.links = found if self.links is None else self.links.union(found)
-        return pairs.count(), found.count()
+        if self.links is None or new:
+            self.links = found if self.links is None else self.links.union(found)
+            self._clusters = None
+        return times, new
 
 
-def _best(stars: DataFrame) -> DataFrame:
-    """For each node the pair with the leader it shares most leading grams with; ``stars`` has node, leader."""
-    common = stars.filter("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("common"))
-    best = common.groupBy("node").agg(F.max(F.struct("common", "leader")).alias("best"))
-    return best.select(F.least("node", "best.leader").alias("a"), F.greatest("node", "best.leader").alias("b"))
+def _best(rows: DataFrame, *ways: str) -> DataFrame:
+    """For each node and way the pair with the leader it shares most leading grams with; ``ways`` name leaders."""
+    stars = rows.select("node", F.inline(F.array(*[F.struct(F.lit(k).alias("way"), F.col(w).alias("leader")) for k, w in enumerate(ways)])))
+    common = stars.filter("node <> leader").groupBy("node", "way", "leader").agg(F.count(F.lit(1)).alias("common"))
+    best = common.groupBy("node", "way").agg(F.max(F.struct("common", "leader")).alias("best"))
+    return best.select(F.least("node", "best.leader").alias("a"), F.greatest("node", "best.leader").alias("b")).distinct()
 
 
 def _placed(rows: DataFrame, tries: Tries) -> tuple[DataFrame, int]:
@@ -404,8 +418,7 @@ def _placed(rows: DataFrame, tries: Tries) -> tuple[DataFrame, int]:
 
     They bear their cluster, the gram's largest, main, and whether the gram's pairs across outgrow its rows, wide.
     """
-    clusters = materialize(components(tries.links, "a", "b"))
-    placed = rows.join(clusters, "node", "left").withColumn("cluster", F.coalesce("component", "node"))
+    placed = rows.join(tries.clusters(), "node", "left").withColumn("cluster", F.coalesce("component", "node"))
     placed = materialize(placed.select("gram", "node", "n", "place", "cluster"))
     counts = placed.groupBy("gram", "cluster").agg(F.count(F.lit(1)).alias("c"))
     main = counts.groupBy("gram").agg(F.max(F.struct("c", "cluster")).alias("most"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("clusters"))
@@ -421,9 +434,7 @@ def _again(mixed: DataFrame, links: DataFrame, turn: int) -> DataFrame:
     inside = mixed.filter("cluster = main").join(degrees, "node", "left").groupBy("gram").agg(
         F.max_by("node", F.coalesce("degree", F.lit(0))).alias("hub"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("drawn")
     )
-    outer = materialize(mixed.filter("cluster <> main").select("gram", "node").join(inside, "gram"))
-    ways = [_best(outer.select("node", F.col(way).alias("leader"))) for way in ("hub", "drawn")]
-    return ways[0].union(ways[1]).distinct()
+    return _best(mixed.filter("cluster <> main").select("gram", "node").join(inside, "gram"), "hub", "drawn")
 
 
 def grouped(docs: DataFrame, size: int, percent: int, key: str, text: str) -> DataFrame:
@@ -447,8 +458,7 @@ def grouped(docs: DataFrame, size: int, percent: int, key: str, text: str) -> Da
     rows = materialize(rows.join(shared.filter("first <> last"), "gram"))
 
     tries = Tries(docs, classes, kept, size, percent)
-    ways = [_best(rows.select("node", F.col(way).alias("leader"))) for way in ("first", "last", "drawn")]
-    tries.run(ways[0].union(ways[1]).union(ways[2]).distinct())
+    tries.run(_best(rows, "first", "last", "drawn"))
     rows = rows.select("gram", "node", "n", "place")
     mixed, cross = _placed(rows, tries)
     whole, turn, more = rows.count(), 1, True
@@ -473,7 +483,7 @@ def grouped(docs: DataFrame, size: int, percent: int, key: str, text: str) -> Da
     across = across.filter(apart & room & may_link("n_x", "n_y", percent) & alike("parity_x", "parity_y", "n_x", "n_y", percent))
     tries.run(across.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct())
 
-    whole = components(materialize(tries.links), "a", "b")
+    whole = tries.clusters()
     named = materialize(classes.select("node", "n", "s1", "s2", "id").join(whole, "node", "left").withColumn("group", F.coalesce("component", "node")))
     lowest = named.groupBy("group").agg(F.min("id").alias("component_id"))
     of_class = named.join(lowest, "group").select("n", "s1", "s2", "group", "component_id")
