@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,14 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], ends - ends[0]
 
 
+def give_back() -> None:
+    """What a worker has read and freed goes back to the system; it may wait for other tasks for long."""
+    pa.default_memory_pool().release_unused()
+    # Freed blocks between others stay with the process else. Only glibc has this.
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], most: int, text: str = "text") -> Iterator[pa.RecordBatch]:
     """Cuts batches into runs of rows with about ``most`` bytes of text, one row at least."""
     for batch in batches:
@@ -40,8 +49,7 @@ def slices(batches: Iterator[pa.RecordBatch], most: int, text: str = "text") ->
         for start, end in zip(cuts, cuts[1:]):
             if end > start:
                 yield batch.slice(start, end - start)
-    # The worker waits for other tasks; what it read goes back to the system.
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def usable_vector(column: str) -> Column:

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracklake.llm.columns import slices, text_bytes
+from tracklake.llm.columns import give_back, slices, text_bytes
 from tracklake.llm.components import components
 from tracklake.llm.shingles import mix, shingle_sets, signature
 from tracklake.operators.keys import broadcast_if_small, key_set
@@ -183,8 +183,7 @@ def shared_leading(found: DataFrame) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum(np.bincount(np.repeat(np.arange(len(sizes)), sizes)[stays], minlength=len(sizes)))])
             made = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(v[stays], t)) for v, t in ((_longs(grams), pa.int64()), (places, pa.int32()))]
             yield pa.record_batch(batch.columns[:-1] + made, names=[*columns, "prefix", "places"])
-        # As slices() does: what a worker read goes back to the system.
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     kinds = ", ".join(f"`{c}` {found.schema[c].dataType.simpleString()}" for c in columns)
     return found.select(*columns, "prefix").mapInArrow(scan, f"{kinds}, prefix array<long>, places array<int>")
