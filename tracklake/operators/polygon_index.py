@@ -7,11 +7,13 @@ the cell's parity, and where one ends within the slab, the longitude of that end
 Two edges above a cell cancel at the vertex they share, so such ends remain only next to edges in the cell.
 
 A ring that runs across its longitudes a few times only needs no index: few of its edges are above or below any
-point, and they are found by sorting, ring by ring.
+point, and they are found by sorting (``polygon_tiles``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,8 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tracklake.functions.geometry import _FIXED_POINT, _is_odd_crossing, directed_edges, edges_total, ring_edges
+from tracklake.functions.geometry import _is_odd_crossing, checked_ring, directed_edges, edges_total
 from tracklake.operators.keys import broadcast_if_small
+from tracklake.operators.polygon_tiles import BOX, before, points_in_rings, vertices
 from tracklake.operators.polygons import points_in_polygons
 from tracklake.session import materialize
 
@@ -29,39 +32,51 @@ CELLS_PER_VERTEX = 4
 LEAST_CELL = 1e-9
 #: Rings that run across their longitudes more often are indexed.
 MOST_TURNS = 16
-#: Points of one ring that a task holds, about, and edges that are tested with points at once.
-PART_POINTS, TESTS_AT_ONCE = 200_000, 250_000
+#: Points that a task holds, about, and edges that are tested with points at once.
+PART_POINTS, TESTS_AT_ONCE = 50_000, 60_000
 FRAME = ["_ring", "_minlat", "_minlon", "_slabs", "_bands", "_slab", "_band"]
 
 
-def _extent(ring: Column, name: str) -> tuple[Column, Column]:
-    values = F.transform(ring, lambda c: c[name])
-    return F.array_min(values), F.array_max(values)
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the size and box of each ring, and how often it runs across its extent."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lat, lon, starts = vertices(batch.column("ring"))
+        (low, high, rises), (left, right, turns) = (_across(v, starts) for v in (lat, lon))
+        measured = [pa.array(np.diff(starts), pa.int32())]
+        measured += [pa.array(v, pa.float64(), from_pandas=True) for v in (low, high, left, right)]
+        measured += [pa.array(v, pa.float64()) for v in (rises, turns)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *measured], [*batch.schema.names, "_size", *BOX, "_rises", "_turns"])
 
 
-def _turns(ring: Column, name: str, extent: Column) -> Column:
-    """How often the ring runs across its extent."""
-    way = F.aggregate(ring_edges(ring), F.lit(0.0), lambda s, e: s + F.abs(e[f"{name}2"] - e[f"{name}1"]))
-    return F.greatest(F.coalesce(F.try_divide(way, extent), F.lit(1.0)), F.lit(1.0))
+def _across(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The least and greatest value of each ring, and how often the ring runs from one to the other."""
+    low, high = (f.reduceat(values, starts[:-1]) for f in (np.fmin, np.fmax))
+    way = np.add.reduceat(np.abs(values - before(values, starts)), starts[:-1])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        turns = np.where(high > low, way / (high - low), 1.0)
+    return low, high, np.fmax(turns, 1.0)
 
 
 def frames(polygons: DataFrame) -> DataFrame:
     """Stored rings with the grid of each: slabs and bands, more of them where the ring turns more often."""
-    ring, c = F.col("ring"), F.col
+    c = F.col
     dealt_out = polygons.repartition(int(polygons.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    boxed = dealt_out.select("polygon_id", "ring", F.monotonically_increasing_id().alias("_ring"))
-    (minlat, maxlat), (minlon, maxlon) = _extent(ring, "lat"), _extent(ring, "lon")
-    boxed = materialize(boxed.withColumns({"_minlat": minlat, "_maxlat": maxlat, "_minlon": minlon, "_maxlon": maxlon}))
+    rows = dealt_out.select("polygon_id", checked_ring(c("ring")).alias("ring"), F.monotonically_increasing_id().alias("_ring"))
+    measures = "_size int, " + ", ".join(f"{n} double" for n in (*BOX, "_rises", "_turns"))
+    measured = T.StructType([*rows.schema, *T.StructType.fromDDL(measures)])
+    # Written once, since rings are most of the work folder.
+    boxed = materialize(rows.mapInArrow(_measure, measured))
     height, width = c("_maxlat") - c("_minlat"), c("_maxlon") - c("_minlon")
-    cells = F.size(ring) * CELLS_PER_VERTEX
+    cells = c("_size") * CELLS_PER_VERTEX
     # An edge meets about one slab for each crossing of a slab's bounds, so fewer slabs where it turns along them.
-    boxed = materialize(boxed.withColumn("_turns", _turns(ring, "lon", width)))
-    wanted = F.round(F.sqrt(cells * _turns(ring, "lat", height) / c("_turns")))
+    wanted = F.round(F.sqrt(cells * c("_rises") / c("_turns")))
     fit = lambda n, extent: F.greatest(F.least(n, cells, F.floor(extent / LEAST_CELL)), F.lit(1)).cast("int")
     cut = boxed.withColumn("_slabs", fit(wanted, width))
     cut = cut.withColumn("_bands", fit(F.ceil(cells / c("_slabs")), height))
     step = lambda extent, n: F.when(extent > 0, extent / c(n)).otherwise(F.lit(1.0))
-    return materialize(cut.withColumns({"_slab": step(width, "_slabs"), "_band": step(height, "_bands")}))
+    return cut.withColumns({"_slab": step(width, "_slabs"), "_band": step(height, "_bands")})
 
 
 def _place(value: Column, low: str, step: str, count: str) -> Column:
@@ -127,93 +142,29 @@ def edge_cells(framed: DataFrame) -> DataFrame:
     return materialize(gathered.agg(F.max("parity").alias("parity"), F.collect_list("end").alias("ends"), F.collect_list("edge").alias("edges")))
 
 
-def _fixed(value: float) -> int | None:
-    scaled = value * _FIXED_POINT
-    return int(scaled) if -(2.0**63) <= scaled < 2.0**63 else None
-
-
-def _exact_side(ax: float, by: float, bx: float, ay: float) -> int:
-    """The sign of ax * by - bx * ay as fixed-point numbers of full length, 0 where they are out of range."""
-    a, b, c, d = _fixed(ax), _fixed(by), _fixed(bx), _fixed(ay)
-    if a is None or b is None or c is None or d is None:
-        return 0
-    return (a * b > c * d) - (a * b < c * d)
-
-
-def inside_ring(lat: np.ndarray, lon: np.ndarray, ring_lat: np.ndarray, ring_lon: np.ndarray) -> np.ndarray:
-    """Which points are in the interior of a ring, by the same test as ``geometry.inside_edges``."""
-    order = np.argsort(lon, kind="stable")
-    x, y = lat[order], lon[order]
-    before_lat, before_lon = np.roll(ring_lat, 1), np.roll(ring_lon, 1)
-    up = before_lon <= ring_lon
-    px, qx = np.where(up, before_lat, ring_lat), np.where(up, ring_lat, before_lat)
-    py, qy = np.minimum(before_lon, ring_lon), np.maximum(before_lon, ring_lon)
-    first = np.searchsorted(y, py, "left")
-    met = np.maximum(np.searchsorted(y, qy, "right") - first, 0)
-    crossed, on_edge = np.zeros(len(x), np.int64), np.zeros(len(x), bool)
-    runs = (np.cumsum(met) - met) // TESTS_AT_ONCE
-    cuts = [0, *(np.flatnonzero(np.diff(runs)) + 1).tolist(), len(met)]
-    for start, end in zip(cuts, cuts[1:]):
-        n = met[start:end]
-        e = np.repeat(np.arange(start, end), n)
-        p = first[e] + np.arange(len(e)) - np.repeat(np.cumsum(n) - n, n)
-        ax, by, bx, ay = px[e] - x[p], qy[e] - y[p], qx[e] - x[p], py[e] - y[p]
-        left, right = ax * by, bx * ay
-        side = (left > right).astype(np.int64) - (left < right)
-        for k in np.flatnonzero(left == right).tolist():
-            side[k] = _exact_side(float(ax[k]), float(by[k]), float(bx[k]), float(ay[k]))
-        crossed += np.bincount(p[(side > 0) & (y[p] < qy[e])], minlength=len(x))
-        between = (np.minimum(px[e], qx[e]) <= x[p]) & (x[p] <= np.maximum(px[e], qx[e]))
-        on_edge[p[(side == 0) & between]] = True
-    inside = np.zeros(len(x), bool)
-    inside[order] = (crossed % 2 == 1) & ~on_edge
-    return inside
-
-
-def _met_by_ring(points: DataFrame, pairs: DataFrame, framed: DataFrame) -> DataFrame:
-    """The pairs inside, tested ring by ring; a ring with many points is tested in several parts."""
-    parts = points.count() // PART_POINTS + 1
-    dealt = pairs.withColumn("_part", F.pmod(F.xxhash64(*points.columns), F.lit(parts)).cast("int"))
-    rings = framed.select("_ring", "polygon_id", "ring", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"))
-    names = points.columns
-    known = framed.schema["polygon_id"]
-    schema = T.StructType([points.schema[n] for n in names] + [known])
-
-    def test(near: pa.Table, ring: pa.Table) -> pa.Table:
-        found = near.select(names).slice(0, 0)
-        identifier = ring.column("polygon_id").slice(0, 0)
-        if near.num_rows and ring.num_rows:
-            vertices = ring.column("ring").combine_chunks().flatten()
-            double = lambda a: a.to_numpy(zero_copy_only=False).astype(np.float64)
-            lat, lon = (double(near.column(n).combine_chunks()) for n in ("lat", "lon"))
-            inside = inside_ring(lat, lon, double(vertices.field("lat")), double(vertices.field("lon")))
-            found = near.select(names).filter(pa.array(inside))
-            identifier = ring.column("polygon_id").take(pa.array(np.zeros(found.num_rows, np.int64)))
-        return found.append_column("polygon_id", identifier)
-
-    keys = ["_ring", "_part"]
-    return dealt.groupBy(*keys).cogroup(rings.groupBy(*keys)).applyInArrow(test, schema)
-
-
-def points_in_large_polygons(points: DataFrame, polygons: DataFrame, cell: float = 0.01, max_broadcast_edges: int = 250_000) -> DataFrame:
+def points_in_large_polygons(
+    points: DataFrame, polygons: DataFrame, cell: float = 0.01, max_broadcast_edges: int = 250_000, returned: list[str] | None = None
+) -> DataFrame:
     """Every (point, polygon) pair with the point in the polygon's interior, for rings of any length.
 
     As :func:`points_in_polygons`, which tests all edges of each polygon whose box a point is in; here a
-    pair meets few of them. Boxes are joined first, on a grid as wide as ``cell``. Rings that run across their
-    longitudes ``MOST_TURNS`` times at most meet their points ring by ring, and each point the edges at its
-    longitude. For other rings the pairs meet the index, broadcast if it holds at most ``max_broadcast_edges``
+    pair meets few of them. Rings that run across their longitudes ``MOST_TURNS`` times at most meet the points in tiles
+    (``polygon_tiles``), and each point the edges at its longitude. For other rings boxes are joined first, on a grid as
+    wide as ``cell``; the pairs meet the index, broadcast if it holds at most ``max_broadcast_edges``
     edges and ends, else both are shuffled by cell; a pair meets the edges of one cell, on average as many for
     a ring of a hundred vertices as for one of ten thousand. Where several edges crowd into one cell, as many
     are tested there; a ring that runs to and fro across its whole extent in both directions has more to test,
     by about the root of its length.
     """
+    names = points.columns if returned is None else returned
     framed = frames(polygons)
     few = F.coalesce(F.col("_turns") <= MOST_TURNS, F.lit(False))
     often, plain = framed.where(~few), framed.where(few)
+    by_tile = lambda rings: points_in_rings(points, rings.withColumn("_is_box", F.lit(False)), ["_ring"], names, PART_POINTS, TESTS_AT_ONCE)
     if often.isEmpty():
-        return _met_by_ring(points, _in_boxes(points, framed, cell), framed)
-    indexed = _met_by_cell(points, often, cell, max_broadcast_edges)
-    return indexed if plain.isEmpty() else indexed.union(_met_by_ring(points, _in_boxes(points, plain, cell), plain))
+        return by_tile(framed)
+    indexed = _met_by_cell(points, often, cell, max_broadcast_edges).select(*names, "polygon_id")
+    return indexed if plain.isEmpty() else indexed.union(by_tile(plain))
 
 
 def _in_boxes(points: DataFrame, framed: DataFrame, cell: float) -> DataFrame:
