@@ -2,9 +2,12 @@ import random
 import re
 
 import numpy as np
+import pytest
+from test_geometry import SHAPES, rounded_inside
 
-from tracklake.operators import polygon_tiles
+from tracklake.operators import polygon_tiles, polygons
 from tracklake.operators.polygon_index import points_in_large_polygons
+from tracklake.operators.polygons import points_in_polygons
 
 SCHEMA = "polygon_id string, ring array<struct<lat:double,lon:double>>"
 POINTS = "id long, lat double, lon double"
@@ -14,16 +17,55 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.fixture
+def small_tiles(monkeypatch):
+    monkeypatch.setattr(polygons, "PART_POINTS", 60)
+    monkeypatch.setattr(polygons, "TESTS_AT_ONCE", 50)
+    monkeypatch.setattr(polygon_tiles, "DEALT_AT_ONCE", 70)
+
+
+def test_many_polygons_meet_points_in_tiles(spark, small_tiles):
+    """A third of the points at one longitude, which is a bound of several slabs; polygons and points that come twice."""
+    draw = random.Random(4)
+    rings = [(name, [tuple(map(float, v)) for v in ring]) for name, ring in SHAPES.items()] * 2
+    for i in range(70):
+        x, y, size = draw.randrange(-3, 9), draw.randrange(-3, 9), draw.choice([1, 2, 6])
+        box = [(x, y), (x + size, y), (x + size, y + size), (x, y + size)]
+        rings.append((None if i % 7 == 0 else str(i), [tuple(map(float, v)) for v in (box if i % 2 else [box[0], (x + size, y + 1), box[2]])]))
+    points = [(i, draw.randrange(-8, 24) / 2, draw.randrange(-8, 24) / 2) for i in range(400)]
+    points += [(1000 + i, draw.uniform(-4, 10), 3.5) for i in range(200)] + [(7, 1.5, 1.5)] * 2
+    points += [(i, *draw.choice(ring)) for i, (_, ring) in enumerate(rings)]
+    expected = sorted((i, name or "") for i, x, y in points for name, ring in rings if rounded_inside(x, y, ring))
+    frame = spark.createDataFrame([*points, (5000, None, 1.0), (5001, 1.0, None)], POINTS)
+    found = points_in_polygons(frame, spark.createDataFrame(rings, SCHEMA), 0.1)
+    assert "Join" not in plan(found) and found.columns == ["id", "lat", "lon", "polygon_id"]
+    assert sorted((r.id, r.polygon_id or "") for r in found.collect()) == expected
+    ids = points_in_polygons(frame, spark.createDataFrame(rings, SCHEMA), 0.1, returned=["id"])
+    assert ids.columns == ["id", "polygon_id"] and sorted((r.id, r.polygon_id or "") for r in ids.collect()) == expected
+
+
 def test_pairs_are_not_shuffled(spark):
-    """Nothing is shuffled behind the pairs, for long rings."""
+    """Nothing is shuffled behind the pairs, for long rings and for many polygons."""
     draw = random.Random(6)
     points = spark.createDataFrame([(k, draw.uniform(0, 9), draw.uniform(0, 9)) for k in range(500)], POINTS)
     ring = [(float(t % 2), t / 10) for t in range(100)] + [(9.0 - t % 3, t / 10) for t in reversed(range(100))]
     table = spark.createDataFrame([(str(k), ring) for k in range(100)], SCHEMA)
-    found = points_in_large_polygons(points, table, 1.0)
-    text = plan(found)
-    assert not re.search("Join|CoGroup", text)
-    assert "MapInArrow" in text.split("Exchange", 1)[0] and found.count() > 25_000
+    for found in (points_in_large_polygons(points, table, 1.0), points_in_polygons(points, table, 1.0)):
+        text = plan(found)
+        assert not re.search("Join|CoGroup", text)
+        assert "MapInArrow" in text.split("Exchange", 1)[0] and found.count() > 25_000
+
+
+def test_polygons_without_a_box_hold_nothing(spark):
+    points = spark.createDataFrame([(1, 1.0, 1.0)], POINTS)
+    bare = [(str(k), [(None, None)] * 3) for k in range(80)]
+    assert points_in_polygons(points, spark.createDataFrame(bare, SCHEMA)).count() == 0
+    box = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)]
+    found = points_in_polygons(points, spark.createDataFrame([*bare, ("a", box)], SCHEMA))
+    assert [tuple(r) for r in found.collect()] == [(1, 1.0, 1.0, "a")]
+    short = spark.createDataFrame([*bare, ("b", box[:2])], SCHEMA)
+    with pytest.raises(Exception, match="at least 3 vertices"):
+        points_in_polygons(points, short).collect()
 
 
 def test_ties_are_decided_exactly():
