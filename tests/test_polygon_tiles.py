@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from test_geometry import SHAPES, rounded_inside
 
@@ -84,3 +85,15 @@ def test_ties_are_decided_exactly():
         p, q, r, s = (fixed(float(v)) for v in row)
         expected.append(0 if None in (p, q, r, s) else (p * q > r * s) - (p * q < r * s))
     assert polygon_tiles.exact_sides(a, b, c, d).tolist() == expected and set(expected) == {-1, 0, 1}
+
+
+def test_rings_of_a_batch_are_dealt_out_in_pieces(monkeypatch):
+    """A batch may hold millions of vertices, of which many more numbers are computed."""
+    monkeypatch.setattr(polygon_tiles, "DEALT_AT_ONCE", 10)
+    kind = pa.list_(pa.struct([("lat", pa.float64()), ("lon", pa.float64())]))
+    rings = [[{"lat": float(k), "lon": float(n)} for k in range(size)] for n, size in enumerate([3, 4, 5, 30, 3, 3, 3])]
+    batch = pa.record_batch({"n": pa.array(range(7)), "ring": pa.array(rings, kind)})
+    pieces = list(polygon_tiles.few_at_once(iter([batch, batch.slice(0, 0)])))
+    assert [p.column("n").to_pylist() for p in pieces] == [[0, 1, 2], [3], [4, 5, 6]]
+    lat, lon, starts = polygon_tiles.vertices(pieces[1].column("ring"))
+    assert lat.tolist() == list(map(float, range(30))) and set(lon) == {3.0} and starts.tolist() == [0, 30]

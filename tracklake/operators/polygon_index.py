@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 
 from tracklake.functions.geometry import _is_odd_crossing, checked_ring, directed_edges, edges_total
 from tracklake.operators.keys import broadcast_if_small
-from tracklake.operators.polygon_tiles import BOX, before, points_in_rings, vertices
+from tracklake.operators.polygon_tiles import BOX, before, few_at_once, points_in_rings, vertices
 from tracklake.operators.polygons import points_in_polygons
 from tracklake.session import materialize
 
@@ -39,9 +39,7 @@ FRAME = ["_ring", "_minlat", "_minlon", "_slabs", "_bands", "_slab", "_band"]
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the size and box of each ring, and how often it runs across its extent."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in few_at_once(batches):
         lat, lon, starts = vertices(batch.column("ring"))
         (low, high, rises), (left, right, turns) = (_across(v, starts) for v in (lat, lon))
         measured = [pa.array(np.diff(starts), pa.int32())]

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from tracklake.functions.geometry import _FIXED_POINT
 
-#: Slabs, and what the points of a batch are gathered to before they are dealt out.
+#: Slabs, and points or vertices that are dealt out at once, about.
 MOST_SLABS, DEALT_AT_ONCE = 1000, 200_000
 #: Edges that the rings of one task have, about, and tasks for each shuffle partition at least.
 TASK_EDGES, TASKS_EACH = 2_000_000, 3
@@ -45,6 +45,17 @@ def vertices(rings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return lat, lon, np.concatenate([[0], np.cumsum(sizes)])
 
 
+def few_at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rings in batches of so few vertices that what is computed from them stays small."""
+    for batch in batches:
+        sizes = batch.column("ring").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        runs = (np.cumsum(sizes) - sizes) // DEALT_AT_ONCE
+        cuts = [0, *(np.flatnonzero(np.diff(runs)) + 1).tolist(), batch.num_rows]
+        for start, end in zip(cuts, cuts[1:]):
+            if end > start:
+                yield batch.slice(start, end - start)
+
+
 def before(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The value of each vertex's predecessor in its ring."""
     shifted = np.roll(values, 1)
@@ -147,9 +158,7 @@ def _deal_rings(bounds: list[float], offsets: list[int], parts: list[int]):
     limits, tiles, several = np.array(bounds), np.array(offsets, np.int32), np.array(parts, np.int32)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in few_at_once(batches):
             lat, lon, starts = vertices(batch.column("ring"))
             ring = np.repeat(np.arange(batch.num_rows), np.diff(starts))
             before_lat, before_lon = before(lat, starts), before(lon, starts)
